@@ -173,7 +173,7 @@ def kswin_run(
     seed: int = KS_SEED,
     stride: int = 1,
     block_length: int = BLOCK_LENGTH,
-    state: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    state: tuple[DataFrame, DataFrame, DataFrame | None] | None = None,
 ) -> KswinRun:
     """Drift rows of `df`, and the state to hand to the next call on later input.
 
@@ -182,21 +182,22 @@ def kswin_run(
     """
     keys, order, features = list(keys), list(order), list(features)
     kept = list(dict.fromkeys([*keys, *order, *features]))
+    totals, tail, last = state or (None, None, None)
     rows = ordered_index(complete_rows(df.select(*kept), features), keys, order)
     if state is not None:
-        totals, tail, last = state
         rows = _shift(rows, totals, keys)
         rows = rows.unionByName(tail)
     tests = window_tests(
         rows, keys, order, features, reference, current, seed, stride, critical_h(current, alpha), block_length
     )
     hits = materialise(tests, "hits")
-    drifts = _judged(thin(hits, [*keys, "feature"], reference, last=None if state is None else last), current, alpha)
+    drifts = _judged(thin(hits, [*keys, "feature"], reference, last=last), current, alpha)
 
     ends = rows.groupBy(*keys).agg(F.max("pos").alias("n"))
     latest = drifts.select(*keys, "feature", "pos")
     if state is not None:
         ends = ends.unionByName(totals).groupBy(*keys).agg(F.max("n").alias("n"))
+    if last is not None:
         latest = latest.unionByName(last)
     near = rows.join(ends, keys) if keys else rows.join(F.broadcast(ends))
     near = near.filter(F.col("pos") > F.col("n") - (reference + current - 1)).select(*kept, "pos")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 BROADCAST_ROWS = 100_000
 
 _own_scratch: dict[str, str] = {}
+_scope = threading.local()
 
 
 def build_session(master: str | None = None, name: str = "driftline", **conf: str) -> SparkSession:
@@ -57,6 +61,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    if getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,9 +71,24 @@ def fits_broadcast(stored: DataFrame) -> bool:
     return stored.count() <= BROADCAST_ROWS
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables materialised inside; use it where results are stored before leaving."""
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _scope.paths:
+            delete(spark, path)
+        _scope.paths = outer
+
+
 def release_scratch(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables; call once their results are stored."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(hadoop, True)
+    """Delete all intermediate tables of this application."""
+    delete(spark, scratch_root(spark))
     _own_scratch.pop(spark.sparkContext.applicationId, None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
