@@ -45,14 +45,19 @@ def join_labels(predictions: DataFrame, labels: DataFrame, key: str = KEY) -> Da
     )
 
 
+def _keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys once each: repeats are dropped before the shuffle that the join needs anyway."""
+    return df.select(key).distinct()
+
+
 def orphan_labels(predictions: DataFrame, labels: DataFrame, key: str = KEY) -> DataFrame:
     """Labels no prediction has (yet)."""
-    return labels.join(predictions.select(key), key, "left_anti")
+    return labels.join(_keys(predictions, key), key, "left_anti")
 
 
 def pending_predictions(predictions: DataFrame, labels: DataFrame, key: str = KEY) -> DataFrame:
     """Predictions whose label has not come."""
-    return predictions.join(labels.select(key), key, "left_anti")
+    return predictions.join(_keys(labels, key), key, "left_anti")
 
 
 def prediction_view(predictions: DataFrame, label_log: DataFrame, key: str = KEY) -> DataFrame:

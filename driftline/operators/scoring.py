@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from driftline.functions.columns import decode_prediction, margin
 from driftline.operators.scan import prefix_scan
 from driftline.schemas import FEATURES, PREDICTION_COLUMNS
+from driftline.session import materialise
 
 
 def feature_vector(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -80,6 +81,7 @@ def prequential_accuracy(
     run = prefix_scan(df, keys, order, {"correct": ones})
     if last is None:
         return run.withColumn("accuracy", F.col("correct") / F.col("pos"))
+    run = materialise(run, "running")
     before = run.select(*keys, (F.col("pos") + last).alias("pos"), F.col("correct").alias("_before"))
     recent = F.col("correct") - F.coalesce("_before", F.lit(0))
     return run.join(before, [*keys, "pos"], "left").select(

@@ -86,15 +86,16 @@ def append_idempotent(
     key: str,
     batch_id: int,
     order: list[str] | None = None,
-    since: str | None = None,
+    lookback: int | None = None,
 ) -> None:
     """Append the rows of a batch whose key is new to the table; a replayed batch changes nothing.
 
-    `since` is a filter on the stored rows for tables too long to be searched whole: the caller vouches
-    that older keys do not come back.
+    The whole table is searched for the keys, or the last `lookback` batches of it if the caller knows
+    that a key comes back no later (a stream deduplicated upstream, say); only those are then read.
     """
     existing = read_table(df.sparkSession, path)
     if existing is not None:
         existing = existing.filter(F.col("batch_id") != batch_id)
-        existing = existing.filter(since) if since else existing
+        if lookback is not None:
+            existing = existing.filter(F.col("batch_id") >= batch_id - lookback)
     write_batch(new_keys(df, existing, key, order), path, batch_id)

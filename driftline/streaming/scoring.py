@@ -15,11 +15,13 @@ from driftline.sources.files import append_idempotent, write_batch
 from driftline.streaming.batches import for_each_batch
 
 
-def score_batch(batch: DataFrame, batch_id: int, model: tuple[str, LinearModel], table: str, rejects: str | None) -> None:
+def score_batch(
+    batch: DataFrame, batch_id: int, model: tuple[str, LinearModel], table: str, rejects: str | None, lookback: int | None
+) -> None:
     """Score one batch and store its predictions, once per key, and its rejected rows."""
     name, fitted = model
     good, bad = split_rejects(batch)
-    append_idempotent(prediction_rows(score(good, fitted), name), table, KEY, batch_id)
+    append_idempotent(prediction_rows(score(good, fitted), name), table, KEY, batch_id, lookback=lookback)
     if rejects:
         write_batch(bad, rejects, batch_id)
 
@@ -30,12 +32,13 @@ def score_stream(
     table: str,
     checkpoint: str,
     rejects: str | None = None,
+    lookback: int | None = None,
     interval: str | None = None,
 ) -> StreamingQuery:
     """Score events with the model that is current when their batch starts."""
     current = models.current if isinstance(models, ModelCache) else models
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        score_batch(batch, batch_id, current(), table, rejects)
+        score_batch(batch, batch_id, current(), table, rejects, lookback)
 
     return for_each_batch(events, process, checkpoint, "score", interval)

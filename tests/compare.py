@@ -42,7 +42,7 @@ def differences(spark_pdf, duck_pdf):
         wrong = [(x, y) for x, y in zip(a, b) if x != y]
         return f"{len(wrong)} rows differ, first {wrong[0]}"
     kinds = lambda p: [p[c].dtype.kind.replace("O", "s").replace("u", "i") for c in sorted(p.columns)]
-    if kinds(spark_pdf) != kinds(duck_pdf):
+    if len(a) and kinds(spark_pdf) != kinds(duck_pdf):
         return f"types {spark_pdf.dtypes.to_dict()} / {duck_pdf.dtypes.to_dict()}"
     return None
 
