@@ -471,7 +471,8 @@ def stream_kswin(spark, sf_dir):
         return monitor_features(log, ["segment"], TIME, f"{root}/rows", f"{root}/state", f"{root}/checkpoint")
 
     _in_parts(rows, "ts", f"{root}/log", run)
-    return read_table(spark, f"{root}/rows").select("segment", "feature", "event_id", "pos", "h")
+    columns = "segment string, feature string, event_id bigint, pos bigint, h int"
+    return read_table(spark, f"{root}/rows", columns).drop("batch_id")
 
 
 @query

@@ -42,14 +42,14 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at `path`, or None if nothing was written yet."""
+def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame | None:
+    """The table at `path`. If nothing was written yet: no rows where a schema is given, else None."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema) if schema else None
 
 
 def read_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
