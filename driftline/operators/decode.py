@@ -15,10 +15,11 @@ from driftline.schemas import FEATURES, KEY
 def decode_json(df: DataFrame, schema: T.StructType, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Fields of a JSON value next to the `keep` columns of its envelope.
 
-    Reading is lenient: text that is no JSON gives nulls, as does a field of the wrong type.
+    Reading is lenient: text that is no JSON gives nulls, as does a field of the wrong type. The struct is
+    unpacked by a generator because filters are not pushed through it: pushed into the projection, every
+    condition on a field would parse the text once more.
     """
-    parsed = df.select(*keep, F.from_json(F.col(value).cast("string"), schema).alias("data"))
-    return parsed.select(*keep, "data.*")
+    return df.select(*keep, F.inline(F.array(F.from_json(F.col(value).cast("string"), schema))))
 
 
 def reject_reason(key: str = KEY, features: Sequence[str] = FEATURES):
