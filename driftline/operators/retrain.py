@@ -44,6 +44,24 @@ def retrain_requests(
     return thin(spans, [*keys, "since"], timeout)
 
 
+def new_requests(
+    drifts: DataFrame, requests: DataFrame, finishes: DataFrame, keys: Sequence[str], timeout: int | None = None
+) -> DataFrame:
+    """Requests that the drifts of one batch add to the log of earlier `requests`.
+
+    A row of `finishes` names the request it ends by `keys` and `pos`. A key with an open request gets
+    no other one until `timeout` positions have passed.
+    """
+    keys = list(keys)
+    ended = finishes.groupBy(*keys).agg(F.max("pos").alias("_ended"))
+    last = requests.groupBy(*keys).agg(F.max("pos").alias("_last")).join(ended, keys, "left")
+    free = F.col("_last").isNull() | (F.col("_ended") >= F.col("_last"))
+    if timeout is not None:
+        free = free | (F.col("pos") >= F.col("_last") + timeout)
+    fresh = drifts.select(*keys, "pos").join(last, keys, "left").filter(F.coalesce(free, F.lit(False)))
+    return fresh.groupBy(*keys).agg(F.min("pos").alias("pos"))
+
+
 def current_model(registry: DataFrame) -> DataFrame:
     """The registry row with the highest version."""
     return registry.agg(F.max_by(F.struct(*registry.columns), "version").alias("_row")).select("_row.*").dropna(

@@ -29,14 +29,16 @@ def join_late_labels(
 
     Both sides are held in state until the wait is over, so a label may also come before its
     prediction is read. `left_outer` adds predictions whose wait ended without a label, `full_outer`
-    also labels whose prediction never came. With `once` only the first label of a key counts. Both time
-    columns must be timestamps.
+    also labels whose prediction never came. With `once` only the first row of a key
+    counts on either side. Both time columns must be timestamps.
     """
-    left = predictions.drop("true_label", arrived_at).withWatermark(predicted_at, delay)
-    right = labels.select(
-        F.col(key).alias("_label_key"), F.col("label").alias("true_label"), arrived_at
-    )
-    right = once_per_key(right, arrived_at, delay, "_label_key") if once else right.withWatermark(arrived_at, delay)
+    left = predictions.drop("true_label", arrived_at)
+    right = labels.select(F.col(key).alias("_label_key"), F.col("label").alias("true_label"), arrived_at)
+    if once:
+        left = once_per_key(left, predicted_at, delay, key)
+        right = once_per_key(right, arrived_at, delay, "_label_key")
+    else:
+        left, right = left.withWatermark(predicted_at, delay), right.withWatermark(arrived_at, delay)
     due = F.expr(f"{arrived_at} >= {predicted_at} AND {arrived_at} <= {predicted_at} + INTERVAL {wait}")
     joined = left.join(right, (F.col(key) == F.col("_label_key")) & due, how)
     return joined.withColumn(key, F.coalesce(key, "_label_key")).drop("_label_key").withColumn(

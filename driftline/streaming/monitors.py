@@ -10,15 +10,16 @@ Rows count in the order of their batches, within a batch in `order`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftline.operators.eddm import eddm_run
 from driftline.operators.kswin import kswin_run
 from driftline.schemas import FEATURES
-from driftline.sources.files import drop_before, read_before, write_batch
+from driftline.sources.files import drop_before, read_before, read_table, write_batch
 from driftline.streaming.batches import for_each_batch
 
 
@@ -31,15 +32,22 @@ def monitor_errors(
     state: str,
     checkpoint: str,
     interval: str | None = None,
+    then: Callable[[DataFrame, int], None] | None = None,
     **options,
 ) -> StreamingQuery:
-    """Error-distance detector on labelled predictions; its rows go to the table `results`."""
+    """Error-distance detector on labelled predictions; its rows go to the table `results`.
+
+    `then` is called with the stored rows of each batch, to ask for a retraining, say.
+    """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         run = eddm_run(batch, keys, order, ok, state=read_before(batch.sparkSession, state, batch_id), **options)
         write_batch(run.rows, results, batch_id)
         write_batch(run.state, state, batch_id)
         drop_before(batch.sparkSession, state, batch_id)
+        if then:
+            stored = read_table(batch.sparkSession, results, run.rows.schema)
+            then(stored.filter(F.col("batch_id") == batch_id).drop("batch_id"), batch_id)
 
     return for_each_batch(labelled, process, checkpoint, "monitor_errors", interval)
 

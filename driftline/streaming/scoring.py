@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftline.operators.decode import split_rejects
@@ -16,12 +17,19 @@ from driftline.streaming.batches import for_each_batch
 
 
 def score_batch(
-    batch: DataFrame, batch_id: int, model: tuple[str, LinearModel], table: str, rejects: str | None, lookback: int | None
+    batch: DataFrame,
+    batch_id: int,
+    model: tuple[str, LinearModel],
+    table: str,
+    rejects: str | None = None,
+    lookback: int | None = None,
+    clock: str | None = None,
 ) -> None:
     """Score one batch and store its predictions, once per key, and its rejected rows."""
     name, fitted = model
     good, bad = split_rejects(batch)
-    append_idempotent(prediction_rows(score(good, fitted), name), table, KEY, batch_id, lookback=lookback)
+    rows = prediction_rows(score(good, fitted), name, F.col(clock) if clock else None)
+    append_idempotent(rows, table, KEY, batch_id, lookback=lookback)
     if rejects:
         write_batch(bad, rejects, batch_id)
 
@@ -33,12 +41,17 @@ def score_stream(
     checkpoint: str,
     rejects: str | None = None,
     lookback: int | None = None,
+    clock: str | None = None,
     interval: str | None = None,
 ) -> StreamingQuery:
-    """Score events with the model that is current when their batch starts."""
+    """Score events with the model that is current when their batch starts.
+
+    Predictions are stamped with the column `clock`, or with the current time. For `lookback` see
+    `append_idempotent`.
+    """
     current = models.current if isinstance(models, ModelCache) else models
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        score_batch(batch, batch_id, current(), table, rejects, lookback)
+        score_batch(batch, batch_id, current(), table, rejects, lookback, clock)
 
     return for_each_batch(events, process, checkpoint, "score", interval)
