@@ -27,6 +27,7 @@ from driftline.schemas import FEATURES, KS_ALPHA, KS_CURRENT, KS_REFERENCE, KS_S
 from driftline.session import materialise
 
 BLOCK_LENGTH = 8192
+_GRID = 16
 _CHUNK = 256  # windows tested at once; keeps the work arrays inside the cache
 
 
@@ -41,26 +42,20 @@ def draw_hash(position: Column, seed: int = KS_SEED) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def _windows(values: np.ndarray, draws: np.ndarray, reference: int, current: int, tested: np.ndarray) -> np.ndarray:
-    """h = n D per tested window start (rows) and feature (columns)."""
-    size = reference + current
-    if not len(tested):
-        return np.empty((0, values.shape[1]), dtype=np.int32)
-    draw_rank = np.empty(len(draws), dtype=np.int32)
-    draw_rank[np.argsort(draws, kind="stable")] = np.arange(len(draws), dtype=np.int32)
-    draw_view = np.lib.stride_tricks.sliding_window_view(draw_rank, reference)
-    # Twice the rank of a value, plus 1 if it is a current one: sorting these sorts both samples.
-    codes = [2 * np.unique(v, return_inverse=True)[1].astype(np.int32) for v in values.T]
-    views = [np.lib.stride_tricks.sliding_window_view(c, size) for c in codes]
+def _statistics(views: list[np.ndarray], draw_view: np.ndarray, limits: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """h = n D of the windows at `starts` (rows) for each feature (columns).
 
-    h = np.empty((len(tested), len(codes)), dtype=np.int32)
-    for at in range(0, len(tested), _CHUNK):
-        starts = tested[at : at + _CHUNK]
-        hashes = draw_view[starts]
-        limit = np.partition(hashes, current - 1, axis=1)[:, current - 1]
-        drawn = hashes <= limit[:, None]
+    `views` hold twice the rank of each value: with 1 added to the current ones, one sort orders both
+    samples and tells them apart.
+    """
+    reference = draw_view.shape[1]
+    current = views[0].shape[1] - reference
+    h = np.empty((len(starts), len(views)), dtype=np.int32)
+    for at in range(0, len(starts), _CHUNK):
+        part = starts[at : at + _CHUNK]
+        drawn = draw_view[part] <= limits[part, None]
         for f, view in enumerate(views):
-            window = view[starts]
+            window = view[part]
             both = np.concatenate(
                 [window[:, :reference][drawn].reshape(-1, current), window[:, reference:] + 1], axis=1
             )
@@ -72,6 +67,50 @@ def _windows(values: np.ndarray, draws: np.ndarray, reference: int, current: int
     return h
 
 
+def _windows(
+    values: np.ndarray, draws: np.ndarray, reference: int, current: int, tested: np.ndarray, least: int
+) -> np.ndarray:
+    """h per tested window start (rows, ascending) and feature (columns), or -1 where h < least is certain.
+
+    A step of the window replaces one current value and at most two drawn ones, and each replacement
+    moves h by at most 1. So windows on a coarse grid are tested first; between two of them only those
+    that could reach `least` are.
+    """
+    size = reference + current
+    h = np.full((len(tested), values.shape[1]), -1, dtype=np.int32)
+    if not len(tested):
+        return h
+    ranks = np.empty(len(draws), dtype=np.int32)
+    ranks[np.argsort(draws, kind="stable")] = np.arange(len(draws), dtype=np.int32)
+    draw_view = np.lib.stride_tricks.sliding_window_view(ranks, reference)
+    codes = [2 * np.unique(v, return_inverse=True)[1].astype(np.int32) for v in values.T]
+    views = [np.lib.stride_tricks.sliding_window_view(c, size) for c in codes]
+    limits = np.concatenate(
+        [
+            np.partition(draw_view[at : at + _CHUNK], current - 1, axis=1)[:, current - 1]
+            for at in range(0, len(values) - size + 1, _CHUNK)
+        ]
+    )[: len(values) - size + 1]
+
+    grid = np.unique(np.append(np.arange(0, len(tested), _GRID if least > 0 else 1), len(tested) - 1))
+    h[grid] = _statistics(views, draw_view, limits, tested[grid])
+    if len(grid) == len(tested):
+        return h
+    leaving, coming = ranks[: len(limits) - 1] <= limits[:-1], ranks[reference:][: len(limits) - 1] <= limits[1:]
+    moves = np.append(0, np.cumsum(1 + leaving + coming))[tested]
+    between = np.setdiff1d(np.arange(len(tested)), grid)
+    after = np.searchsorted(grid, between)
+    low, high = grid[after - 1], grid[after]
+    for f, view in enumerate(views):
+        reach = np.minimum(
+            h[low, f] + moves[between] - moves[low],
+            h[high, f] + moves[high] - moves[between],
+        )
+        open_ = between[reach >= least]
+        h[open_, f] = _statistics([view], draw_view, limits, tested[open_])[:, 0]
+    return h
+
+
 def window_tests(
     df: DataFrame,
     keys: Sequence[str],
@@ -103,7 +142,7 @@ def window_tests(
         group = group.sort_values("pos", ignore_index=True)
         ends = group["pos"].to_numpy()[size - 1 :]
         starts = np.flatnonzero((ends - size) % stride == 0)
-        h = _windows(group[features].to_numpy(), group["_draw"].to_numpy(), reference, current, starts)
+        h = _windows(group[features].to_numpy(), group["_draw"].to_numpy(), reference, current, starts, least)
         hit = (h >= least).any(axis=1)
         found = group.loc[starts[hit] + size - 1, kept].reset_index(drop=True)
         return found.assign(h=pd.Series(list(h[hit]), dtype=object))

@@ -39,7 +39,7 @@ TIME = ["ts", "event_id"]
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    QUERIES[function.__name__.removesuffix("_rows_query")] = function
     return function
 
 
@@ -61,7 +61,7 @@ def _raw_rows(spark, sf_dir):
 
 
 @query
-def event_key_build(spark, sf_dir):
+def event_key_rows_query(spark, sf_dir):
     rows = _raw_rows(spark, sf_dir)
     key = event_key(F.col("date"), F.col("day"), F.col("period"))
     return rows.select(
@@ -151,7 +151,7 @@ def label_encode_strict(spark, sf_dir):
 
 
 @query
-def feature_array_sum(spark, sf_dir):
+def feature_array_rows_query(spark, sf_dir):
     """Feature arrays, shown by their length, ends and sum."""
     rows = views.features(spark, sf_dir).select(KEY, feature_array().alias("features"))
     return rows.select(
@@ -307,7 +307,7 @@ def recent_accuracy(spark, sf_dir):
 
 
 @query
-def ordered_index_rows(spark, sf_dir):
+def ordered_index_rows_query(spark, sf_dir):
     rows = ordered_index(views.features(spark, sf_dir).select("segment", *TIME), ["segment"], TIME)
     return rows.select("segment", "event_id", "pos")
 

@@ -52,13 +52,15 @@ class Layout:
 def prepare(spark: SparkSession, raw_csv: str, root: str, past_rows: int = PAST_ROWS) -> None:
     """Split the raw file in time; write the past as training data, the rest as features and labels.
 
-    The rows of the file are ordered by their date, day and period.
+    Rows are ordered by date and period, as numbers where they are numbers.
     """
     at = Layout(root)
     raw = files.read_csv(spark, raw_csv)
+    places = {f"_{c}": F.col(c).try_cast("double") for c in ("date", "period")}
     with scratch_scope(spark):
-        past, live = sampling.chrono_split(raw, ["date", "period", "day"], past_rows)
-        files.write_csv(past, at.past_data)
+        order = ["_date", "date", "_period", "period", "day"]
+        past, live = sampling.chrono_split(raw.withColumns(places), order, past_rows)
+        files.write_csv(past.drop(*places), at.past_data)
         keyed = live.withColumn(KEY, event_key(F.col("date"), F.col("day"), F.col("period")))
         files.write_csv(keyed.select(KEY, *FEATURES), at.live_features)
         files.write_csv(keyed.select(KEY, F.col("class").alias("label")), at.live_labels)

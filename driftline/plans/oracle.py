@@ -218,7 +218,7 @@ decoded AS (
 _ENCODED = "WITH " + RAW + ' SELECT "eventID", label, CAST(CASE label WHEN \'UP\' THEN 1 WHEN \'DOWN\' THEN 0 ELSE {} END AS {}) AS encoded FROM raw'
 
 ORACLE = {
-    "event_key_build": """
+    "event_key": """
 WITH raw AS (
   SELECT l_orderkey, strftime(l_shipdate, '%Y%m%d') AS d, CAST(l_linenumber AS VARCHAR) AS n,
     '0' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS p FROM lineitem)
@@ -251,7 +251,7 @@ UNION ALL SELECT 'length', 'model_version', count(*) FILTER (l_partkey > 999) FR
     "label_encode_train": _ENCODED.format("1", "INTEGER"),
     "label_encode_retrain": _ENCODED.format("0", "INTEGER"),
     "label_encode_strict": _ENCODED.format("NULL", "DOUBLE"),
-    "feature_array_sum": f"""WITH {FEATURES} SELECT "eventID", 5 AS width, nswprice AS first, transfer AS last,
+    "feature_array": f"""WITH {FEATURES} SELECT "eventID", 5 AS width, nswprice AS first, transfer AS last,
   round(nswprice + nswdemand + vicprice + vicdemand + transfer, 6) AS total FROM fx""",
     "chrono_split": f"""WITH {FEATURES} SELECT "eventID", event_id,
   CASE WHEN row_number() OVER (ORDER BY ts, event_id) <= 3500 THEN 'past' ELSE 'live' END AS part FROM fx""",
@@ -299,7 +299,7 @@ FROM labelled WINDOW w AS (ORDER BY label_arrival_time, "eventID" ROWS UNBOUNDED
   row_number() OVER (PARTITION BY model_version ORDER BY label_arrival_time, "eventID") AS pos,
   round(avg(is_correct::INT) OVER w, 9) AS accuracy
 FROM labelled WINDOW w AS (PARTITION BY model_version ORDER BY label_arrival_time, "eventID" ROWS 499 PRECEDING)""",
-    "ordered_index_rows": """SELECT event_type AS segment, event_id,
+    "ordered_index": """SELECT event_type AS segment, event_id,
   row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos FROM events""",
     "unpivot_features": f"""WITH {FEATURES} SELECT segment, event_id, feature, value
 FROM (SELECT segment, event_id, {_COLS} FROM fx) UNPIVOT (value FOR feature IN ({_COLS}))""",

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,20 @@ def test_kswin_equals_queue_form(spark, ties):
     assert strided.join(anchors, ["k", "feature", "pos", "h"]).count() == strided.count() > 0
 
 
+def test_skipped_windows_could_not_have_fired():
+    rng = np.random.default_rng(4)
+    for trial in range(6):
+        n = 1500
+        x = rng.normal(size=n) + np.repeat(rng.choice([0, 0, 1.0], size=n // 100), 100)
+        values = np.column_stack([x, np.round(x), np.zeros(n)])
+        draws = rng.integers(0, 50 if trial % 2 else 1 << 60, n)  # also hashes with ties
+        starts = np.arange(0, n - 133, 1 + trial // 3)
+        whole = kw._windows(values, draws, 100, 34, starts, 0)
+        pruned = kw._windows(values, draws, 100, 34, starts, 14)
+        assert (whole >= 0).all() and ((whole >= 14) == (pruned >= 14)).all()
+        assert (pruned[pruned >= 0] == whole[pruned >= 0]).all() and (pruned < 0).mean() > 0.1
+
+
 def test_kswin_state_continues(spark):
     data = {"hot": shifted(900, 1), "b": shifted(300, 2)}
     df = values_frame(spark, data)
