@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.scan import BLOCK, ROW, earlier_blocks, ordered_blocks, within_block
+from driftline.operators.scan import BLOCK, ROW, earlier_blocks, join_totals, ordered_blocks, within_block
 from driftline.schemas import EDDM_DRIFT, EDDM_MIN_ERRORS, EDDM_WARNING
 from driftline.session import fits_broadcast, materialise
 
@@ -35,7 +35,7 @@ def _with_state(carry: DataFrame, keys: list[str], state: DataFrame | None) -> D
     if state is None:
         return carry.withColumns({f"_s_{c}": F.lit(0).cast(t) for c, t in STATE.items()})
     prior = state.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in STATE])
-    joined = carry.join(prior, keys, "left") if keys else carry.join(F.broadcast(prior), how="left")
+    joined = join_totals(carry, prior, keys, "left")
     return joined.withColumns({f"_s_{c}": F.coalesce(f"_s_{c}", F.lit(0).cast(t)) for c, t in STATE.items()})
 
 

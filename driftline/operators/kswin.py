@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.ks import critical_h, p_value, p_value_of
-from driftline.operators.scan import ordered_index, prefix_scan
+from driftline.operators.scan import join_totals, ordered_index, prefix_scan
 from driftline.operators.thin import thin
 from driftline.schemas import FEATURES, KS_ALPHA, KS_CURRENT, KS_REFERENCE, KS_SEED
 from driftline.session import materialise
@@ -238,15 +238,14 @@ def kswin_run(
         ends = ends.unionByName(totals).groupBy(*keys).agg(F.max("n").alias("n"))
     if last is not None:
         latest = latest.unionByName(last)
-    near = rows.join(ends, keys) if keys else rows.join(F.broadcast(ends))
-    near = near.filter(F.col("pos") > F.col("n") - (reference + current - 1)).select(*kept, "pos")
+    near = join_totals(rows, ends, keys).filter(F.col("pos") > F.col("n") - (reference + current - 1)).select(*kept, "pos")
     return KswinRun(drifts, ends, near, latest.groupBy(*keys, "feature").agg(F.max("pos").alias("pos")))
 
 
 def _shift(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """Continue the positions of earlier input."""
     earlier = totals.withColumnRenamed("n", "_n0")
-    joined = rows.join(earlier, keys, "left") if keys else rows.join(F.broadcast(earlier), how="left")
+    joined = join_totals(rows, earlier, keys, "left")
     return joined.withColumn("pos", F.col("pos") + F.coalesce("_n0", F.lit(0))).drop("_n0")
 
 
@@ -299,7 +298,7 @@ def ks_two_sample(df: DataFrame, keys: Sequence[str], value: str, is_reference:
         counts.groupBy(*keys).agg(F.sum("_a").alias("n_reference"), F.sum("_b").alias("n_current")), "sizes"
     )
     running = prefix_scan(counts, keys, [value], {"_fa": F.col("_a"), "_fb": F.col("_b")}, position=None)
-    running = running.join(sizes, keys) if keys else running.join(F.broadcast(sizes))
+    running = join_totals(running, sizes, keys)
     wide = "decimal(19,0)"
     cross = F.col("_fa").cast(wide) * F.col("n_current") - F.col("_fb").cast(wide) * F.col("n_reference")
     gaps = running.groupBy(*keys, "n_reference", "n_current").agg(F.max(F.abs(cross)).alias("_gap"))

@@ -22,10 +22,13 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33
 def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Stored copy of `df` with `_block` (range partition) and `_row` (place in the block).
 
-    `order` must be total within a key, so that a range can be cut anywhere.
+    `order` must be total within a key, so that a range can be cut anywhere. A null key is an error: later
+    joins by key would lose its rows.
     """
+    checked = {k: F.coalesce(F.col(k), F.raise_error(F.lit(f"null in key column {k}"))) for k in keys}
     ids = (
-        df.repartitionByRange(*keys, *order)
+        df.withColumns(checked)
+        .repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_id", F.monotonically_increasing_id())
     )
@@ -38,6 +41,14 @@ def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return materialise(blocks, "blocks")
 
 
+def join_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Attach one row of `totals` per key; without keys it is a single row, attached as constants."""
+    if keys:
+        return df.join(totals, list(keys), how)
+    row = totals.first()
+    return df.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in totals.schema})
+
+
 def earlier_blocks(keys: Sequence[str]):
     """Frame over the block totals of one key before the current block."""
     return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)

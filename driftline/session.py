@@ -16,18 +16,22 @@ _own_scratch: dict[str, str] = {}
 _scope = threading.local()
 
 
-def build_session(master: str | None = None, name: str = "driftline", **conf: str) -> SparkSession:
-    """A session with the settings every job here expects; `conf` keys use `_` for `.`."""
-    builder = (
-        SparkSession.builder.appName(name)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-    )
+def build_session(master: str | None = None, name: str = "driftline", conf: dict[str, str] | None = None) -> SparkSession:
+    """A session with the settings the jobs expect; `conf` adds to them."""
+    settings = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        # Join and deduplication state lives on disk, not in the executor heap.
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
+        **(conf or {}),
+    }
+    builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
-        builder = builder.config(key.replace("_", "."), value)
+    for key, value in settings.items():
+        builder = builder.config(key, value)
     return builder.getOrCreate()
 
 

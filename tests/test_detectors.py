@@ -91,6 +91,28 @@ def test_missing_verdict_counts_as_error(spark):
     assert [r.num_errors for r in eddm(df, ["k"], ["t"], "ok").orderBy("pos").collect()] == [1, 1]
 
 
+def test_null_key_is_an_error(spark):
+    df = spark.createDataFrame([("a", 1, True), (None, 2, True)], "k string, t int, ok boolean")
+    with pytest.raises(Exception, match="null in key column k"):
+        eddm(df, ["k"], ["t"], "ok").collect()
+
+
+def test_unkeyed_state_continues(spark):
+    data = sequences({"x": 900})
+    df = ok_frame(spark, data)
+    first = eddm_run(df.filter("t < 333"), [], ["t"], "ok")
+    second = eddm_run(df.filter("t >= 333"), [], ["t"], "ok", state=first.state)
+    check_eddm(first.rows.union(second.rows), data)
+    values = values_frame(spark, {"hot": shifted(600, 1)})
+    options = dict(features=["x", "y"], reference=100, current=34)
+    whole = kw.kswin(values, [], ["t"], **options)
+    one = kw.kswin_run(values.filter("t < 250"), [], ["t"], **options)
+    two = kw.kswin_run(values.filter("t >= 250"), [], ["t"], state=(one.totals, one.tail, one.last), **options)
+    key = ["feature", "pos", "h"]
+    parts = one.drifts.unionByName(two.drifts).select(key)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.select(key).collect())) != []
+
+
 def test_prefix_scan(spark):
     rng = random.Random(5)
     rows = [(k, t, rng.randint(-5, 9)) for k, n in (("hot", 2000), ("b", 30)) for t in range(n)]
