@@ -60,7 +60,7 @@ def _statistics(views: list[np.ndarray], draw_view: np.ndarray, limits: np.ndarr
                 [window[:, :reference][drawn].reshape(-1, current), window[:, reference:] + 1], axis=1
             )
             both.sort(axis=1)
-            steps = np.cumsum(1 - 2 * (both & 1), axis=1, dtype=np.int16)
+            steps = np.cumsum((1 - 2 * (both & 1)).astype(np.int8), axis=1, dtype=np.int16)
             ends = np.ones(both.shape, dtype=bool)  # compare only after the last of equal values
             ends[:, :-1] = (both[:, 1:] >> 1) != (both[:, :-1] >> 1)
             h[at : at + _CHUNK, f] = np.abs(steps * ends).max(axis=1)
@@ -136,6 +136,7 @@ def window_tests(
         *keys, *[c for c in keep if c not in keys], "pos", *features, draw_hash(F.col("pos"), seed).alias("_draw")
     ).withColumn("_cell", F.explode(covering))
     kept = [*keys, *[c for c in keep if c not in keys], "pos"]
+    columns = [f"_h{i}" for i in range(len(features))]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
 
     def test(group: pd.DataFrame) -> pd.DataFrame:
@@ -144,19 +145,16 @@ def window_tests(
         starts = np.flatnonzero((ends - size) % stride == 0)
         h = _windows(group[features].to_numpy(), group["_draw"].to_numpy(), reference, current, starts, least)
         hit = (h >= least).any(axis=1)
-        found = group.loc[starts[hit] + size - 1, kept].reset_index(drop=True)
-        return found.assign(h=pd.Series(list(h[hit]), dtype=object))
+        found = group.loc[starts[hit] + size - 1, kept]
+        return found.assign(**dict(zip(columns, h[hit].T)))
 
     # Bytes are few and the tests costly, so the cells get tasks by number, not by size.
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     cells = spread.repartition(tasks, *keys, "_cell").groupBy(*keys, "_cell")
-    tested = cells.applyInPandas(test, f"{schema}, h array<int>")
-    names = F.array(*[F.lit(f) for f in features])
-    pairs = tested.select(*kept, F.explode(F.arrays_zip(names.alias("feature"), F.col("h"))).alias("_t"))
-    return pairs.select(*kept, F.col("_t.feature").alias("feature"), F.col("_t.h").alias("h")).filter(
-        F.col("h") >= least
-    )
+    tested = cells.applyInPandas(test, schema + "".join(f", {c} int" for c in columns))
+    pairs = [F.struct(F.lit(f).alias("feature"), F.col(c).alias("h")) for f, c in zip(features, columns)]
+    return tested.select(*kept, F.inline(F.array(*pairs))).filter(F.col("h") >= least)
 
 
 def complete_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -185,7 +183,7 @@ def kswin_anchors(
     stride: int = 1,
 ) -> DataFrame:
     """Statistic, p-value and verdict of every window, without restarts."""
-    rows = complete_rows(df.select(*{*keys, *order, *features}), features)
+    rows = complete_rows(df.select(*dict.fromkeys([*keys, *order, *features])), features)
     indexed = ordered_index(rows, keys, order)
     tests = window_tests(indexed, keys, order, features, reference, current, seed, stride)
     return _judged(tests, current, alpha)

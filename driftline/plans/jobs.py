@@ -131,6 +131,7 @@ def watch_errors(
     request log unless one is open for that model.
     """
     at = Layout(root)
+    files.ensure_folder(spark, at.predictions)
     stored = logs.read_log(spark, "parquet", spark.createDataFrame([], PREDICTION).schema, at.predictions)
     decoded = logs.label_events(labels, keep=("timestamp",)).withColumnRenamed("timestamp", "label_arrival_time")
     labelled = join_late_labels(stored, decoded.dropna(subset=[KEY]), wait, delay, once=True)

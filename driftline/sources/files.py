@@ -61,6 +61,12 @@ def read_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | No
     return None if last is None else table.filter(F.col("batch_id") == last).drop("batch_id")
 
 
+def ensure_folder(spark: SparkSession, path: str) -> None:
+    """Make the folder of a table that a stream will read before anything is written to it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def drop_before(spark: SparkSession, path: str, batch_id: int, keep: int = 10) -> None:
     """Delete partitions more than `keep` batches old; a replay goes back one batch only."""
     jvm = spark.sparkContext._jvm
