@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from driftline.schemas import DOWN, FEATURES, TRAIN_SEED, UP
+from driftline.schemas import DOWN, FEATURES, KS_SEED, TRAIN_SEED, UP
 
 
 def clean_key(part: Column) -> Column:
@@ -71,3 +71,9 @@ def hash_share(key: Column, seed: int = TRAIN_SEED) -> Column:
     """Number in [0, 1) that depends on the key and seed only, not on the partitioning."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+
+
+def draw_hash(position: Column, seed: int = KS_SEED) -> Column:
+    """60-bit hash of a position."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), position.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")

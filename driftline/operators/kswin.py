@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.columns import draw_hash
 from driftline.functions.ks import critical_h, p_value, p_value_of
 from driftline.operators.scan import join_totals, ordered_index, prefix_scan
 from driftline.operators.thin import thin
@@ -36,12 +37,6 @@ def unpivot_features(df: DataFrame, ids: Sequence[str], features: Sequence[str]
     return df.unpivot(list(ids), list(features), "feature", "value")
 
 
-def draw_hash(position: Column, seed: int = KS_SEED) -> Column:
-    """60-bit hash of a position."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), position.cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
-
-
 def _statistics(views: list[np.ndarray], draw_view: np.ndarray, limits: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """h = n D of the windows at `starts` (rows) for each feature (columns).
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.columns import hash_share
+from driftline.functions.columns import draw_hash, hash_share
 from driftline.operators.scan import ordered_index
-from driftline.schemas import KEY, PAST_ROWS, RETRAIN_ROWS, TRAIN_SEED, TRAIN_SHARE
+from driftline.schemas import KEY, KS_SEED, PAST_ROWS, RETRAIN_ROWS, TRAIN_SEED, TRAIN_SHARE
 
 
 def chrono_split(df: DataFrame, order: Sequence[str], rows: int = PAST_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -33,6 +33,15 @@ def hash_split(
     return df.filter(place < share), df.filter(place >= share)
 
 
+def draw_sample(df: DataFrame, keys: Sequence[str], rows: int, position: str = "pos", seed: int = KS_SEED) -> DataFrame:
+    """Random `rows` rows per key without replacement: those whose position has the smallest hashes.
+
+    The rank filter lets Spark cut every task down to its own `rows` smallest per key before the shuffle.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(draw_hash(F.col(position), seed), position))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= rows).drop("_rank")
+
+
 def latest_labelled(
     df: DataFrame, rows: int = RETRAIN_ROWS, arrival: str = "label_arrival_time", key: str = KEY
 ) -> DataFrame:

@@ -23,7 +23,7 @@ from driftline.operators import quality, retrain, sampling, scoring
 from driftline.operators.decode import decode_json, split_rejects
 from driftline.operators.scan import ordered_index
 from driftline.plans import views
-from driftline.schemas import FEATURE_EVENT, FEATURES, KEY
+from driftline.schemas import FEATURE_EVENT, FEATURES, KEY, KS_CURRENT
 from driftline.session import scratch_path
 from driftline.sources.files import append_idempotent, read_table
 from driftline.sources.logs import feature_events, read_log
@@ -315,6 +315,13 @@ def ordered_index_rows_query(spark, sf_dir):
 # Feature drift
 
 
+@query
+def draw_sample(spark, sf_dir):
+    """As many rows per segment as a test compares."""
+    rows = ordered_index(views.features(spark, sf_dir).select("segment", *TIME), ["segment"], TIME)
+    return sampling.draw_sample(rows, ["segment"], KS_CURRENT).drop("ts")
+
+
 @query
 def unpivot_features(spark, sf_dir):
     return kw.unpivot_features(views.features(spark, sf_dir), ["segment", "event_id"])

@@ -301,6 +301,9 @@ FROM labelled WINDOW w AS (ORDER BY label_arrival_time, "eventID" ROWS UNBOUNDED
 FROM labelled WINDOW w AS (PARTITION BY model_version ORDER BY label_arrival_time, "eventID" ROWS 499 PRECEDING)""",
     "ordered_index": """SELECT event_type AS segment, event_id,
   row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos FROM events""",
+    "draw_sample": """WITH pos AS (
+  SELECT event_type AS segment, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos FROM events)
+SELECT * FROM pos QUALIFY row_number() OVER (PARTITION BY segment ORDER BY substr(md5('42:' || pos), 1, 15), pos) <= 336""",
     "unpivot_features": f"""WITH {FEATURES} SELECT segment, event_id, feature, value
 FROM (SELECT segment, event_id, {_COLS} FROM fx) UNPIVOT (value FOR feature IN ({_COLS}))""",
     "ks_two_sample": f"""WITH {SHIFTED}, long AS (

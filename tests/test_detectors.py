@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from driftline.operators import kswin as kw
 from driftline.operators.eddm import eddm, eddm_run, error_distance
 from driftline.operators.scan import ordered_index, prefix_scan
 from driftline.operators.thin import thin
+from driftline.operators.sampling import draw_sample
 from tests import recurrence as rec
 
 
@@ -146,6 +148,15 @@ def test_thinning_equals_greedy(spark, block):
             assert sorted(kept.pos[kept.k == k]) == rec.thinned(ps, 50, before.get(k)), k
 
 
+def test_draw_equals_the_smallest_hashes(spark):
+    df = spark.createDataFrame([(k, p) for k, n in (("hot", 900), ("b", 20)) for p in range(1, n + 1)], "k string, pos bigint")
+    got = draw_sample(df.repartition(5), ["k"], 50)
+    for k, n in (("hot", 900), ("b", 20)):
+        want = sorted(range(1, n + 1), key=rec.draw)[:50]
+        assert sorted(r.pos for r in got.collect() if r.k == k) == sorted(want)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_p_values():
     assert critical_h(336, 0.005) == 45
     assert exact_p_value(44, 336) == pytest.approx(0.00624, abs=5e-6)
@@ -154,6 +165,11 @@ def test_p_values():
     # n = 2: the 6 orderings give D = 1 twice and D = 1/2 otherwise
     assert exact_p_value(2, 2) == pytest.approx(2 / 6)
     assert exact_p_value(1, 2) == pytest.approx(1.0)
+    for n in (3, 5):
+        orders = list(itertools.combinations(range(2 * n), n))
+        gaps = [max(abs(2 * sum(i <= v for i in a) - v - 1) for v in range(2 * n)) for a in orders]
+        for h in range(n + 1):
+            assert exact_p_value(h, n) == pytest.approx(sum(g >= h for g in gaps) / len(orders))
     assert asymptotic_p_value(0.05, 4000, 5000) == pytest.approx(exact_p_value(222, 4444), rel=0.05)
 
 
