@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +13,21 @@ from driftline.functions.columns import is_correct
 from driftline.schemas import KEY
 
 
+def _first_of_chunk(chunks: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    for chunk in chunks:
+        places = pa.table({"key": chunk.column(key), "place": np.arange(chunk.num_rows)})
+        first = places.group_by("key").aggregate([("place", "min")]).column("place_min")
+        yield chunk.take(first.combine_chunks())
+
+
 def once_per_key(stream: DataFrame, time: str, delay: str, key: str = KEY) -> DataFrame:
-    """First row of each key; repeats within `delay` are dropped, later state is forgotten."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    """First row of each key; repeats within `delay` are dropped, later state is forgotten.
+
+    The state is partitioned by key, so repeats are first dropped inside each chunk of a task: a key sent
+    over and over reaches its state task a few times only.
+    """
+    few = stream.mapInArrow(lambda chunks: _first_of_chunk(chunks, key), stream.schema)
+    return few.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def join_late_labels(
@@ -30,7 +46,7 @@ def join_late_labels(
     Both sides are held in state until the wait is over, so a label may also come before its
     prediction is read. `left_outer` adds predictions whose wait ended without a label, `full_outer`
     also labels whose prediction never came. With `once` only the first row of a key
-    counts on either side. Both time columns must be timestamps.
+    counts on either side, which also keeps a key sent over and over from filling one task. Both time columns must be timestamps.
     """
     left = predictions.drop("true_label", arrived_at)
     right = labels.select(F.col(key).alias("_label_key"), F.col("label").alias("true_label"), arrived_at)

@@ -153,6 +153,25 @@ def test_repeats_are_dropped_within_the_watermark(spark, tmp_path):
     assert spark.read.parquet(out).count() == labels.count()
 
 
+def test_a_key_sent_over_and_over_is_thinned_before_the_shuffle(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    rows_ = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias(KEY),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("at"),
+        F.when(F.col("id") % 2 == 0, F.lit(None).cast("string")).otherwise("UP").alias("label"),
+    )
+    rows_.union(rows_.limit(1).withColumn(KEY, F.lit(None).cast("string"))).write.parquet(log)
+    once = sl.once_per_key(read_log(spark, "parquet", rows_.schema, log), "at", "2 hours")
+    writer = once.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+    query = writer.start(out)
+    query.awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == got.select(KEY).distinct().count() == 2002
+    assert got.filter(F.col(KEY) != "hot").join(rows_, [KEY, "at"]).count() == 2000
+    dropped = max(int(p["stateOperators"][0]["customMetrics"]["numDroppedDuplicateRows"]) for p in query.recentProgress)
+    assert dropped < 50
+
+
 def test_planted_drift_is_reported_and_stationary_data_is_quiet(spark):
     rows_ = views.features(spark, SF01).select(*TIME, *FEATURES[:2])
     moved = views.shifted(spark, SF01).select(*TIME, *FEATURES[:2])
