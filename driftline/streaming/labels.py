@@ -46,7 +46,8 @@ def join_late_labels(
     Both sides are held in state until the wait is over, so a label may also come before its
     prediction is read. `left_outer` adds predictions whose wait ended without a label, `full_outer`
     also labels whose prediction never came. With `once` only the first row of a key
-    counts on either side, which also keeps a key sent over and over from filling one task. Both time columns must be timestamps.
+    counts on either side, which also keeps a key sent over and over from filling one task. Both time
+    columns must be timestamps.
     """
     left = predictions.drop("true_label", arrived_at)
     right = labels.select(F.col(key).alias("_label_key"), F.col("label").alias("true_label"), arrived_at)
