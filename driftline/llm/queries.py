@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import table
 from driftline.llm.line_dedup import dedup_lines
+from driftline.llm.near_dedup import near_duplicates
 from driftline.llm.packing import pack_documents
 from driftline.llm.sharding import shard_documents
 
@@ -24,12 +25,53 @@ def op8_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op7_line_dedup, op8_sharding)}
+def op10_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op5_best_fit_packing,
+        op7_line_dedup,
+        op8_sharding,
+        op10_minhash_near_dedup,
+    )
+}
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE: dict[str, str] = {
+    "op10_minhash_near_dedup": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(
+                CASE WHEN len(w) = 1 THEN [w[1]]
+                     ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END) AS s
+            FROM words WHERE len(w) > 0
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        ids AS (SELECT s, row_number() OVER () AS k FROM shingles GROUP BY s HAVING count(*) > 1),
+        shared AS (SELECT doc_id, k FROM shingles JOIN ids USING (s)),
+        pairs AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+            FROM shared x JOIN shared y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL
+        ),
+        links AS (
+            SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE 100 * both >= 80 * (p.n + q.n - both)
+        ),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(doc_id, r) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = r
+        ),
+        lowest AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM lowest LEFT JOIN sizes USING (doc_id)
+    """,
     "op7_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         lines AS (
