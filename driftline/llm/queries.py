@@ -57,12 +57,12 @@ ORACLE: dict[str, str] = {
         ids AS (SELECT s, row_number() OVER () AS k FROM shingles GROUP BY s HAVING count(*) > 1),
         shared AS (SELECT doc_id, k FROM shingles JOIN ids USING (s)),
         pairs AS (
-            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
             FROM shared x JOIN shared y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL
         ),
         links AS (
             SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
-            WHERE 100 * both >= 80 * (p.n + q.n - both)
+            WHERE 100 * common >= 80 * (p.n + q.n - common)
         ),
         edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reach(doc_id, r) AS (
