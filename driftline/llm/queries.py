@@ -5,13 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftline.llm.common import table
+from driftline.llm.common import bucket_of, table
+from driftline.llm.language_id import identify_languages
 from driftline.llm.line_dedup import dedup_lines
 from driftline.llm.near_dedup import near_duplicates
 from driftline.llm.packing import pack_documents
 from driftline.llm.sharding import shard_documents
 
 
+def op1_language_id(spark, sf_dir):
+    held_out = bucket_of("doc_id", 3) == 1
+    rows = identify_languages(table(spark, sf_dir, "documents"), ~held_out)
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,6 +39,7 @@ def op10_minhash_near_dedup(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_language_id,
         op5_best_fit_packing,
         op7_line_dedup,
         op8_sharding,
@@ -50,7 +58,7 @@ ORACLE: dict[str, str] = {
         shingles AS (
             SELECT DISTINCT doc_id, unnest(
                 CASE WHEN len(w) = 1 THEN [w[1]]
-                     ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END) AS s
+                     ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
             FROM words WHERE len(w) > 0
         ),
         sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
