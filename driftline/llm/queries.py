@@ -10,6 +10,8 @@ from driftline.llm.language_id import identify_languages
 from driftline.llm.line_dedup import dedup_lines
 from driftline.llm.near_dedup import near_duplicates
 from driftline.llm.packing import pack_documents
+from driftline.llm.pii import BASE, find_pii, span_digest
+from driftline.llm.quality import judge
 from driftline.llm.sharding import shard_documents
 
 
@@ -19,10 +21,25 @@ def op1_language_id(spark, sf_dir):
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_pii(spark, sf_dir):
+    rows = find_pii(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}")
+    return rows.select(
+        "doc_id",
+        *[count(k) for k in BASE],
+        F.sha2(span_digest("spans", BASE).cast("binary"), 256).alias("base_sha256"),
+        span_digest("spans").alias("spans"),
+    )
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    return judge(table(spark, sf_dir, "documents")).drop("failed")
+
+
 def op7_line_dedup(spark, sf_dir):
     rows = dedup_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -40,7 +57,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op4_pii,
         op5_best_fit_packing,
+        op6_quality_rules,
         op7_line_dedup,
         op8_sharding,
         op10_minhash_near_dedup,
@@ -80,6 +99,66 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM lowest LEFT JOIN sizes USING (doc_id)
     """,
+    "op6_quality_rules": """
+        WITH words AS (
+            SELECT doc_id, lang, source, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls
+            FROM documents
+        ),
+        windows AS (
+            SELECT doc_id, unnest(range(1, len(w) - 3)) AS p,
+                   unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS x
+            FROM words WHERE len(w) >= 5
+        ),
+        repeated AS (SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+        covered AS (
+            SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM repeated) GROUP BY doc_id
+        ),
+        m AS (
+            SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+                   CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                   CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+                   CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+            FROM words LEFT JOIN covered USING (doc_id)
+        ),
+        v AS (
+            SELECT *, least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS v1,
+                   least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)) AS v2,
+                   least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS v3,
+                   least(1000, 10 * word_chars // greatest(n_words, 1)) AS v4
+            FROM m
+        ),
+        own AS (
+            SELECT lang, source, count(*) AS docs,
+                   quantile_disc(v1, [0.5, 0.9]) AS a, quantile_disc(v2, [0.5, 0.9]) AS b,
+                   quantile_disc(v3, [0.5, 0.9]) AS c, quantile_disc(v4, [0.5, 0.9]) AS d FROM v GROUP BY ALL
+        ),
+        by_lang AS (
+            SELECT lang, count(*) AS docs,
+                   quantile_disc(v1, [0.5, 0.9]) AS a, quantile_disc(v2, [0.5, 0.9]) AS b,
+                   quantile_disc(v3, [0.5, 0.9]) AS c, quantile_disc(v4, [0.5, 0.9]) AS d FROM v GROUP BY ALL
+        ),
+        overall AS (
+            SELECT quantile_disc(v1, [0.5, 0.9]) AS a, quantile_disc(v2, [0.5, 0.9]) AS b,
+                   quantile_disc(v3, [0.5, 0.9]) AS c, quantile_disc(v4, [0.5, 0.9]) AS d FROM v
+        ),
+        picked AS (
+            SELECT own.lang, own.source, CASE WHEN own.docs >= 200 THEN [own.a, own.b, own.c, own.d]
+                WHEN by_lang.docs >= 200 THEN [by_lang.a, by_lang.b, by_lang.c, by_lang.d]
+                ELSE [overall.a, overall.b, overall.c, overall.d] END AS q
+            FROM own JOIN by_lang ON own.lang IS NOT DISTINCT FROM by_lang.lang, overall
+        ),
+        judged AS (
+            SELECT v.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                   v1 > q[1][2] + 3 * (q[1][2] - q[1][1]) + 50 OR v2 > q[2][2] + 3 * (q[2][2] - q[2][1]) + 100
+                   OR v3 > q[3][2] + 3 * (q[3][2] - q[3][1]) + 100 OR v4 > q[4][2] + 3 * (q[4][2] - q[4][1]) + 50 AS above
+            FROM v JOIN picked p ON v.lang IS NOT DISTINCT FROM p.lang AND v.source IS NOT DISTINCT FROM p.source
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT above AS kept FROM judged
+    """,
     "op7_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         lines AS (
