@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from driftline.llm.byte_bpe import encode_documents
 from driftline.llm.common import bucket_of, table
 from driftline.llm.language_id import identify_languages
 from driftline.llm.line_dedup import dedup_lines
@@ -49,6 +50,11 @@ def op8_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark, sf_dir):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return encode_documents(table(spark, sf_dir, "documents"), path, pattern, digests=True)
+
+
 def op10_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -62,6 +68,7 @@ QUERIES = {
         op6_quality_rules,
         op7_line_dedup,
         op8_sharding,
+        op9_byte_bpe,
         op10_minhash_near_dedup,
     )
 }
