@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline.llm.byte_bpe import encode_documents
 from driftline.llm.common import bucket_of, table
 from driftline.llm.language_id import identify_languages
+from driftline.llm.language_model import score_documents
 from driftline.llm.line_dedup import dedup_lines
 from driftline.llm.near_dedup import near_duplicates
 from driftline.llm.packing import pack_documents
@@ -22,6 +23,12 @@ def op1_language_id(spark, sf_dir):
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_lm_scoring(spark, sf_dir):
+    held_out = bucket_of("doc_id", 7) == 2
+    rows = score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    return rows.withColumn("train", ~F.col("train")).withColumnRenamed("train", "held_out")
+
+
 def op4_pii(spark, sf_dir):
     rows = find_pii(table(spark, sf_dir, "documents"))
     count = lambda kind: F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}")
@@ -63,6 +70,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op3_lm_scoring,
         op4_pii,
         op5_best_fit_packing,
         op6_quality_rules,
