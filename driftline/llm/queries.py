@@ -15,6 +15,7 @@ from driftline.llm.packing import pack_documents
 from driftline.llm.pii import BASE, find_pii, span_digest
 from driftline.llm.quality import judge
 from driftline.llm.sharding import shard_documents
+from driftline.llm.vector_search import search
 
 
 def op1_language_id(spark, sf_dir):
@@ -23,6 +24,10 @@ def op1_language_id(spark, sf_dir):
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_vector_search(spark, sf_dir):
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op3_lm_scoring(spark, sf_dir):
     held_out = bucket_of("doc_id", 7) == 2
     rows = score_documents(table(spark, sf_dir, "documents"), ~held_out)
@@ -70,6 +75,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op2_vector_search,
         op3_lm_scoring,
         op4_pii,
         op5_best_fit_packing,
