@@ -4,8 +4,54 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from driftline.llm.common import unused
+from driftline.llm.language_id import learn_profiles, predict_languages
+from driftline.llm.line_dedup import apply_bitmaps, keep_bitmaps
+from driftline.llm.near_dedup import near_duplicates
 from driftline.llm.packing import pack_documents
+from driftline.llm.pii import mask_pii
+from driftline.session import materialise
+
+MIN_SCORE = 0.2  # below it a text resembles no language that was learned
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: texts without a letter, and texts far from every learned language, go.
+
+    Profiles are learned from all labelled rows; the language of a row without a label is filled in. Without any
+    label nothing can be learned, and only texts without a letter go.
+    """
+    profiles = learn_profiles(docs)
+    if profiles.empty:
+        return docs.filter(F.col("text").rlike("\\p{L}"))
+    lang, score = unused("lang_pred", docs.columns), unused("score", docs.columns)
+    found = predict_languages(docs, profiles, lang_out=lang, score_out=score)
+    kept = found.filter((F.col(lang) != "und") & (F.col(score) >= MIN_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", lang)).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in one document only; documents that lose all lines go."""
+    bitmaps = materialise(keep_bitmaps(docs), "bitmaps")
+    rows = apply_bitmaps(docs, bitmaps).filter("n_dropped < n_lines")
+    text = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
+    return rows.select(*[text.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays; rows with the same id stay or go together."""
+    groups = near_duplicates(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
+    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets; every document stays."""
+    masked = mask_pii(docs)
+    return masked.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,15 +59,19 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("pii", pii),
+    ("packing", packing),
+]
 
-ORACLE_SQL = None  # no SQL for the language model of text or for packing; tests/llm has a brute-force version
+ORACLE_SQL = None  # no SQL for language profiles, tokens and packing; tests/llm/test_pipeline.py has a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over `documents`; what a stage returns is stored and read again by the next."""
-    from driftline.session import materialise
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)

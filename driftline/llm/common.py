@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column bears it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bucket_of(column: str, buckets: int) -> Column:
     """crc32 of a column's text modulo `buckets`; null counts as empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")

@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.llm.common import text_slices
 from driftline.session import materialise
@@ -154,9 +155,8 @@ class RankModel:
 def predict_languages(
     docs: DataFrame, profiles: pd.DataFrame, text_col: str = "text", size: int = SIZE, lang_out: str = "lang_pred", score_out: str = "score"
 ) -> DataFrame:
-    """`docs` with the predicted language and its score."""
-    columns = [c for c in docs.columns if c not in (lang_out, score_out)]
-    schema = docs.select(columns).schema.add(lang_out, "string").add(score_out, "double")
+    """`docs` with the predicted language and its score, under names that `docs` does not use."""
+    schema = T.StructType(list(docs.schema.fields)).add(lang_out, "string").add(score_out, "double")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = RankModel(profiles, size)
@@ -166,7 +166,7 @@ def predict_languages(
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, lang_out, score_out])
 
-    return docs.select(columns).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def identify_languages(

@@ -85,22 +85,17 @@ def keep_bitmaps(
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with `kept_text`, `n_lines` and `n_dropped`; rows without a bitmap keep all lines."""
-    own = F.col("_version") == F.col("version")
-    joined = docs.withColumn("_version", F.xxhash64(text_col)).join(
-        bitmaps.withColumnsRenamed({"n_dropped": "_dropped", "drops": "_drops"}), (F.col(id_col) == F.col("doc")) & own, "left"
-    )
-    text = f"coalesce(`{text_col}`, '')"
+    """`row` (the whole row of `docs`), kept_text, n_lines and n_dropped; rows without a bitmap keep all lines."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text_col).alias("own"))
+    same = (F.col(f"row.{id_col}") == F.col("doc")) & (F.col("own") == F.col("version"))
+    text = f"coalesce(row.`{text_col}`, '')"
     kept = F.expr(
-        f"case when _drops is null then {text} else array_join(filter(split({text}, '\\n', -1), (line, i) ->"
-        " coalesce(element_at(_drops, i div 64), 0L) & shiftleft(1L, i % 64) = 0), '\\n') end"
+        f"case when drops is null then {text} else array_join(filter(split({text}, '\\n', -1), (line, i) ->"
+        " coalesce(element_at(drops, i div 64), 0L) & shiftleft(1L, i % 64) = 0), '\\n') end"
     )
     n_lines = F.expr(f"cast(length({text}) - length(replace({text}, '\\n', '')) + 1 as bigint)")
-    return joined.select(
-        *[docs[c] for c in docs.columns],
-        kept.alias("kept_text"),
-        n_lines.alias("n_lines"),
-        F.coalesce(F.col("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+    return rows.join(bitmaps, same, "left").select(
+        "row", kept.alias("kept_text"), n_lines.alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("n_dropped")
     )
 
 
@@ -114,4 +109,4 @@ def dedup_lines(
     """id, n_lines, n_dropped, kept_text of every row of `docs`."""
     own = docs.select(id_col, text_col)
     bitmaps = materialise(keep_bitmaps(own, id_col, text_col, min_length, min_documents), "bitmaps")
-    return apply_bitmaps(own, bitmaps, id_col, text_col).select(id_col, "n_lines", "n_dropped", "kept_text")
+    return apply_bitmaps(own, bitmaps, id_col, text_col).select(f"row.{id_col}", "n_lines", "n_dropped", "kept_text")
