@@ -26,7 +26,6 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,22 +123,24 @@ def resolved(stored: DataFrame, counts: DataFrame, vocabulary: DataFrame) -> Dat
     lists = stored.filter("word is not null").select(F.col("block").alias("list"), "number", "word").join(known, "word").drop("word")
     texts = stored.filter("word is null").select("block", "id", "train", "tokens")
 
-    def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         order = np.argsort(words["number"].to_numpy())
         c, model = words["c"].to_numpy()[order], words["model"].to_numpy()[order].astype(np.uint16)
         logs = np.log10(c + 1.0)
         out = []
-        for tokens in docs["tokens"]:
+        for tokens in docs["tokens"].to_pylist():
             at = np.frombuffer(tokens, np.int32)
             ids, own = model[at], logs[at]
             rest = ids == REST
             out.append((len(at), int((c[at] > 0).sum()), float(own.sum()), int(rest.sum()), float(own[rest].sum()), ids.tobytes()))
-        columns = ["n_tokens", "n_known", "log_counts", "rest", "rest_logs", "model"]
-        return pd.concat([docs[["id", "train"]].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
+        kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "log_counts": pa.float64(), "rest": pa.int64(), "rest_logs": pa.float64(), "model": pa.binary()}
+        columns = zip(*out) if out else [[]] * len(kinds)
+        found = {name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), columns)}
+        return pa.table({"id": docs["id"], "train": docs["train"]} | found)
 
     kind = stored.schema["id"].dataType.simpleString()
     schema = f"id {kind}, train boolean, n_tokens bigint, n_known bigint, log_counts double, rest bigint, rest_logs double, model binary"
-    return texts.groupBy("block").cogroup(lists.groupBy("list")).applyInPandas(run, schema)
+    return texts.groupBy("block").cogroup(lists.groupBy("list")).applyInArrow(run, schema)
 
 
 class LogBilinear:
@@ -298,18 +299,16 @@ def score_documents(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, norm = LogBilinear(size, width, flat).tables()
         for batch in batches:
-            frame = batch.to_pandas()
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             scores = []
-            for text, rest, rest_logs in zip(frame["model"], frame["rest"], frame["rest_logs"]):
+            for text, rest, rest_logs in zip(column["model"].to_pylist(), column["rest"].to_pylist(), column["rest_logs"].to_pylist()):
                 near, far, target = contexts(text)
                 logs = one[near, target] + two[far, target] - norm[near, far]
                 scores.append(logs.sum() / np.log(10) + rest_logs - rest * rest_norm)
-            frame["score"] = np.array(scores, np.float64)
-            frame["base_score"] = frame["log_counts"] - frame["n_tokens"] * base_norm
-            frame["train_tokens"] = n
-            yield pa.RecordBatch.from_pandas(frame[result], schema=None, preserve_index=False)
+            base = column["log_counts"].to_numpy() - column["n_tokens"].to_numpy() * base_norm
+            new = {"train_tokens": np.full(len(scores), n), "base_score": base, "score": np.array(scores, np.float64)}
+            yield pa.RecordBatch.from_pydict({name: column[name] for name in ("id", "train", "n_tokens", "n_known")} | new)
 
-    result = ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,11 +67,11 @@ class ChunkEncoder:
         if chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():
             return self._word(chunk[:-1].lower()) + self._word(chunk[-1:])
         text = chunk.decode()
-        if text.isalpha() and max(text) < "ɐ":
-            return self._word(self._bytes(unicodedata.normalize("NFC", text).lower()))
-        if text[-1] in ".," and text[:-1].isalpha() and max(text) < "ɐ":
-            word = unicodedata.normalize("NFC", text[:-1]).lower()
-            return self._word(self._bytes(word)) + self._word(chunk[-1:])
+        body, mark = (text[:-1], chunk[-1:]) if text[-1] in ".," else (text, b"")
+        if max(text) < "ɐ":
+            word = unicodedata.normalize("NFC", body).lower()
+            if word.isalpha():  # still one run of letters
+                return self._word(self._bytes(word)) + (self._word(mark) if mark else [])
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     @staticmethod
@@ -197,14 +196,14 @@ def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPAC
     groups = max(1, -(-pieces.count() // group_rows))
     rows = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit("pack"), id_col, "piece", "ids_crc32"), F.lit(groups)))
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", id_col, "piece"], ascending=[False, True, True], kind="stable")
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), (id_col, "ascending"), ("piece", "ascending")])
         bins, offsets = sum_of_squares(group["length"].to_numpy(), capacity)
-        return group.drop(columns="_group").assign(sequence_id=int(group["_group"].iloc[0]) + groups * bins, offset=offsets)
+        ids = group["_group"].to_numpy()[0] + groups * bins
+        return group.drop_columns("_group").append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
 
-    kind = pieces.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind)
-    return rows.groupBy("_group").applyInPandas(pack, schema + ", sequence_id bigint, offset bigint")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    return rows.groupBy("_group").applyInArrow(pack, schema + ", sequence_id bigint, offset bigint")
 
 
 def pack_documents(
