@@ -43,7 +43,8 @@ def encode_label(label: Column, unknown: str = "null") -> Column:
 
 
 def decode_prediction(prediction: Column) -> Column:
-    return F.when(prediction == 0, F.lit(DOWN)).otherwise(F.lit(UP))
+    """0 as DOWN, any other number as UP; a missing prediction stays missing."""
+    return F.when(prediction == 0, F.lit(DOWN)).when(prediction.isNotNull(), F.lit(UP))
 
 
 def is_correct(predicted: Column, truth: Column) -> Column:

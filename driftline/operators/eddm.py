@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators.scan import BLOCK, ROW, earlier_blocks, join_totals, ordered_blocks, within_block
 from driftline.schemas import EDDM_DRIFT, EDDM_MIN_ERRORS, EDDM_WARNING
-from driftline.session import fits_broadcast, materialise
+from driftline.session import materialise
 
 WIDE = "decimal(38,0)"
 STATE = {"n": "bigint", "errors": "bigint", "last": "bigint", "squares": WIDE, "best": "double"}
@@ -118,8 +118,6 @@ def eddm_run(
 
     # Pass 1 over all rows: positions and error numbers.
     located, carry = _locate(df, keys, order, ok, state)
-    # Tables derived from `carry` have its rows; they are broadcast if it is known to be short.
-    per_block = F.broadcast if fits_broadcast(carry) else (lambda table: table)
 
     # Pass 2 over errors only: distances and the running sum of their squares.
     wide = F.col("distance").cast("decimal(18,0)")
@@ -131,7 +129,7 @@ def eddm_run(
     carry = carry.withColumn("_q0", (F.col("_s_squares") + earlier).cast(WIDE))
 
     # Pass 3: c of every error, then its running maximum.
-    errors = errors.join(per_block(carry.select(*keys, BLOCK, "_q0")), [*keys, BLOCK]).withColumn(
+    errors = errors.join(carry.select(*keys, BLOCK, "_q0"), [*keys, BLOCK]).withColumn(
         "_c", _spread(F.col("num_errors"), F.col("pos"), (F.col("_q0") + F.col("_q")).cast(WIDE))
     )
     best = errors.groupBy(*keys, BLOCK).agg(F.max("_c").alias("_c"))
@@ -143,7 +141,7 @@ def eddm_run(
     if not errors_only:
         fine = located.filter("_ok").select(*columns, BLOCK, ROW, "pos")
         shown = shown.unionByName(fine, allowMissingColumns=True)
-    done = shown.join(per_block(carry.select(*keys, BLOCK, "_e0", "_p0", "_c0")), [*keys, BLOCK]).withColumns(
+    done = shown.join(carry.select(*keys, BLOCK, "_e0", "_p0", "_c0"), [*keys, BLOCK]).withColumns(
         {
             "_i": F.greatest(F.col("_e0"), F.max("num_errors").over(here)),
             "_at": F.greatest(F.col("_p0"), F.max("_p").over(here)),

@@ -124,6 +124,7 @@ def window_tests(
     """
     keys, keep, features = list(keys), list(keep), list(features)
     size = reference + current
+    block_length = max(block_length, 4 * size)  # else most of a cell would be the window before it
     covering = F.sequence(
         F.expr(f"(pos - 1) div {block_length}"), F.expr(f"(pos - 1 + {size - 1}) div {block_length}")
     )

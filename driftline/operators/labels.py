@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.columns import is_correct
 from driftline.schemas import KEY, PREDICTION_COLUMNS
+from driftline.session import materialise
 
 
 def _extreme_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
@@ -39,25 +40,37 @@ def latest_label(labels: DataFrame, key: str = KEY, arrival: str = "label_arriva
 
 def join_labels(predictions: DataFrame, labels: DataFrame, key: str = KEY) -> DataFrame:
     """Labelled predictions with `is_correct`; labels have one row per key."""
-    joined = predictions.drop("true_label", "label_arrival_time").join(labels, key)
+    joined = predictions.drop("true_label", "label_arrival_time").join(_stored(labels, key), key)
     return joined.withColumnRenamed("label", "true_label").withColumn(
         "is_correct", is_correct(F.col("predicted_label"), F.col("true_label"))
     )
 
 
+def _stored(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, stored. Both sides of a join are then plain shuffles, so that the rows of a hot key on the
+    other side can be split over several tasks, which an aggregate between shuffle and join would rule out."""
+    return materialise(df.filter(F.col(key).isNotNull()), "keys")
+
+
 def _keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys once each: repeats are dropped before the shuffle that the join needs anyway."""
-    return df.select(key).distinct()
+    """Keys once each: repeats are dropped before the shuffle."""
+    return _stored(df.select(key).distinct(), key)
+
+
+def _unmatched(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among `keys`. Null keys match nothing and take no part in the shuffle."""
+    known = df.filter(F.col(key).isNotNull()).join(keys, key, "left_anti")
+    return known.unionByName(df.filter(F.col(key).isNull()))
 
 
 def orphan_labels(predictions: DataFrame, labels: DataFrame, key: str = KEY) -> DataFrame:
     """Labels no prediction has (yet)."""
-    return labels.join(_keys(predictions, key), key, "left_anti")
+    return _unmatched(labels, _keys(predictions, key), key)
 
 
 def pending_predictions(predictions: DataFrame, labels: DataFrame, key: str = KEY) -> DataFrame:
     """Predictions whose label has not come."""
-    return predictions.join(_keys(labels, key), key, "left_anti")
+    return _unmatched(predictions, _keys(labels, key), key)
 
 
 def prediction_view(predictions: DataFrame, label_log: DataFrame, key: str = KEY) -> DataFrame:
@@ -65,9 +78,11 @@ def prediction_view(predictions: DataFrame, label_log: DataFrame, key: str = KEY
 
     Labels are only ever appended to their log; this join takes the place of row updates.
     """
-    labels = latest_label(label_log, key).withColumnRenamed("label", "true_label")
+    labels = _stored(latest_label(label_log, key).withColumnRenamed("label", "true_label"), key)
     bare = predictions.drop("true_label", "label_arrival_time")
-    return bare.join(labels, key, "left").select(*[c for c in PREDICTION_COLUMNS if c in {*bare.columns, *labels.columns}])
+    joined = bare.filter(F.col(key).isNotNull()).join(labels, key, "left")
+    joined = joined.unionByName(bare.filter(F.col(key).isNull()), allowMissingColumns=True)
+    return joined.select(*[c for c in PREDICTION_COLUMNS if c in {*bare.columns, *labels.columns}])
 
 
 def attach_by_key(left: DataFrame, right: DataFrame, key: str = KEY, order: Sequence[str] | None = None) -> DataFrame:
@@ -75,4 +90,5 @@ def attach_by_key(left: DataFrame, right: DataFrame, key: str = KEY, order: Sequ
 
     Repeated keys on the right do not multiply rows, and null keys match nothing.
     """
-    return left.join(first_per_key(right, [key], order or [c for c in right.columns if c != key]), key)
+    first = first_per_key(right, [key], order or [c for c in right.columns if c != key])
+    return left.join(_stored(first, key), key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegressionModel
@@ -45,17 +46,22 @@ def retrain_requests(
 
 
 def new_requests(
-    drifts: DataFrame, requests: DataFrame, finishes: DataFrame, keys: Sequence[str], timeout: int | None = None
+    drifts: DataFrame,
+    requests: DataFrame,
+    finishes: DataFrame,
+    keys: Sequence[str],
+    timeout: int | None = None,
+    cooldown: int = 0,
 ) -> DataFrame:
     """Requests that the drifts of one batch add to the log of earlier `requests`.
 
     A row of `finishes` names the request it ends by `keys` and `pos`. A key with an open request gets
-    no other one until `timeout` positions have passed.
+    no other one until `timeout` positions have passed, and none within `cooldown` positions of the request answered last.
     """
     keys = list(keys)
     ended = finishes.groupBy(*keys).agg(F.max("pos").alias("_ended"))
     last = requests.groupBy(*keys).agg(F.max("pos").alias("_last")).join(ended, keys, "left")
-    free = F.col("_last").isNull() | (F.col("_ended") >= F.col("_last"))
+    free = F.col("_last").isNull() | ((F.col("_ended") >= F.col("_last")) & (F.col("pos") >= F.col("_ended") + cooldown))
     if timeout is not None:
         free = free | (F.col("pos") >= F.col("_last") + timeout)
     fresh = drifts.select(*keys, "pos").join(last, keys, "left").filter(F.coalesce(free, F.lit(False)))
@@ -63,14 +69,18 @@ def new_requests(
 
 
 def current_model(registry: DataFrame) -> DataFrame:
-    """The registry row with the highest version."""
-    return registry.agg(F.max_by(F.struct(*registry.columns), "version").alias("_row")).select("_row.*").dropna(
+    """The registry row with the highest version; of two with the same version the one trained last."""
+    rank = F.struct("version", *[c for c in ("trained_at", "path") if c in registry.columns])
+    return registry.agg(F.max_by(F.struct(*registry.columns), rank).alias("_row")).select("_row.*").dropna(
         subset=["version"]
     )
 
 
 def register(spark: SparkSession, registry_path: str, version: int, name: str, path: str, rows: int) -> None:
-    """Append a version. Readers take the highest, so they see the old one or the new one, never a mix."""
+    """Append a version. Readers take the highest, so they see the old one or the new one, never a mix.
+
+    Two writers may reach the same version at once; each has files of its own, and the later one counts.
+    """
     from datetime import datetime, timezone
 
     entry = [(version, name, path, datetime.now(timezone.utc), rows)]
@@ -87,6 +97,7 @@ class ModelCache:
     def __init__(self, spark: SparkSession, registry_path: str):
         self.spark, self.registry_path = spark, registry_path
         self._name: str | None = None
+        self._path: str | None = None
         self._model: LinearModel | None = None
 
     def current(self) -> tuple[str, LinearModel]:
@@ -94,13 +105,14 @@ class ModelCache:
         row = current_model(read_registry(self.spark, self.registry_path)).first()
         if row is None:
             raise FileNotFoundError(f"no model in registry {self.registry_path}")
-        if row["name"] != self._name:
+        if row["path"] != self._path:
             files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
             try:
                 files.load(f"{row['path']}/metadata").limit(1).count()
             except Exception as error:
                 raise FileNotFoundError(f"model {row['name']} not found at {row['path']}") from error
-            self._model, self._name = LinearModel.of(LogisticRegressionModel.load(row["path"])), row["name"]
+            self._model = LinearModel.of(LogisticRegressionModel.load(row["path"]))
+            self._name, self._path = row["name"], row["path"]
         return self._name, self._model
 
 
@@ -115,8 +127,8 @@ def train_version(
     finally:
         df.unpersist()
     name = f"lr_v{version}"
-    path = f"{models_path.rstrip('/')}/{name}"
-    model.write().overwrite().save(path)
+    path = f"{models_path.rstrip('/')}/{name}-{uuid.uuid4().hex}"  # never a path that someone may be reading
+    model.write().save(path)
     register(spark, registry_path, version, name, path, rows)
     return model
 

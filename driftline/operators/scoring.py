@@ -46,7 +46,9 @@ def score(df: DataFrame, model: LinearModel, features: Sequence[str] = FEATURES)
 
     All columns stay, so nothing has to be joined back.
     """
-    cut = math.log(model.threshold / (1 - model.threshold))
+    # Chance above a threshold of 0 is certain, above 1 impossible.
+    t = model.threshold
+    cut = -math.inf if t <= 0 else math.inf if t >= 1 else math.log(t / (1 - t))
     return df.withColumn("prediction", (margin(model.weights, model.intercept, features) > cut).cast("double"))
 
 

@@ -3,21 +3,24 @@
 Which rows are kept depends on every earlier choice, but only through one number: the position from
 which a row may be kept again. A block of positions is therefore summed up by how it maps that number
 at its start to the number at its end, a step function of at most `gap` steps. Blocks are summed up in
-parallel, the steps are chained per key over the few block summaries, and the blocks then pick their
-rows in parallel.
+parallel, the summaries are chained in groups of a fixed number, and the groups' summaries likewise, until
+one group is left; the blocks then pick their rows in parallel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.session import materialise
+
 BLOCK_LENGTH = 1_000_000
-MAX_BLOCKS = 10_000
+FAN = 32  # block summaries chained in one task
 
 
 def _block_map(pos: np.ndarray, start: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +48,55 @@ def _chain(pos: np.ndarray, free: int, gap: int) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
+def _apply(heads: np.ndarray, frees: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Where a block leaves each of the positions `free`."""
+    if not len(heads):
+        return free
+    i = np.searchsorted(heads, free)
+    return np.where(i < len(heads), frees[np.minimum(i, len(heads) - 1)], free)
+
+
+def _compose(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Step function of two blocks in a row."""
+    beyond = second[0] > (first[0][-1] if len(first[0]) else -1)
+    heads = np.concatenate([first[0], second[0][beyond]])
+    frees = np.concatenate([_apply(*second, first[1]), second[1][beyond]])
+    last = np.append(np.diff(frees) != 0, True)[: len(frees)]
+    return heads[last], frees[last]
+
+
+def _entries(maps: DataFrame, keys: list[str], key_ddl: str) -> DataFrame:
+    """Position from which rows may be kept, at the start of every block; no task chains more than `FAN` blocks."""
+    cells = maps.agg(F.max("_cell")).first()[0] or 0
+    part = F.expr(f"_cell div {FAN}")
+
+    def steps(group: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(np.asarray(h, np.int64), np.asarray(f, np.int64)) for h, f in zip(group["heads"], group["frees"])]
+
+    def resolve(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_cell")
+        free, found = np.array([group["_start"].iloc[0]], np.int64), []
+        for step in steps(group):
+            found.append(int(free[0]))
+            free = _apply(*step, free)
+        return group[[*keys, "_cell"]].assign(_free=found)
+
+    if cells < FAN:
+        started = maps.withColumn("_start", F.lit(1).cast("bigint")).withColumn("_part", F.lit(0).cast("bigint"))
+    else:
+
+        def chain(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("_cell")
+            heads, frees = reduce(_compose, steps(group))
+            return group.iloc[:1][keys].assign(_cell=group["_cell"].iloc[0] // FAN, heads=[heads.tolist()], frees=[frees.tolist()])
+
+        schema = f"{key_ddl}_cell bigint, heads array<bigint>, frees array<bigint>"
+        upper = maps.withColumn("_part", part).groupBy(*keys, "_part").applyInPandas(chain, schema)
+        starts = _entries(materialise(upper, "maps"), keys, key_ddl).withColumnsRenamed({"_cell": "_part", "_free": "_start"})
+        started = maps.withColumn("_part", part).join(materialise(starts, "starts"), [*keys, "_part"])
+    return started.groupBy(*keys, "_part").applyInPandas(resolve, f"{key_ddl}_cell bigint, _free bigint")
+
+
 def thin(
     rows: DataFrame,
     keys: Sequence[str],
@@ -59,10 +111,7 @@ def thin(
     read three times: pass a stored table.
     """
     keys, columns = list(keys), rows.columns
-    if block_length is None:
-        top = rows.agg(F.max(position)).first()[0] or 0
-        block_length = max(BLOCK_LENGTH, -(-top // MAX_BLOCKS))
-    length = max(block_length, gap)
+    length = max(block_length or BLOCK_LENGTH, gap)
     if last is not None:
         prior = last.select(*keys, F.col(position).alias("_last"))
         rows = rows.join(prior, keys, "left").filter(
@@ -83,17 +132,7 @@ def thin(
         .applyInPandas(summarise, f"{key_ddl}_cell bigint, heads array<bigint>, frees array<bigint>")
     )
 
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_cell")
-        free, entries = 1, []
-        for heads, frees in zip(group["heads"], group["frees"]):
-            entries.append(free)
-            i = int(np.searchsorted(heads, free))
-            if i < len(heads):
-                free = int(frees[i])
-        return group[[*keys, "_cell"]].assign(_free=entries)
-
-    entries = maps.groupBy(*keys).applyInPandas(resolve, f"{key_ddl}_cell bigint, _free bigint")
+    entries = _entries(materialise(maps, "maps"), keys, key_ddl)
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(position, ignore_index=True)

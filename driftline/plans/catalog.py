@@ -25,10 +25,10 @@ from driftline.operators.scan import ordered_index
 from driftline.plans import views
 from driftline.schemas import FEATURE_EVENT, FEATURES, KEY, KS_CURRENT
 from driftline.session import scratch_path
-from driftline.sources.files import append_idempotent, read_table
+from driftline.sources.files import append_idempotent, batches_of, read_batch, read_csv, read_table, write_csv
 from driftline.sources.logs import feature_events, read_log
 from driftline.streaming import labels as stream_labels
-from driftline.streaming.monitors import monitor_errors, monitor_features
+from driftline.streaming.monitors import LabelTables, follow_labels, monitor_errors, monitor_features
 from driftline.streaming.scoring import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -456,6 +456,89 @@ def stream_label_join(spark, sf_dir):
     return spark.read.parquet(f"{root}/joined")
 
 
+def _follow_labels(spark, sf_dir) -> LabelTables:
+    """Predictions and labels fed in three parts that ignore their times: labels before their prediction, days after it,
+    corrections before or after what they correct. The query stops and restarts between the parts."""
+    root = scratch_path(spark, "follow")
+    tables = LabelTables(*[f"{root}/{name}" for name in LabelTables._fields])
+    stamped = lambda rows, time: rows.withColumn(time, F.col(time).cast("timestamp"))
+    logs = {
+        "p": stamped(views.predictions(spark, sf_dir).drop("true_label", "label_arrival_time"), "prediction_time"),
+        "l": stamped(views.label_log(spark, sf_dir), "label_arrival_time"),
+    }
+    for part in range(3):
+        for name, rows in logs.items():
+            share = F.pmod(F.xxhash64(*rows.columns), F.lit(3)) if name == "l" else F.pmod(F.xxhash64(KEY), F.lit(3))
+            rows.filter(share == part).write.mode("append").parquet(f"{root}/{name}")
+        streams = [read_log(spark, "parquet", rows.schema, f"{root}/{name}") for name, rows in logs.items()]
+        follow_labels(*streams, ["model_version"], ARRIVAL, tables, f"{root}/checkpoint").awaitTermination()
+    return tables
+
+
+@query
+def stream_labelled_table(spark, sf_dir):
+    """What a retraining learns from after the stream: every prediction with its last label."""
+    tables = _follow_labels(spark, sf_dir)
+    log = read_table(spark, tables.label_log).drop("batch_id")
+    rows = lb.prediction_view(views.predictions(spark, sf_dir), log).filter("true_label is not null")
+    return rows.select(KEY, "predicted_label", "true_label", F.col("label_arrival_time").cast("timestamp_ntz").alias("label_arrival_time"))
+
+
+@query
+def stream_labelled_once(spark, sf_dir):
+    """Predictions whose error was counted, once each."""
+    return read_table(spark, _follow_labels(spark, sf_dir).labelled).select(KEY, "model_version")
+
+
+@query
+def stream_orphans(spark, sf_dir):
+    """Labels that still wait for a prediction when the stream ends."""
+    tables = _follow_labels(spark, sf_dir)
+    return read_batch(spark, tables.orphans, batches_of(spark, tables.orphans)[-1]).select(KEY, "label")
+
+
+@query
+def ks_equal_sizes(spark, sf_dir):
+    """Two halves of equal size per line number, whatever the size: prices by the parity of their row."""
+    rows = views.table(spark, sf_dir, "lineitem").select("l_linenumber", "l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
+    place = ordered_index(rows, ["l_linenumber"], ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"])
+    paired = place.withColumn("pair", F.expr("(pos - 1) div 2")).groupBy("l_linenumber", "pair").agg(
+        F.min_by("l_extendedprice", "pos").alias("a"), F.max_by("l_extendedprice", "pos").alias("b"), F.count(F.lit(1)).alias("n")
+    )
+    both = paired.filter("n = 2").select(F.expr("stack(2, true, a, false, b) as (first, price)"))
+    return rounded(kw.ks_two_sample(both, [], "price", F.col("first")), 9, "ks_statistic", "p_value")
+
+
+@query
+def registry_advance(spark, sf_dir):
+    """The current model after one version was registered for each model seen, in order."""
+    root = scratch_path(spark, "registry")
+    seen = views.predictions(spark, sf_dir).groupBy("model_version").count().orderBy("model_version").collect()  # a row per model
+    for version, row in enumerate(seen, 1):
+        retrain.register(spark, root, version, row["model_version"], f"models/{version}", row["count"])
+    return retrain.current_model(retrain.read_registry(spark, root)).select("version", "name", "path", "rows")
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    root = scratch_path(spark, "csv")
+    write_csv(_raw_rows(spark, sf_dir).select("date", "day", "period"), root)
+    return read_csv(spark, root, "date string, day string, period string")
+
+
+@query
+def stream_score_swap(spark, sf_dir):
+    """Three batches of events, scored by the first model, then twice by the second."""
+    root = scratch_path(spark, "swap")
+    models = iter([("lr_v1", views.MODEL_1), ("lr_v2", views.MODEL_2), ("lr_v2", views.MODEL_2)])
+
+    def run(log):
+        return score_stream(feature_events(log), lambda: next(models), f"{root}/table", f"{root}/checkpoint")
+
+    _in_parts(views.json_log(spark, sf_dir), "ts", f"{root}/log", run)
+    return read_table(spark, f"{root}/table").select(KEY, "predicted_label", "model_version")
+
+
 @query
 def stream_eddm(spark, sf_dir):
     root = scratch_path(spark, "errors")

@@ -19,16 +19,18 @@ from pyspark.sql.streaming import StreamingQuery
 from driftline.functions.columns import encode_label, event_key
 from driftline.operators import retrain as rt
 from driftline.operators import sampling, scoring
-from driftline.schemas import FEATURES, KEY, PAST_ROWS, PREDICTION_COLUMNS, RETRAIN_ROWS
+from driftline.operators.labels import prediction_view
+from driftline.schemas import FEATURES, KEY, PAST_ROWS, RETRAIN_ROWS
 from driftline.session import build_session, scratch_scope
 from driftline.sources import files, logs
-from driftline.streaming.labels import join_late_labels
-from driftline.streaming.monitors import monitor_errors, monitor_features
+from driftline.streaming.monitors import LabelTables, follow_labels, monitor_features
 from driftline.streaming.scoring import score_stream
 
 log = logging.getLogger(__name__)
 
 REQUEST = "model_version string, pos bigint"
+REQUEST_TIMEOUT = 100_000  # labelled rows after which a request without an answer is given up
+LABEL = f"{KEY} string, label string, label_arrival_time timestamp"
 PREDICTION = (
     f"{KEY} string, "
     + ", ".join(f"{f} double" for f in FEATURES)
@@ -99,14 +101,19 @@ def predict(spark: SparkSession, root: str, events: DataFrame, interval: str | N
     )
 
 
+def _place(events: DataFrame) -> list[str]:
+    """Columns of the envelope that order its records; a broker's partition and offset make the order total."""
+    return [c for c in ("timestamp", "partition", "offset") if c in events.columns]
+
+
 def watch_features(root: str, events: DataFrame, interval: str | None = None, **options) -> StreamingQuery:
     """Report drift of each feature in a log of feature events."""
     at = Layout(root)
-    decoded = logs.feature_events(events, keep=("timestamp",))
+    decoded = logs.feature_events(events, keep=tuple(_place(events)))
     return monitor_features(
         decoded,
         [],
-        ["timestamp", KEY],
+        [*_place(events), KEY],
         at.feature_drifts,
         at.feature_state,
         at.feature_checkpoint,
@@ -119,38 +126,35 @@ def watch_errors(
     spark: SparkSession,
     root: str,
     labels: DataFrame,
-    wait: str = "1 day",
-    delay: str = "10 minutes",
-    timeout: int | None = None,
+    timeout: int | None = REQUEST_TIMEOUT,
+    cooldown: int = 0,
     interval: str | None = None,
     **options,
 ) -> StreamingQuery:
     """Join a label log (columns `timestamp`, `value`) with the predictions, and watch the errors.
 
-    The labelled rows are stored with the detector's verdict; drifts put a retraining request on the
-    request log unless one is open for that model.
+    Labels may come at any time and in any order; those without a prediction wait as orphans. Every label stays
+    in the label log, so a correction counts when a model is retrained. Labelled rows are stored with the detector's
+    verdict on their first label; drifts put a retraining request on the request log unless one is open for that model.
     """
     at = Layout(root)
     files.ensure_folder(spark, at.predictions)
     stored = logs.read_log(spark, "parquet", spark.createDataFrame([], PREDICTION).schema, at.predictions)
     decoded = logs.label_events(labels, keep=("timestamp",)).withColumnRenamed("timestamp", "label_arrival_time")
-    labelled = join_late_labels(stored, decoded.dropna(subset=[KEY]), wait, delay, once=True)
-    labelled = labelled.select(*PREDICTION_COLUMNS, "is_correct")
 
     def ask(rows: DataFrame, batch_id: int) -> None:
         requests = files.read_table(spark, at.requests, f"{REQUEST}, batch_id bigint")
         earlier = requests.filter(F.col("batch_id") < batch_id)
         finishes = files.read_table(spark, at.finishes, REQUEST)
-        fresh = rt.new_requests(rows.filter("drift"), earlier, finishes, ["model_version"], timeout)
+        fresh = rt.new_requests(rows.filter("drift"), earlier, finishes, ["model_version"], timeout, cooldown)
         files.write_batch(fresh, at.requests, batch_id)
 
-    return monitor_errors(
-        labelled,
+    return follow_labels(
+        stored,
+        decoded.dropna(subset=[KEY]),
         ["model_version"],
         ["label_arrival_time", KEY],
-        "is_correct",
-        at.labelled,
-        at.error_state,
+        LabelTables(at.labelled, at.label_log, at.pending, at.orphans, at.error_state),
         at.error_checkpoint,
         interval=interval,
         then=ask,
@@ -161,6 +165,7 @@ def watch_errors(
 def retrain(spark: SparkSession, root: str, rows: int = RETRAIN_ROWS) -> str | None:
     """Answer open requests with one new model version; returns its name if there is one.
 
+    The model learns from the last label of each prediction.
     The requests are closed whatever happens, so a failed attempt does not block later ones.
     """
     at = Layout(root)
@@ -171,7 +176,9 @@ def retrain(spark: SparkSession, root: str, rows: int = RETRAIN_ROWS) -> str | N
         if waiting.isEmpty():
             return None
         try:
-            model = rt.retrain(files.read_table(spark, at.labelled), at.registry, at.models, rows)
+            predictions = files.read_table(spark, at.predictions, PREDICTION)
+            table = prediction_view(predictions, files.read_table(spark, at.label_log, LABEL).drop("batch_id"))
+            model = rt.retrain(table, at.registry, at.models, rows)
         finally:
             waiting.write.mode("append").parquet(at.finishes)
     finally:
@@ -182,6 +189,11 @@ def retrain(spark: SparkSession, root: str, rows: int = RETRAIN_ROWS) -> str | N
     return rt.current_model(rt.read_registry(spark, at.registry)).first()["name"]
 
 
+DETECTOR_OPTIONS = {
+    "warning": float, "drift": float, "min_errors": int, "reference": int, "current": int, "alpha": float, "stride": int
+}
+
+
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("job", choices=["prepare", "train", "predict", "watch-features", "watch-errors", "retrain"])
@@ -195,7 +207,12 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--path", help="folder of the log (files)")
     parser.add_argument("--max-offsets", type=int)
     parser.add_argument("--interval", help="time between batches; without it the log is read to its end")
+    parser.add_argument("--timeout", type=int, default=REQUEST_TIMEOUT, help="labelled rows until a request is given up")
+    parser.add_argument("--cooldown", type=int, default=0, help="labelled rows after a retraining without a request")
+    for name, kind in DETECTOR_OPTIONS.items():
+        parser.add_argument(f"--{name.replace('_', '-')}", type=kind, help="parameter of the detector")
     given = parser.parse_args(arguments)
+    chosen = {name: getattr(given, name) for name in DETECTOR_OPTIONS if getattr(given, name) is not None}
     spark = build_session(name=f"driftline-{given.job}")
 
     def stream() -> DataFrame:
@@ -214,9 +231,11 @@ def main(arguments: list[str] | None = None) -> None:
     elif given.job == "predict":
         predict(spark, given.root, stream(), given.interval).awaitTermination()
     elif given.job == "watch-features":
-        watch_features(given.root, stream(), given.interval).awaitTermination()
+        watch_features(given.root, stream(), given.interval, **chosen).awaitTermination()
     else:
-        watch_errors(spark, given.root, stream(), interval=given.interval).awaitTermination()
+        watch_errors(
+            spark, given.root, stream(), given.timeout, given.cooldown, interval=given.interval, **chosen
+        ).awaitTermination()
 
 
 if __name__ == "__main__":

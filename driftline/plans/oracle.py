@@ -351,6 +351,33 @@ FROM pred GROUP BY 1 ORDER BY version DESC LIMIT 1""",
   predicted_label = l.label AS is_correct
 FROM pred p JOIN label_log l ON p."eventID" = l."eventID"
   AND l.label_arrival_time BETWEEN prediction_time AND prediction_time + INTERVAL 2 HOUR""",
+    "stream_labelled_table": f"""WITH {PREDICTIONS} SELECT p."eventID", predicted_label, l.label AS true_label,
+  l.label_arrival_time FROM pred p JOIN latest l ON p."eventID" = l."eventID" """,
+    "stream_labelled_once": f'WITH {PREDICTIONS} SELECT "eventID", model_version FROM labelled',
+    "stream_orphans": f"""WITH {LABELS} SELECT "eventID", label FROM label_log
+WHERE "eventID" NOT IN (SELECT "eventID" FROM fx)""",
+    "ks_equal_sizes": """WITH pos AS (
+  SELECT l_linenumber, l_extendedprice AS p, row_number() OVER (
+    PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS pos FROM lineitem),
+paired AS (
+  SELECT l_linenumber, (pos - 1) // 2 AS pair, arg_min(p, pos) AS a, arg_max(p, pos) AS b
+  FROM pos GROUP BY ALL HAVING count(*) = 2),
+long AS (SELECT a AS v, 1 AS x, 0 AS y FROM paired UNION ALL SELECT b, 0, 1 FROM paired),
+running AS (SELECT sum(x) OVER w AS a, sum(y) OVER w AS b FROM long WINDOW w AS (ORDER BY v)),
+gap AS (SELECT (SELECT count(*) FROM paired) AS n, CAST(max(abs(a - b)) AS BIGINT) AS h FROM running)
+SELECT n AS n_reference, n AS n_current, round(h / n::DOUBLE, 9) AS ks_statistic,
+  round(least(1.0, 2 * list_sum(list_transform(generate_series(1, n // h), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END)
+    * exp(2 * lgamma(n + 1) - lgamma(n + 1 - k * h) - lgamma(n + 1 + k * h))))), 9) AS p_value FROM gap""",
+    "registry_advance": f"""WITH {PREDICTIONS}, seen AS (SELECT model_version AS name, count(*) AS rows FROM pred GROUP BY 1)
+SELECT CAST((SELECT count(*) FROM seen) AS INTEGER) AS version, name, 'models/' || (SELECT count(*) FROM seen) AS path, rows
+FROM seen ORDER BY name DESC LIMIT 1""",
+    "csv_round_trip": """SELECT strftime(l_shipdate, '%Y.%m.%d') AS date, CAST(l_linenumber AS VARCHAR) AS day,
+  '0.' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS period FROM lineitem""",
+    "stream_score_swap": f"""WITH {_DECODED} SELECT d."eventID",
+  CASE WHEN (ts < TIMESTAMP '2024-01-09' AND d.nswprice * 0.08 + d.nswdemand * -0.03 > 0)
+    OR (ts >= TIMESTAMP '2024-01-09' AND d.nswprice * 0.01 + d.nswdemand * -0.03 + 1.0 > 0) THEN 'UP' ELSE 'DOWN' END AS predicted_label,
+  CASE WHEN ts < TIMESTAMP '2024-01-09' THEN 'lr_v1' ELSE 'lr_v2' END AS model_version
+FROM decoded d JOIN fx USING (event_id) WHERE event_id % 50 > 3""",
     "stream_eddm": f"WITH {eddm('model_version')} SELECT {_SHOWN}",
     "stream_kswin": f"""WITH RECURSIVE {kswin_thinned("segment")}
 SELECT segment, feature, event_id, pos, h FROM kept JOIN pos USING (segment, pos)""",

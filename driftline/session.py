@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
@@ -10,9 +9,6 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_ROWS = 100_000
-
-_own_scratch: dict[str, str] = {}
 _scope = threading.local()
 
 
@@ -36,19 +32,12 @@ def build_session(master: str | None = None, name: str = "driftline", conf: dict
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: `spark.checkpoint.dir`, which every executor must reach.
+    """Folder for intermediate tables: in `spark.checkpoint.dir`, which every executor must reach.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    A session without that setting uses its warehouse, which all executors share as well.
     """
-    app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/driftline-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if app not in _own_scratch:
-        _own_scratch[app] = tempfile.mkdtemp(prefix="driftline-")
-    return _own_scratch[app]
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{shared.rstrip('/')}/driftline-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -70,11 +59,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(stored: DataFrame) -> bool:
-    """Whether a stored table of narrow rows has few enough of them to be sent to every executor."""
-    return stored.count() <= BROADCAST_ROWS
-
-
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Delete the tables materialised inside; use it where results are stored before leaving."""
@@ -90,7 +74,6 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
 def release_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application."""
     delete(spark, scratch_root(spark))
-    _own_scratch.pop(spark.sparkContext.applicationId, None)
 
 
 def delete(spark: SparkSession, path: str) -> None:

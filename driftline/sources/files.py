@@ -31,15 +31,40 @@ def schema_rows(df: DataFrame) -> list[tuple[str, str, bool]]:
     return [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema]
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system, as the JVM knows them."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Store `df` as partition `batch_id` of a table; writing the batch again replaces it."""
-    (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+    """Store `df` as partition `batch_id` of a table, once and for all.
+
+    The rows are written aside and appear by one rename. A batch that is there already stays as it is: a replay
+    computes the same rows, and a stream may be reading the files.
+    """
+    spark = df.sparkSession
+    final, fs = _folder(spark, f"{path}/batch_id={batch_id}")
+    if fs.exists(final):
+        return
+    aside, _ = _folder(spark, f"{path}/_writing-{batch_id}")
+    df.write.mode("overwrite").parquet(aside.toString())
+    if not fs.rename(aside, final) and not fs.exists(final):
+        raise OSError(f"cannot move {aside.toString()} to {final.toString()}")
+
+
+def batches_of(spark: SparkSession, path: str) -> list[int]:
+    """Batches of a table in ascending order, from the names of their folders."""
+    root, fs = _folder(spark, path)
+    if not fs.exists(root):
+        return []
+    names = [entry.getPath().getName() for entry in fs.listStatus(root)]
+    return sorted(int(name.split("=")[1]) for name in names if name.startswith("batch_id="))
+
+
+def read_batch(spark: SparkSession, path: str, batch_id: int, schema: str | T.StructType | None = None) -> DataFrame:
+    """One batch of a table; no other folder is looked at."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame | None:
@@ -52,32 +77,33 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None
         return spark.createDataFrame([], schema) if schema else None
 
 
-def read_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The last partition written before `batch_id`, or None."""
-    table = read_table(spark, path)
-    if table is None:
-        return None
-    last = table.filter(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
-    return None if last is None else table.filter(F.col("batch_id") == last).drop("batch_id")
+def read_before(
+    spark: SparkSession, path: str, batch_id: int, results: str | None = None, schema: str | T.StructType | None = None
+) -> DataFrame | None:
+    """The last batch stored before `batch_id`, or None.
+
+    Where the table `results` holds earlier batches, a missing state is an error: going on would start afresh in silence.
+    """
+    earlier = [b for b in batches_of(spark, path) if b < batch_id]
+    if earlier:
+        return read_batch(spark, path, earlier[-1], schema)
+    if results and any(b < batch_id for b in batches_of(spark, results)):
+        raise FileNotFoundError(f"no state before batch {batch_id} in {path}, but results of earlier batches in {results}")
+    return None
 
 
 def ensure_folder(spark: SparkSession, path: str) -> None:
     """Make the folder of a table that a stream will read before anything is written to it."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+    target, fs = _folder(spark, path)
+    fs.mkdirs(target)
 
 
 def drop_before(spark: SparkSession, path: str, batch_id: int, keep: int = 10) -> None:
-    """Delete partitions more than `keep` batches old; a replay goes back one batch only."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return
-    for entry in fs.listStatus(root):
-        name = entry.getPath().getName()
-        if name.startswith("batch_id=") and int(name.split("=")[1]) < batch_id - keep:
-            fs.delete(entry.getPath(), True)
+    """Delete state more than `keep` batches old; a replay goes back one batch only."""
+    for batch in batches_of(spark, path):
+        if batch < batch_id - keep:
+            target, fs = _folder(spark, f"{path}/batch_id={batch}")
+            fs.delete(target, True)
 
 
 def new_keys(df: DataFrame, existing: DataFrame | None, key: str, order: list[str] | None = None) -> DataFrame:

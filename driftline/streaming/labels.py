@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.columns import is_correct
+from driftline.operators.labels import first_per_key, join_labels, orphan_labels, pending_predictions
 from driftline.schemas import KEY
+from driftline.session import materialise
 
 
-def _first_of_chunk(chunks: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+def _first_of_chunk(chunks: Iterator[pa.RecordBatch], key: str, time: str) -> Iterator[pa.RecordBatch]:
     for chunk in chunks:
+        names = [time, *(c for c in chunk.schema.names if c not in (key, time) and not pa.types.is_nested(chunk.schema.field(c).type))]
+        order = pa.compute.sort_indices(pa.Table.from_batches([chunk]), [(c, "ascending") for c in names])
+        chunk = chunk.take(order)
         places = pa.table({"key": chunk.column(key), "place": np.arange(chunk.num_rows)})
         first = places.group_by("key").aggregate([("place", "min")]).column("place_min")
         yield chunk.take(first.combine_chunks())
@@ -24,9 +31,9 @@ def once_per_key(stream: DataFrame, time: str, delay: str, key: str = KEY) -> Da
     """First row of each key; repeats within `delay` are dropped, later state is forgotten.
 
     The state is partitioned by key, so repeats are first dropped inside each chunk of a task: a key sent
-    over and over reaches its state task a few times only.
+    over and over reaches its state task a few times only; the earliest one stays, whatever their order there.
     """
-    few = stream.mapInArrow(lambda chunks: _first_of_chunk(chunks, key), stream.schema)
+    few = stream.mapInArrow(lambda chunks: _first_of_chunk(chunks, key, time), stream.schema)
     return few.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -61,3 +68,36 @@ def join_late_labels(
     return joined.withColumn(key, F.coalesce(key, "_label_key")).drop("_label_key").withColumn(
         "is_correct", F.when(F.col("true_label").isNotNull(), is_correct(F.col("predicted_label"), F.col("true_label")))
     )
+
+
+class Settled(NamedTuple):
+    labelled: DataFrame
+    pending: DataFrame
+    orphans: DataFrame
+
+
+def settle(
+    predictions: DataFrame,
+    labels: DataFrame,
+    pending: DataFrame | None = None,
+    orphans: DataFrame | None = None,
+    labelled_before: DataFrame | None = None,
+    key: str = KEY,
+    predicted_at: str = "prediction_time",
+    arrived_at: str = "label_arrival_time",
+) -> Settled:
+    """Match the predictions and labels of a batch with each other and with what earlier batches left waiting.
+
+    Nothing expires: a prediction waits in `pending` for any later label, a label in `orphans` for any later
+    prediction. A prediction is labelled once, by the first label there is; further labels are corrections, which live on in
+    the label log. `labelled_before` has the keys labelled earlier and is read only if labels are left over.
+    """
+    waiting = predictions if pending is None else pending.unionByName(predictions)
+    came = labels if orphans is None else orphans.unionByName(labels)
+    waiting = materialise(first_per_key(waiting, [key], [predicted_at]), "waiting")
+    came = materialise(came.filter(F.col(key).isNotNull()), "came")
+    first = materialise(first_per_key(came, [key], [arrived_at]), "first")
+    extra = materialise(orphan_labels(waiting, came, key), "extra")
+    if labelled_before is not None and not extra.isEmpty():
+        extra = orphan_labels(labelled_before, extra, key)
+    return Settled(join_labels(waiting, first, key), pending_predictions(waiting, first, key), extra)

@@ -11,6 +11,7 @@ Rows count in the order of their batches, within a batch in `order`.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,42 @@ from pyspark.sql.streaming import StreamingQuery
 
 from driftline.operators.eddm import eddm_run
 from driftline.operators.kswin import kswin_run
-from driftline.schemas import FEATURES
-from driftline.sources.files import drop_before, read_before, read_table, write_batch
+from driftline.schemas import FEATURES, KEY
+from driftline.session import materialise
+from driftline.sources.files import drop_before, read_batch, read_before, read_table, write_batch
 from driftline.streaming.batches import for_each_batch
+from driftline.streaming.labels import settle
+
+
+class LabelTables(NamedTuple):
+    """Where `follow_labels` keeps its tables; `pending` and `orphans` hold what waits after each batch."""
+
+    labelled: str
+    label_log: str
+    pending: str
+    orphans: str
+    state: str
+
+
+def errors_step(
+    labelled: DataFrame,
+    batch_id: int,
+    keys: Sequence[str],
+    order: Sequence[str],
+    ok: str,
+    results: str,
+    state: str,
+    then: Callable[[DataFrame, int], None] | None = None,
+    **options,
+) -> None:
+    """Detector rows of one batch and the state after it; `then` is called with the stored rows."""
+    spark = labelled.sparkSession
+    run = eddm_run(labelled, keys, order, ok, state=read_before(spark, state, batch_id, results), **options)
+    write_batch(run.rows, results, batch_id)
+    write_batch(run.state, state, batch_id)
+    drop_before(spark, state, batch_id)
+    if then:
+        then(read_batch(spark, results, batch_id, run.rows.schema), batch_id)
 
 
 def monitor_errors(
@@ -41,17 +75,53 @@ def monitor_errors(
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        run = eddm_run(batch, keys, order, ok, state=read_before(batch.sparkSession, state, batch_id), **options)
-        write_batch(run.rows, results, batch_id)
-        write_batch(run.state, state, batch_id)
-        drop_before(batch.sparkSession, state, batch_id)
-        if then:
-            stored = read_table(batch.sparkSession, results, run.rows.schema)
-            then(stored.filter(F.col("batch_id") == batch_id).drop("batch_id"), batch_id)
+        errors_step(batch, batch_id, keys, order, ok, results, state, then, **options)
 
     return for_each_batch(labelled, process, checkpoint, "monitor_errors", interval)
 
 
+def follow_labels(
+    predictions: DataFrame,
+    labels: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    tables: LabelTables,
+    checkpoint: str,
+    interval: str | None = None,
+    then: Callable[[DataFrame, int], None] | None = None,
+    **options,
+) -> StreamingQuery:
+    """Label log and prediction log in one query: every label is kept, predictions are matched at any delay, and the
+    errors are watched. `order` must be total among the predictions labelled in a batch.
+
+    Both logs are read as one stream of rows, so that a batch sees what came on either side.
+    """
+    blank = labels.drop(KEY).columns
+    bare = predictions.drop(*blank, "true_label")
+    left = bare.select("*", *[F.lit(None).cast(labels.schema[c].dataType).alias(c) for c in blank], F.lit(0).alias("_kind"))
+    right = labels.select(
+        KEY, *[F.lit(None).cast(bare.schema[c].dataType).alias(c) for c in bare.columns if c != KEY], *blank, F.lit(1).alias("_kind")
+    )
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.filter("_kind = 0").select(bare.columns)
+        came = batch.filter("_kind = 1").select(KEY, *blank)
+        write_batch(came, tables.label_log, batch_id)
+        waiting = [read_before(spark, path, batch_id) for path in (tables.pending, tables.orphans)]
+        known = read_table(spark, tables.labelled, f"{KEY} string, batch_id bigint").filter(F.col("batch_id") < batch_id)
+        found = settle(fresh, came, *waiting, known.select(KEY))
+        labelled = materialise(found.labelled, "labelled")
+        write_batch(found.pending, tables.pending, batch_id)
+        write_batch(found.orphans, tables.orphans, batch_id)
+        if not labelled.isEmpty():
+            errors_step(labelled, batch_id, keys, order, "is_correct", tables.labelled, tables.state, then, **options)
+        for path in (tables.pending, tables.orphans):
+            drop_before(spark, path, batch_id)
+
+    return for_each_batch(left.unionByName(right), process, checkpoint, "follow_labels", interval)
+
+
 def monitor_features(
     events: DataFrame,
     keys: Sequence[str],
@@ -68,7 +138,7 @@ def monitor_features(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        found = [read_before(spark, f"{state}/{p}", batch_id) for p in parts]
+        found = [read_before(spark, f"{state}/{p}", batch_id, results if p == "totals" else None) for p in parts]
         prior = None if found[0] is None else tuple(found)  # `last` stays None until the first drift
         run = kswin_run(batch, keys, order, features, state=prior, **options)
         write_batch(run.drifts, results, batch_id)

@@ -72,8 +72,9 @@ def test_jobs_end_to_end(spark, tmp_path):
 
 def test_failed_retraining_closes_its_request(spark, tmp_path):
     at = jobs.Layout(str(tmp_path))
-    labelled = views.labelled(spark, SF001)
-    labelled.write.parquet(at.labelled)
+    views.predictions(spark, SF001).withColumn("prediction_time", F.col("prediction_time").cast("timestamp")).write.parquet(at.predictions)
+    log = views.label_log(spark, SF001)
+    log.withColumn("label_arrival_time", F.col("label_arrival_time").cast("timestamp")).write.parquet(at.label_log)
     files.write_batch(spark.createDataFrame([("lr_v1", 60)], jobs.REQUEST), at.requests, 0)
     try:
         jobs.retrain(spark, str(tmp_path), rows=100)  # there is no registry to read
