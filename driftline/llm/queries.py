@@ -90,7 +90,57 @@ QUERIES = {
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+_PIECES = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS o, '{kind}' AS kind, string_split_regex(t, '{p}') AS gs, regexp_extract_all(t, '{p}') AS ms FROM docs"
+    for i, (kind, p) in enumerate(_PII.items(), 1)
+)
+
 ORACLE: dict[str, str] = {
+    "op4_pii": f"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        pieces AS ({_PIECES}),
+        flat AS (
+            SELECT doc_id, o, kind, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g
+            FROM pieces WHERE len(ms) > 0
+        ),
+        placed AS (
+            SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d, replace(m, ' ', '') AS a,
+                   CAST(sum(length(g) + length(m)) OVER (PARTITION BY doc_id, o ORDER BY i) AS BIGINT) AS e
+            FROM flat
+        ),
+        spans AS (
+            SELECT doc_id, o, kind, e - length(m) AS s, e FROM placed WHERE CASE kind
+                WHEN 'email' THEN true
+                WHEN 'ip' THEN list_max(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT))) <= 255
+                WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(d)), lambda k:
+                    CASE WHEN k % 2 = 0 THEN CAST(d[length(d) - k] AS INT)
+                         ELSE (2 * CAST(d[length(d) - k] AS INT)) // 10 + (2 * CAST(d[length(d) - k] AS INT)) % 10 END)) % 10 = 0
+                WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
+                WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(string_split(a[5:] || a[1:4], ''),
+                    lambda c: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)),
+                    lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1
+                ELSE NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$')
+                     AND regexp_matches(lower(right(g, 40)), 'ssn|social security|tax id') END
+        ),
+        told AS (
+            SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+                   count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (o <= 4) AS base,
+                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans
+            FROM spans GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+               coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM docs LEFT JOIN told USING (doc_id)
+    """,
     "op10_minhash_near_dedup": f"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
