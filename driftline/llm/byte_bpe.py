@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -28,6 +29,7 @@ from driftline.llm.common import text_slices
 
 LONG_WORD = 64
 CACHED_WORDS = 300_000
+_RUN_OF_SPACE = re.compile(r"^\s| \s")
 WORDS_PER_QUERY = 150_000
 
 _STEP = """
@@ -129,12 +131,10 @@ class DuckEncoder:
     def split(self, text: str) -> list[str]:
         """Matches of the pattern. Between words parted by single spaces they do not depend on each other, so a word's
         matches are remembered; any other text is split as a whole."""
-        if "  " in text or text[:1].isspace():
+        if _RUN_OF_SPACE.search(text):
             return self.pattern.findall(text)
         first, *rest = text.split(" ")
         words = [first, *[" " + w for w in rest]]
-        if any(w[1:2].isspace() for w in set(words)):
-            return self.pattern.findall(text)
         for word in set(words).difference(self.chunks):
             self.chunks[word] = self.pattern.findall(word)
         return list(chain.from_iterable(map(self.chunks.__getitem__, words)))
