@@ -258,18 +258,22 @@ def readiness(
 ) -> DataFrame:
     """Fill of the window before each row enters it, per feature.
 
-    A drift refills the window over the next `reference` rows and drifts lie at least that far apart,
-    so every row has at most one drift to look back to.
+    A drift refills the window over the next `reference` rows. The last drift of each feature is a running
+    maximum over rows and drifts in order of position; rows are taken apart by feature only at the end.
     """
     keys, size = list(keys), reference + current
-    refill = drifts.select(
-        *keys, "feature", F.explode(F.sequence(F.lit(1), F.lit(reference))).alias("_since"), "pos"
-    ).withColumn("pos", F.col("pos") + F.col("_since"))
-    long = unpivot_features(indexed, [*keys, "pos"], features).drop("value")
-    filled = long.join(refill, [*keys, "feature", "pos"], "left").withColumn(
-        "fill", F.coalesce(F.lit(current - 1) + F.col("_since"), F.least(F.col("pos") - 1, F.lit(size)))
+    names = {f: f"_drift_{f}" for f in features}
+    at = [F.max(F.when(F.col("feature") == f, F.col("pos"))).alias(c) for f, c in names.items()]
+    marks = drifts.groupBy(*keys, "pos").agg(*at).withColumn("_kind", F.lit(1))
+    rows = indexed.select(*keys, "pos", F.lit(0).alias("_kind")).unionByName(marks, allowMissingColumns=True)
+    run = prefix_scan(rows, keys, ["pos", "_kind"], maxes={c: F.col(c) for c in names.values()}, position=None)
+    since = lambda c: F.col("pos") - 1 - F.col(c)
+    fill = lambda c: F.coalesce(
+        F.when(since(c) < reference, since(c) + current), F.least(F.col("pos") - 1, F.lit(size))
     )
-    return filled.select(*keys, "feature", "pos", "fill", (F.col("fill") == size).alias("ready"))
+    wide = run.filter("_kind = 0").select(*keys, "pos", *[fill(c).alias(f) for f, c in names.items()])
+    long = wide.unpivot([*keys, "pos"], list(features), "feature", "fill")
+    return long.select(*keys, "feature", "pos", "fill", (F.col("fill") == size).alias("ready"))
 
 
 def ks_two_sample(df: DataFrame, keys: Sequence[str], value: str, is_reference: Column) -> DataFrame:

@@ -8,13 +8,12 @@ from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.columns import decode_prediction, margin
 from driftline.operators.scan import prefix_scan
 from driftline.schemas import FEATURES, PREDICTION_COLUMNS
-from driftline.session import materialise
 
 
 def feature_vector(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -29,6 +28,9 @@ def fit(df: DataFrame, label: str = "label", features: Sequence[str] = FEATURES)
     )
 
 
+CELL_LENGTH = 8192
+
+
 class LinearModel(NamedTuple):
     """What scoring needs to know of a binary model."""
 
@@ -83,9 +85,11 @@ def prequential_accuracy(
     run = prefix_scan(df, keys, order, {"correct": ones})
     if last is None:
         return run.withColumn("accuracy", F.col("correct") / F.col("pos"))
-    run = materialise(run, "running")
-    before = run.select(*keys, (F.col("pos") + last).alias("pos"), F.col("correct").alias("_before"))
-    recent = F.col("correct") - F.coalesce("_before", F.lit(0))
-    return run.join(before, [*keys, "pos"], "left").select(
-        *run.columns, (recent / F.least("pos", F.lit(last))).alias("accuracy")
-    )
+    # Cells of positions, each with the `last` rows before it, so that looking back never leaves a cell.
+    length = max(CELL_LENGTH, 4 * last)
+    own = F.expr(f"(pos - 1) div {length}")
+    cells = run.withColumn("_cell", F.explode(F.sequence(own, F.expr(f"(pos - 1 + {last}) div {length}"))))
+    back = Window.partitionBy(*keys, "_cell").orderBy("pos")
+    recent = F.col("correct") - F.coalesce(F.lag("correct", last).over(back), F.lit(0))
+    looked = cells.withColumn("_recent", recent).filter(F.col("_cell") == own)
+    return looked.select(*run.columns, (F.col("_recent") / F.least("pos", F.lit(last))).alias("accuracy"))
