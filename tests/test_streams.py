@@ -188,3 +188,51 @@ def test_flagship_has_a_stable_schema(spark):
 
     got = entry.entry(spark)
     assert got.columns[:4] == [KEY, "model_version", "pos", "status"] and got.count() > 0
+
+
+def test_settle_waits_without_limit_and_keeps_corrections_apart(spark):
+    at = F.timestamp_seconds
+    make_p = lambda rows: spark.createDataFrame(rows, f"{KEY} string, predicted_label string, s long").select(
+        KEY, "predicted_label", at("s").alias("prediction_time")
+    )
+    make_l = lambda rows: spark.createDataFrame(rows, f"{KEY} string, label string, s long").select(
+        KEY, "label", at("s").alias("label_arrival_time")
+    )
+    one = sl.settle(make_p([("a", "UP", 1), ("b", "UP", 2), ("b", "DOWN", 3)]), make_l([("x", "UP", 5), ("a", "DOWN", 9), ("a", "UP", 7)]))
+    assert rows(one.labelled, KEY, "true_label", "is_correct") == [("a", "UP", True)]
+    assert rows(one.pending, KEY, "predicted_label") == [("b", "UP")] and rows(one.orphans, KEY) == [("x",)]
+    two = sl.settle(
+        make_p([("x", "UP", 10**7)]), make_l([("b", "DOWN", 10**8), ("a", "DOWN", 10**8), ("y", "UP", 1)]), one.pending, one.orphans, one.labelled.select(KEY)
+    )
+    assert rows(two.labelled, KEY, "true_label") == [("b", "DOWN"), ("x", "UP")]
+    assert two.pending.isEmpty() and rows(two.orphans, KEY) == [("y",)]  # the second label of a is a correction
+
+
+def test_batches_are_final_and_lost_state_is_an_error(spark, tmp_path):
+    from driftline.sources.files import batches_of, read_before, write_batch
+
+    table, state = str(tmp_path / "t"), str(tmp_path / "s")
+    write_batch(spark.range(3), table, 4)
+    write_batch(spark.range(9), table, 4)  # a replay changes nothing
+    write_batch(spark.range(0), table, 5)
+    assert read_table(spark, table).count() == 3 and batches_of(spark, table) == [4, 5]
+    assert read_before(spark, state, 4, table) is None
+    try:
+        read_before(spark, state, 5, table)
+        raise AssertionError("should fail")
+    except FileNotFoundError:
+        pass
+
+
+def test_thinning_in_groups_of_blocks_equals_one_pass(spark):
+    from driftline.operators.thin import thin
+
+    places = sorted({(i * i * 7919) % 40_000 + 1 for i in range(3000)})
+    df = spark.createDataFrame([("k", p) for p in places], "k string, pos long")
+    kept, free = [], 0
+    for p in places:
+        if p >= free:
+            kept.append(p)
+            free = p + 90
+    got = thin(df, ["k"], 90, block_length=100)  # 400 blocks, chained in two levels
+    assert sorted(r.pos for r in got.collect()) == kept
