@@ -7,29 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.common import unused
-from driftline.llm.language_id import learn_profiles, predict_languages
+from driftline.llm.language_id import learn_profiles, length_class, predict_languages, score_bounds
 from driftline.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from driftline.llm.near_dedup import near_duplicates
 from driftline.llm.packing import pack_documents
 from driftline.llm.pii import mask_pii
 from driftline.session import materialise
 
-MIN_SCORE = 0.2  # below it a text resembles no language that was learned
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: texts without a letter, and texts far from every learned language, go.
 
-    Profiles are learned from all labelled rows; the language of a row without a label is filled in. Without any
-    label nothing can be learned, and only texts without a letter go.
+    Profiles are learned from all labelled rows, and so is how near a text of some length must come to its language; the
+    language of a row without a label is filled in. Without any label nothing can be learned, and only texts without a letter go.
     """
     profiles = learn_profiles(docs)
     if profiles.empty:
         return docs.filter(F.col("text").rlike("\\p{L}"))
+    bounds = spark.createDataFrame(score_bounds(docs, profiles), "_lang string, _length int, _bound double")
     lang, score = unused("lang_pred", docs.columns), unused("score", docs.columns)
-    found = predict_languages(docs, profiles, lang_out=lang, score_out=score)
-    kept = found.filter((F.col(lang) != "und") & (F.col(score) >= MIN_SCORE))
+    found = predict_languages(docs, profiles, lang_out=lang, score_out=score).filter(F.col(lang) != "und")
+    near = (F.col(lang) == F.col("_lang")) & (length_class("text") == F.col("_length"))
+    kept = found.join(bounds, near).filter(F.col(score) >= F.col("_bound"))
     return kept.withColumn("lang", F.coalesce("lang", lang)).select(docs.columns)
 
 

@@ -9,6 +9,9 @@ wins, ties going to the first in alphabetical order.
 Counting runs where the documents lie. Of a language only its n-gram counts are shuffled, already summed per
 task, and only the first `size` n-grams per language reach the driver and the tasks.
 
+A text in no learned language resembles each of them far less than their own texts do. How much that is depends on the length of
+a text, so `score_bounds` takes it from the scores of the labelled rows by language and number of letters.
+
 Defined cases: null text or text without a letter is `und` with score 0, as is every text when there is no labelled
 row; labels that are null are not learned; ids, labels and sources are no inputs of a prediction; null ids and repeated
 rows are kept; no rows give no rows. Columns other than those named are ignored.
@@ -32,6 +35,10 @@ from driftline.session import materialise
 SIZE = 300
 ORDERS = 3
 MAX_LANGUAGES = 10_000
+LENGTHS = 32  # classes of texts, each of twice as many letters as the one before
+LOW_PERCENT = 10  # the labelled rows of a class below this quantile do not move its bound, so junk among them does not either
+FRACTION = 0.65  # of that quantile; texts in other languages and random letters stay below it, clean texts above
+MIN_CLASS = 20
 _BITS = 21  # of a code point
 _SEPARATOR = 1
 _CHUNK = 1_000_000
@@ -175,3 +182,40 @@ def identify_languages(
     """id, lang_pred and score of every row, learned from the rows where `training` holds."""
     profiles = learn_profiles(docs.filter(training), text_col, lang_col, size)
     return predict_languages(docs.select(id_col, text_col), profiles, text_col, size).drop(text_col)
+
+
+def length_class(text_col: str) -> Column:
+    """Class of a text by its letters; classes double."""
+    letters = F.char_length(F.regexp_replace(text_col, "[^\\p{L}]+", ""))
+    return F.least(F.floor(F.log2(F.greatest(letters, F.lit(1)))), F.lit(LENGTHS - 1)).cast("int")
+
+
+def score_bounds(
+    docs: DataFrame, profiles: pd.DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE
+) -> pd.DataFrame:
+    """Columns lang, length, bound: of each language and class of texts the score below which a text is in no learned language.
+
+    It is `FRACTION` of a low quantile of the scores of the labelled rows found in that language and class. A class
+    of less than `MIN_CLASS` rows takes the lowest bound of its language, which takes one quantile of all its rows
+    if it has no larger class. A language in which no labelled row is found takes the lowest bound of all.
+    """
+    labelled = docs.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"))
+    found = predict_languages(labelled, profiles, "text", size, "found", "score").filter("found <> 'und'")
+    bucket = F.floor(F.col("score") * 1000).cast("int").alias("bucket")
+    counts = materialise(found.select("found", length_class("text").alias("length"), bucket).groupBy("found", "length", "bucket").agg(F.count(F.lit(1)).alias("n")), "scores")
+
+    def low(keys: list[str]) -> DataFrame:
+        group = Window.partitionBy(*keys)
+        up_to = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = counts.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+        ranked = sums.select(*keys, "bucket", F.sum("n").over(up_to).alias("below"), F.sum("n").over(group).alias("rows"))
+        at = F.min(F.when(F.col("below") * 100 >= F.col("rows") * LOW_PERCENT, F.col("bucket")))
+        return ranked.groupBy(*keys).agg(F.max("rows").alias("rows"), (FRACTION * at / 1000).alias("bound"))
+
+    classes = low(["found", "length"]).filter(F.col("rows") >= MIN_CLASS).toPandas()  # a row per language and class
+    whole = low(["found"]).toPandas().set_index("found")["bound"]
+    lowest = classes.groupby("found")["bound"].min().combine_first(whole)
+    lowest = lowest.reindex(sorted(profiles["lang"].unique())).fillna(lowest.min() if len(lowest) else 0.0)
+    own = dict(zip(zip(classes["found"], classes["length"]), classes["bound"]))
+    rows = [(lang, k, float(own.get((lang, k), bound))) for lang, bound in lowest.items() for k in range(LENGTHS)]
+    return pd.DataFrame(rows, columns=["lang", "length", "bound"])

@@ -1,8 +1,10 @@
 """The pipeline against a plain version of each stage, and its stages on odd input."""
 
+import random
 import re
 
 import corpus_pipeline
+from tests.conftest import SF01
 from tests.llm.plain import find_links, groups, luhn, shingles
 
 LINE = "A passage of this length stands in very many of the documents."
@@ -67,3 +69,24 @@ def test_empty_input(spark):
         assert out.count() == 0
         if name != "packing":
             assert out.columns == docs.columns
+
+
+def test_language_id_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    words = [(i, " ".join(letters(rng.randint(3, 9)) for _ in range(60))) for i in range(-20, 0)]
+    known = [r["text"].split() for r in docs.filter("lang = 'en' and length(text) > 2000").orderBy("doc_id").limit(30).collect()]
+    short = [(i, " ".join(w[50:58])) for i, w in enumerate(known, -60)]
+    added = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in words + short], docs.schema)
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    for left_out in ("de", "en"):
+        given = docs.selectExpr("doc_id", "text", f"nullif(lang, '{left_out}') as lang", "source", "n_chars").unionByName(added)
+        kept = {r["doc_id"] for r in stage(spark, given, "").select("doc_id").collect()}
+        foreign = {r["doc_id"] for r in docs.filter(f"lang = '{left_out}'").select("doc_id").collect()}
+        learned = {r["doc_id"] for r in docs.filter(f"lang <> '{left_out}'").select("doc_id").collect()}
+        assert len(kept & foreign) <= 0.1 * len(foreign)
+        assert len(kept & learned) >= 0.99 * len(learned)
+        assert not kept & {i for i, _ in words}
+        if left_out != "en":
+            assert kept >= {i for i, _ in short}
