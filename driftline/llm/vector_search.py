@@ -4,7 +4,8 @@ Centroids are fitted on a bounded sample by k-means with a penalty on crowded cl
 goes to its nearest centroid and, as a boundary vector, also to others almost as near, unless a centroid
 chosen before lies closer to that one (those two lists are visited together anyway). Queries find centroids by
 best-first search in a neighbour graph of the centroids held in memory; a list is searched while its centroid is not farther than the
-nearest one times a ratio. Scores are cosines of the original vectors in double precision.
+reach times a ratio. The reach is the distance of the list that completes enough candidates, lists taken nearest first: mostly
+the nearest one, but more for a query whose nearest centroids sit on lone vectors. Scores are cosines of the original vectors in double precision.
 
 Lists are split into blocks of bounded size, and the queries of a list likewise, so that a list with a third of all vectors
 is many small matrix products; a task returns the best few per query and block. Equal vectors are searched once: each
@@ -35,6 +36,7 @@ MAX_LISTS = 2048
 REPLICAS = 4
 BOUNDARY = 1.1  # a centroid this much farther than the nearest still takes the vector
 RATIO = 1.25  # and this much farther a query still searches the list
+ENOUGH = REPLICAS  # entries for each neighbour asked for that set the reach; a vector has `REPLICAS` at most, so the answers are full
 DEGREE = 16
 BLOCK = 2000
 
@@ -141,15 +143,15 @@ def search(
     rows = materialise(usable(vectors, id_col, vector_col), "vectors")
     kind = rows.schema["id"].dataType.simpleString()
     shape = f"query_id {kind}, rank int, `{id_col}` {kind}, score double"
-    picked = rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(sample).select("v").toPandas()  # at most `sample` vectors
-    if picked.empty:
+    first = lambda df: df.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(sample).select("v")
+    sizes = first(rows).select(F.size("v").alias("size")).toPandas()["size"]  # of at most `sample` vectors
+    if sizes.empty:
         return rows.sparkSession.createDataFrame([], shape)
-    size = Counter(map(len, picked["v"])).most_common(1)[0][0]
-    rows = rows.filter(F.size("v") == size)
-    # Scaled by the largest component first, so that squares of tiny or huge ones stay in range.
-    fitted = np.stack([v for v in picked["v"] if len(v) == size]).astype(float)
-    fitted = unit(fitted / np.abs(fitted).max(axis=1, keepdims=True))
+    size = Counter(sizes).most_common(1)[0][0]
+    rows = rows.filter(F.size("v") == int(size))
     distinct = materialise(distinct_vectors(rows, queries, neighbours + 1), "distinct")
+    # Scaled by the largest component first, so that squares of tiny or huge ones stay in range.
+    fitted = _units(first(distinct).toPandas()["v"])
     lists = int(min(max_lists, len(fitted), max(1, distinct.count() // list_length)))
     graph = CentroidGraph(balanced_centroids(fitted, lists))
 
@@ -169,17 +171,24 @@ def search(
                 q, k = np.nonzero(chosen)
                 yield part.iloc[q][["id", "v"]].assign(list=list_[q, k])
 
+    schema = f"id {kind}, v array<double>, list int"
+    entries = materialise(distinct.select("id", "v").mapInPandas(assign, schema), "entries")
+    held = entries.groupBy("list").count().toPandas()  # a row per list
+    length = np.zeros(lists, np.int64)
+    length[held["list"].to_numpy()] = held["count"].to_numpy()
+    enough = ENOUGH * (neighbours + 1)
+
     def route(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for start in range(0, len(f), 256):
                 part = f.iloc[start : start + 256]
                 list_, distance = graph.search(_units(part["v"]), lists)
-                limit = ratio * np.sqrt(np.maximum(distance[:, :1], 1e-12))
+                before = np.cumsum(np.where(list_ >= 0, length[list_], 0), axis=1)
+                last = np.minimum((before < enough).sum(axis=1, keepdims=True), lists - 1)  # the list that completes them
+                limit = ratio * np.sqrt(np.maximum(np.take_along_axis(distance, last, 1), 1e-12))
                 q, k = np.nonzero((list_ >= 0) & (np.sqrt(np.maximum(distance, 0)) <= limit))
                 yield part.iloc[q][["id", "v"]].assign(list=list_[q, k])
 
-    schema = f"id {kind}, v array<double>, list int"
-    entries = materialise(distinct.select("id", "v").mapInPandas(assign, schema), "entries")
     asks = materialise(distinct.filter("asks").select("id", "v").mapInPandas(route, schema), "asks")
     blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     sizes = materialise(blocks(entries, "blocks").join(blocks(asks, "turns"), "list"), "sizes")  # a row per list

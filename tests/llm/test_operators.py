@@ -252,6 +252,26 @@ def test_vector_search(spark):
     assert vector_search.search(table.filter("false"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_vector_search_finds_neighbours_of_outliers(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    vectors = np.concatenate([centres[np.arange(4000) % 20] + rng.normal(scale=0.02, size=(4000, 16)), rng.normal(size=(60, 16))])
+    vectors[rng.choice(4000, 800, replace=False)] = vectors[0]  # a fifth of all rows alike
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    asked = (F.col("id") % 40 == 1) | (F.col("id") >= 4000)
+    answers = {}
+    for r in vector_search.search(table, asked, list_length=40).collect():
+        answers.setdefault(r["query_id"], []).append(r["vec_id"])
+    unit, hits = vector_search.unit(vectors), {}
+    for q in [*range(1, 4000, 40), *range(4000, 4060)]:
+        score = np.round(unit @ unit[q], 9)
+        score[q] = -2
+        hits[q] = len(set(np.lexsort((np.arange(len(unit)), -score))[:5]) & set(answers.get(q, [])))
+    assert all(len(answers.get(q, [])) == 5 for q in hits)
+    assert np.mean([h for q, h in hits.items() if q >= 4000]) >= 0.9 * 5
+    assert np.mean([h for q, h in hits.items() if q < 4000]) >= 0.9 * 5
+
+
 def test_empty_tables(docs):
     none = docs.filter("false")
     for result in (
