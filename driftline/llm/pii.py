@@ -1,11 +1,11 @@
 """Personal data in whole texts, with built-in functions only.
 
 Patterns propose spans, validators confirm them (Luhn for cards, mod 97 for bank accounts, ranges for addresses, digit
-counts for phone numbers), and the words just before a span move its score. The base kinds stay whatever their
+counts for phone numbers), and the words just before a span, or before the list it stands in, move its score. The base kinds stay whatever their
 score; further kinds (iban, ssn) are reported from `min_score` on, and a national number thus needs a word that announces it.
 
 Places come from the text between matches: splitting by the pattern gives the gaps, extraction the matches, and
-their lengths add up to code-point places. Patterns are written without backtracking: a match may start only
+their lengths add up to code-point places. An account has the length that its country sets, so it ends where the next word begins. Patterns are written without backtracking: a match may start only
 where no earlier start was possible, so runs of millions of characters are read once.
 
 Defined cases: null text is empty and has no spans; failing matches are dropped and not retried; kinds may
@@ -22,13 +22,31 @@ MIN_SCORE = 0.5
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 _LOCAL = "A-Za-z0-9._%+-"
+#: Codes of countries by the length of their accounts, after which nothing is taken; in the first table only digits follow the code.
+DIGITS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL", 19: "SI", 20: "AT BA EE LT XK", 21: "HR", 22: "DE ME RS VA", 23: "IL TL",
+    24: "CZ ES SE SK TN", 25: "PT ST", 26: "IS", 27: "MR", 28: "HU PL",
+}
+MIXED = {
+    18: "FK NL SD", 19: "MK", 20: "KZ LU MN", 21: "CH LI LV", 22: "BG BH CR GB GE IE", 23: "AE GI IQ OM SO", 24: "AD MD PK RO SA VG",
+    25: "AO CV LY MZ", 26: "DZ IR TR", 27: "BI CM DJ FR GR IT MC MG SM", 28: "AL AZ BY CI CY DO GT HN LB NI SN SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_CODES = "|".join(codes.replace(" ", "|") for table in (DIGITS, MIXED) for codes in table.values())
+_ACCOUNTS = "|".join(
+    rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?{character}){{{length - 4}}}+"
+    for character, table in (("[0-9]", DIGITS), ("[A-Z0-9]", MIXED))
+    for length, codes in table.items()
+)
+# An account of another code goes on over whole words of capitals and digits, up to one that starts an account of a known code.
+_OTHERS = rf"(?!{_CODES})[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!(?:{_CODES})[0-9]{{2}})(?=[A-Z0-9]{{1,30}}+(?![A-Za-z0-9])))?[A-Z0-9]){{11,30}}+"
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_ACCOUNTS}|{_OTHERS})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 # Score of a confirmed match, and words that raise it.
@@ -42,6 +60,8 @@ CONTEXT = {
     "ssn": "ssn|social security|tax id",
 }
 _CONTEXT_LENGTH = 40
+# Between the numbers of a list stands nothing else; the words before its first number announce all.
+_LIST = r"^[^\p{L}]*+(?:(?:and|or|und|oder|et|ou|y|o)(?!\p{L})[^\p{L}]*+)?$"
 
 
 def _digits(match: str) -> str:
@@ -93,14 +113,20 @@ def _score(kind: str, context: str) -> str:
     return f"cast(case when {context} rlike {_literal(CONTEXT[kind])} then {min(1.0, round(base + 0.3, 2))} else {base} end as double)"
 
 
+def _context(gap: str, before: str) -> str:
+    """The end of the text before a match; between the matches of a list it goes on from `before`, that of the match before."""
+    return f"right(case when {gap} rlike {_literal(_LIST)} then concat({before}, {gap}) else {gap} end, {_CONTEXT_LENGTH})"
+
+
 def spans_of(text: str, kind: str) -> Column:
     """Confirmed spans of one kind in the column `text`, which must not be null, by start."""
     span = "array<struct<start:int,end:int,text:string,context:string>>"
+    context = _context("p.gap", "acc.context")
     found = (
-        f"aggregate({_pieces(text, kind)}, struct(0 as at, cast(array() as {span}) as out), (acc, p) ->"
-        " case when p.match is null then acc else struct(acc.at + length(p.gap) + length(p.match) as at,"
+        f"aggregate({_pieces(text, kind)}, struct(0 as at, '' as context, cast(array() as {span}) as out), (acc, p) ->"
+        f" case when p.match is null then acc else struct(acc.at + length(p.gap) + length(p.match) as at, {context} as context,"
         " concat(acc.out, array(struct(acc.at + length(p.gap) as start, acc.at + length(p.gap) + length(p.match) as end,"
-        f" p.match as text, right(p.gap, {_CONTEXT_LENGTH}) as context))) as out) end, acc -> acc.out)"
+        f" p.match as text, {context} as context))) as out) end, acc -> acc.out)"
     )
     confirmed = f"filter({found}, s -> {VALID[kind]})"
     scored = (
@@ -131,11 +157,18 @@ def mask_pii(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCO
     columns = docs.columns
     for kind in KINDS:
         keep = VALID[kind].replace("s.text", "p.match")
-        if kind not in BASE:
-            keep = f"({keep}) and {_score(kind, f'lower(right(p.gap, {_CONTEXT_LENGTH}))')} >= {min_score}"
         text = f"`{text_col}`"
+        pieces = _pieces(text, kind)
+        if kind not in BASE:
+            keep = f"({keep}) and {_score(kind, 'lower(p.context)')} >= {min_score}"
+            told = "array<struct<gap:string,match:string,context:string>>"
+            pieces = (
+                f"aggregate({pieces}, struct('' as context, cast(array() as {told}) as out), (acc, p) -> struct("
+                f"{_context('p.gap', 'acc.context')} as context, concat(acc.out, array(struct(p.gap as gap, p.match as match,"
+                f" {_context('p.gap', 'acc.context')} as context))) as out), acc -> acc.out)"
+            )
         masked = (
-            f"array_join(transform({_pieces(text, kind)}, p -> case when p.match is null then p.gap"
+            f"array_join(transform({pieces}, p -> case when p.match is null then p.gap"
             f" when {keep} then concat(p.gap, '[{kind.upper()}]') else concat(p.gap, p.match) end), '')"
         )
         if kind in _NEEDS:

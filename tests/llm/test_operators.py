@@ -116,6 +116,43 @@ def test_pii(docs, spark):
     assert mask_pii(one).first()["text"] == "IBAN [IBAN], ssn [SSN], no 123-45-6789 mail [EMAIL]"
 
 
+ACCOUNTS = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606", "NL91ABNA0417164300", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+
+
+def test_pii_finds_accounts_before_words(spark):
+    after = [" Bank", " Thanks", " BIC COBADEFFXXX", " 12345", " 2024 and more", ", then", "", " A1", "\nDE", " AT12"]
+    before = ["pay ", "IBAN ", "AB12 ", "no DE12 ", "IBAN: AT12 "]
+    cases = []
+    for account in ACCOUNTS:
+        parted = " ".join(account[i : i + 4] for i in range(0, len(account), 4))
+        cases += [(b, own, a) for own in (account, parted) for b in before[:2] for a in after]
+    cases += [(b, own, " Bank") for own in (ACCOUNTS[0], "DE89 3704 0044 0532 0130 00") for b in before]
+    cases.append(("IBAN ", "XX40" + "1" * 14, " Bank"))  # a code without a known length
+    rows = [(i, b + own + a) for i, (b, own, a) in enumerate(cases)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in find_pii(table).collect():
+        b, own, a = cases[r["doc_id"]]
+        spans = [(s["start"], s["end"], s["text"]) for s in r["spans"] if s["kind"] == "iban"]
+        if own[:2] != "XX" or _mod97(own):
+            assert spans == [(len(b), len(b) + len(own), own)], (b, own, a)
+    none = ["DE89370400440532013001 Bank", "DE8937040044053201300 Bank", "DE893704004405320130000 x", "xDE89370400440532013000", "DE89370400440532013000Bank"]
+    for r in find_pii(spark.createDataFrame(list(enumerate(none)), "doc_id long, text string")).collect():
+        assert not [s for s in r["spans"] if s["kind"] == "iban"]
+
+
+def _mod97(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def test_pii_context_of_lists(spark):
+    texts = ["SSN: 123-45-6789, 234-56-7890; 345-67-8901 and 456-78-9012\n567-89-0123", "ssn 123-45-6789, order 234-56-7890, 345-67-8901", "123-45-6789, ssn 234-56-7890"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [s["text"] for s in r["spans"] if s["kind"] == "ssn"] for r in find_pii(table).collect()}
+    assert found == {0: ["123-45-6789", "234-56-7890", "345-67-8901", "456-78-9012", "567-89-0123"], 1: ["123-45-6789"], 2: ["234-56-7890"]}
+    masked = {r["doc_id"]: r["text"] for r in mask_pii(table).collect()}
+    assert masked == {0: "SSN: [SSN], [SSN]; [SSN] and [SSN]\n[SSN]", 1: "ssn [SSN], order 234-56-7890, 345-67-8901", 2: "123-45-6789, ssn [SSN]"}
+
+
 def test_quality(docs):
     got = quality.judge(docs.withColumn("source", F.lit(None).cast("string"))).collect()
     for r in got:
