@@ -4,7 +4,9 @@ Every document gets whole-text measures. Four of them, as shares in thousandths
 sketch per language and source: counts per unit bucket, of which there are 1,001 at most. Such sketches merge by
 addition, so tasks pre-aggregate them, and a group with too few documents takes the sketch of its language, or
 of everything, merged from the same counts. A measure fails above its fence: the 90 % quantile plus a
-multiple of its distance from the median, plus a margin. The fences are joined back and the verdicts applied.
+multiple of its distance from the median, plus a margin. Where the 90 % quantile itself lies above the fence that
+the 75 % quantile gives, a tenth of the group or more is junk, and that lower fence counts; likewise from there to the 55 %
+quantile, so that junk is found while it is less than 45 % of a group. The fences are joined back and the verdicts applied.
 
 Defined cases: null text has no words; null language or source is a group of its own; null ids and repeated
 rows are kept and counted; no rows give no rows. Columns other than those named are ignored.
@@ -23,6 +25,7 @@ MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 MIN_GROUP = 200
 SPREAD = 3
+LEVELS = (90, 75, 55)
 #: Measure and margin of its fence.
 MARGINS = {"symbols": 50, "dup_lines": 100, "repeats": 100, "word_length": 50}
 _POSITION_BITS = 28
@@ -107,10 +110,15 @@ def fences(sketches: DataFrame, keys: list[str], spread: int = SPREAD) -> DataFr
     up_to = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = sketches.select(*keys, "measure", "bucket", F.sum("n").over(up_to).alias("below"), F.sum("n").over(group).alias("all"))
     at = lambda percent: F.min(F.when(F.col("below") * 100 >= F.col("all") * percent, F.col("bucket")))
-    cuts = ranked.groupBy(*keys, "measure").agg(F.max("all").alias("docs"), at(50).alias("q50"), at(90).alias("q90"))
-    fence = lambda name: F.max(
-        F.when(F.col("measure") == name, F.col("q90") + spread * (F.col("q90") - F.col("q50")) + MARGINS[name])
-    )
+    quantiles = [at(p).alias(f"q{p}") for p in (50, *LEVELS)]
+    cuts = ranked.groupBy(*keys, "measure").agg(F.max("all").alias("docs"), *quantiles)
+    margin = F.element_at(F.create_map(*[F.lit(x) for pair in MARGINS.items() for x in pair]), F.col("measure"))
+    above = lambda p: F.col(f"q{p}") + spread * (F.col(f"q{p}") - F.col("q50")) + margin
+    limit, clean = above(LEVELS[-1]), F.lit(True)
+    for lower, level in zip(LEVELS[::-1], LEVELS[-2::-1]):
+        clean &= F.col(f"q{level}") <= above(lower)
+        limit = F.when(clean, above(level)).otherwise(limit)
+    fence = lambda name: F.max(F.when(F.col("measure") == name, limit))
     return cuts.groupBy(*keys).agg(F.max("docs").alias("docs"), *[fence(name).alias(name) for name in MARGINS])
 
 

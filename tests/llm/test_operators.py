@@ -168,6 +168,22 @@ def test_quality(docs):
     assert len(got) == len(odd_texts())
 
 
+def test_quality_fences_of_dirty_groups(spark):
+    rng = random.Random(6)
+    word = lambda low, high: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(low, high)))
+    clean = lambda: " ".join(word(2, 8) for _ in range(60))
+    junk = {"symbols": lambda: " ".join(word(3, 5) + "#%$" for _ in range(60)), "word_length": lambda: " ".join(word(25, 35) for _ in range(60))}
+    rows, dirty = [], {}
+    for kind, text in junk.items():
+        for percent in (5, 9, 10, 11, 15, 25, 40):
+            for k in range(300):
+                bad = 100 * k < percent * 300
+                dirty[len(rows)] = [kind] if bad else []
+                rows.append((len(rows), text() if bad else clean(), "en", f"{kind}{percent}"))
+    for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect():
+        assert r["failed"] == dirty[r["doc_id"]] and r["kept"] == (not r["failed"]), rows[r["doc_id"]][3]
+
+
 def test_packing(docs):
     tokenizer = Tokenizer.from_file(BPE)
     got = pack_documents(docs, BPE, group_rows=40).collect()
