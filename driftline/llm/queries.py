@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
+from driftline.llm import secrets
 from driftline.llm.byte_bpe import encode_documents
 from driftline.llm.common import bucket_of, table
+from driftline.llm.hard_negatives import hard_negatives
 from driftline.llm.language_id import identify_languages
 from driftline.llm.language_model import score_documents
 from driftline.llm.line_dedup import dedup_lines
 from driftline.llm.near_dedup import near_duplicates
+from driftline.llm.oracle import ORACLE as MORE
 from driftline.llm.packing import pack_documents
 from driftline.llm.pii import BASE, find_pii, span_digest
 from driftline.llm.quality import judge
 from driftline.llm.sharding import shard_documents
+from driftline.llm.vector_codes import books_digest, compress, with_label_error
 from driftline.llm.vector_search import search
 
 
@@ -46,6 +49,8 @@ def op4_pii(spark, sf_dir):
 
 
 def op5_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -63,6 +68,8 @@ def op8_sharding(spark, sf_dir):
 
 
 def op9_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return encode_documents(table(spark, sf_dir, "documents"), path, pattern, digests=True)
 
@@ -71,6 +78,29 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_vector_codes(spark, sf_dir):
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    code = F.lower(F.hex("codes")).alias("code")
+    return with_label_error(coded).select(
+        F.col("id").alias("vec_id"), code, "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256")
+    )
+
+
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+def op13_secrets(spark, sf_dir):
+    rows = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        *[secrets.count_of("spans", k).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(span_digest("spans", secrets.BASE).cast("binary"), 256).alias("base_sha256"),
+        span_digest("spans", secrets.KINDS).alias("spans"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +114,9 @@ QUERIES = {
         op8_sharding,
         op9_byte_bpe,
         op10_minhash_near_dedup,
+        op11_vector_codes,
+        op12_hard_negatives,
+        op13_secrets,
     )
 }
 
@@ -247,4 +280,4 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
-}
+} | MORE
