@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,3 +38,32 @@ def split_rejects(
     for f in features:
         good = good.filter(is_number(F.col(f)))
     return good, df.withColumn("reason", reject_reason(key, features)).filter("reason is not null")
+
+
+_NUMBER = "^(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+
+def reject_records(df: DataFrame, value: str = "value", key: str = KEY, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Records that cannot be scored, as they came, with their `reason`: `not json`, `no key`, `missing <fields>`, `bad type <fields>`.
+
+    A record is parsed once, into a variant that knows which fields there are and of what type. A JSON null is a missing field, and
+    a key that is neither text nor number is none. Missing fields are named before those that are no numbers.
+    """
+    record = F.try_parse_json(F.col(value).cast("string"))
+    kind = lambda name: F.schema_of_variant(F.try_variant_get("_record", f"$.{name}", "variant"))
+    parsed = df.withColumn("_record", record).withColumn("_kinds", F.array(*[kind(name) for name in (key, *features)]))
+    kinds = {f: F.col("_kinds")[i] for i, f in enumerate((key, *features))}
+
+    def named(word: str, wrong: Callable[[Column], Column]) -> Column:
+        listed = F.array_compact(F.array(*[F.when(wrong(kinds[f]), F.lit(f)) for f in features]))
+        return F.when(F.size(listed) > 0, F.concat(F.lit(f"{word} "), F.array_join(listed, ",")))
+
+    absent = lambda k: k.isNull() | (k == "VOID")
+    keyed = F.coalesce((kinds[key] == "STRING") | kinds[key].rlike(_NUMBER), F.lit(False))
+    reason = F.coalesce(
+        F.when(F.col("_record").isNull(), F.lit("not json")),
+        F.when(~keyed, F.lit("no key")),
+        named("missing", absent),
+        named("bad type", lambda k: ~absent(k) & ~k.rlike(_NUMBER)),
+    )
+    return parsed.withColumn("reason", reason).filter("reason is not null").drop("_record", "_kinds")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.columns import draw_hash
-from driftline.functions.ks import critical_h, p_value, p_value_of
+from driftline.functions.ks import critical_h, p_value, p_value_of, p_value_up_to
 from driftline.operators.scan import join_totals, ordered_index, prefix_scan
 from driftline.operators.thin import thin
 from driftline.schemas import FEATURES, KS_ALPHA, KS_CURRENT, KS_REFERENCE, KS_SEED
@@ -276,9 +276,14 @@ def readiness(
     return long.select(*keys, "feature", "pos", "fill", (F.col("fill") == size).alias("ready"))
 
 
-def ks_two_sample(df: DataFrame, keys: Sequence[str], value: str, is_reference: Column) -> DataFrame:
+def ks_two_sample(
+    df: DataFrame, keys: Sequence[str], value: str, is_reference: Column, exact_up_to: int | None = None
+) -> DataFrame:
     """Statistic and p-value per key for two samples of any size.
 
+    The p-value is exact for samples of equal size, and Kolmogorov's limit for others. With `exact_up_to` (10,000, say) it is exact as
+    well where neither sample is larger than that, and `method` tells which it is; its work is the product of the two sizes.
+
     Equal values are counted first; the counts are then scanned in value order in blocks, so neither
     a large key nor a frequent value ends up in one task.
     """
@@ -300,11 +305,14 @@ def ks_two_sample(df: DataFrame, keys: Sequence[str], value: str, is_reference:
     wide = "decimal(19,0)"
     cross = F.col("_fa").cast(wide) * F.col("n_current") - F.col("_fb").cast(wide) * F.col("n_reference")
     gaps = running.groupBy(*keys, "n_reference", "n_current").agg(F.max(F.abs(cross)).alias("_gap"))
-    n, m = F.col("n_reference"), F.col("n_current")
+    n, m, gap = F.col("n_reference"), F.col("n_current"), F.col("_gap").cast("double")
+    chance = p_value if exact_up_to is None else p_value_up_to(exact_up_to)
+    exact = (n > 0) & (m > 0) & ((n == m) | (F.greatest(n, m) <= (exact_up_to or 0)))
     return gaps.select(
         *keys,
         "n_reference",
         "n_current",
-        F.try_divide(F.col("_gap").cast("double"), n.cast("double") * m).alias("ks_statistic"),
-        p_value(F.col("_gap").cast("double"), n, m).alias("p_value"),
+        F.try_divide(gap, n.cast("double") * m).alias("ks_statistic"),
+        chance(gap, n, m).alias("p_value"),
+        *([] if exact_up_to is None else [F.when(exact, "exact").otherwise("limit").alias("method")]),
     )

@@ -16,6 +16,7 @@ from driftline.operators.thin import thin
 from driftline.functions.columns import encode_label
 from driftline.schemas import FEATURES, REGISTRY, RETRAIN_ROWS
 from driftline.session import materialise
+from driftline.sources.files import append_file, claim, read_table
 
 
 def retrain_requests(
@@ -77,14 +78,25 @@ def current_model(registry: DataFrame) -> DataFrame:
 
 
 def register(spark: SparkSession, registry_path: str, version: int, name: str, path: str, rows: int) -> None:
-    """Append a version. Readers take the highest, so they see the old one or the new one, never a mix.
-
-    Two writers may reach the same version at once; each has files of its own, and the later one counts.
-    """
+    """Append a version. Readers take the highest, so they see the old one or the new one, never a mix."""
     from datetime import datetime, timezone
 
     entry = [(version, name, path, datetime.now(timezone.utc), rows)]
-    spark.createDataFrame(entry, REGISTRY).coalesce(1).write.mode("append").parquet(registry_path)
+    append_file(spark.createDataFrame(entry, REGISTRY), registry_path)
+
+
+def next_version(spark: SparkSession, registry_path: str) -> int:
+    """A version number that no other writer gets, above all there are.
+
+    A number is taken by creating its file exclusively beside the registry; who comes second takes the next one. A writer that
+    fails afterwards leaves a number unused.
+    """
+    registry = read_table(spark, registry_path, REGISTRY)
+    row = current_model(registry).first()
+    version = 1 if row is None else row["version"] + 1
+    while not claim(spark, f"{registry_path.rstrip('/')}/_versions/{version}"):
+        version += 1
+    return version
 
 
 def read_registry(spark: SparkSession, registry_path: str) -> DataFrame:
@@ -117,15 +129,16 @@ class ModelCache:
 
 
 def train_version(
-    df: DataFrame, registry_path: str, models_path: str, version: int, label: str = "label", features=FEATURES
+    df: DataFrame, registry_path: str, models_path: str, version: int | None = None, label: str = "label", features=FEATURES
 ) -> LogisticRegressionModel:
-    """Fit on `df`, save the model and make it the current version."""
+    """Fit on `df`, save the model and make it the current version; without a `version` it gets a new one of its own."""
     spark = df.sparkSession
     df = df.select(*features, label).persist()
     try:
         model, rows = fit(df, label, features), df.count()
     finally:
         df.unpersist()
+    version = version if version is not None else next_version(spark, registry_path)
     name = f"lr_v{version}"
     path = f"{models_path.rstrip('/')}/{name}-{uuid.uuid4().hex}"  # never a path that someone may be reading
     model.write().save(path)
@@ -149,5 +162,5 @@ def retrain(
     latest = latest.dropna(subset=["label", *features])
     if latest.isEmpty():
         return None
-    row = current_model(read_registry(table.sparkSession, registry_path)).first()
-    return train_version(latest, registry_path, models_path, 1 if row is None else row["version"] + 1, features=features)
+    read_registry(table.sparkSession, registry_path)  # there must be one
+    return train_version(latest, registry_path, models_path, features=features)

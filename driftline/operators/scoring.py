@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.columns import decode_prediction, margin
@@ -43,6 +44,22 @@ class LinearModel(NamedTuple):
         return cls(tuple(model.coefficients.toArray().tolist()), model.intercept, model.getThreshold())
 
 
+def save_model(spark: SparkSession, model: LinearModel, path: str) -> None:
+    """A model with given weights, in the format that fitted ones are saved in."""
+    jvm = spark.sparkContext._jvm.org.apache.spark.ml
+    weights = jvm.linalg.Vectors.dense(_doubles(spark, model.weights))
+    fitted = jvm.classification.LogisticRegressionModel(f"given_{uuid.uuid4().hex}", weights, float(model.intercept))
+    LogisticRegressionModel(fitted).setThreshold(model.threshold).write().save(path)
+
+
+def _doubles(spark: SparkSession, values: Sequence[float]):
+    gateway = spark.sparkContext._gateway
+    array = gateway.new_array(gateway.jvm.double, len(values))
+    for i, v in enumerate(values):
+        array[i] = float(v)
+    return array
+
+
 def score(df: DataFrame, model: LinearModel, features: Sequence[str] = FEATURES) -> DataFrame:
     """`df` with `prediction` 0.0 or 1.0, by plain arithmetic on the feature columns.
 

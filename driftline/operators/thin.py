@@ -56,11 +56,19 @@ def _apply(heads: np.ndarray, frees: np.ndarray, free: np.ndarray) -> np.ndarray
     return np.where(i < len(heads), frees[np.minimum(i, len(heads) - 1)], free)
 
 
-def _compose(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Step function of two blocks in a row."""
+def _compose(
+    first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], reach: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Step function of two blocks in a row, of which a chain enters the first at a position below `reach`.
+
+    Such a chain takes the first head from there on, so heads after the first one beyond `reach` say nothing: a map
+    has as many steps as a block has, however many blocks it sums up.
+    """
     beyond = second[0] > (first[0][-1] if len(first[0]) else -1)
     heads = np.concatenate([first[0], second[0][beyond]])
     frees = np.concatenate([_apply(*second, first[1]), second[1][beyond]])
+    wanted = np.searchsorted(heads, reach) + 1
+    heads, frees = heads[:wanted], frees[:wanted]
     last = np.append(np.diff(frees) != 0, True)[: len(frees)]
     return heads[last], frees[last]
 
@@ -87,10 +95,12 @@ def _entries(maps: DataFrame, keys: list[str], key_ddl: str) -> DataFrame:
 
         def chain(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("_cell")
-            heads, frees = reduce(_compose, steps(group))
-            return group.iloc[:1][keys].assign(_cell=group["_cell"].iloc[0] // FAN, heads=[heads.tolist()], frees=[frees.tolist()])
+            reach = int(group["reach"].iloc[0])
+            heads, frees = reduce(lambda a, b: _compose(a, b, reach), steps(group))
+            cell = group["_cell"].iloc[0] // FAN
+            return group.iloc[:1][keys].assign(_cell=cell, reach=reach, heads=[heads.tolist()], frees=[frees.tolist()])
 
-        schema = f"{key_ddl}_cell bigint, heads array<bigint>, frees array<bigint>"
+        schema = f"{key_ddl}_cell bigint, reach bigint, heads array<bigint>, frees array<bigint>"
         upper = maps.withColumn("_part", part).groupBy(*keys, "_part").applyInPandas(chain, schema)
         starts = _entries(materialise(upper, "maps"), keys, key_ddl).withColumnsRenamed({"_cell": "_part", "_free": "_start"})
         started = maps.withColumn("_part", part).join(materialise(starts, "starts"), [*keys, "_part"])
@@ -123,13 +133,14 @@ def thin(
 
     def summarise(group: pd.DataFrame) -> pd.DataFrame:
         pos = np.sort(group[position].to_numpy())
-        heads, frees = _block_map(pos, int(group["_cell"].iloc[0]) * length + 1, gap)
-        return group.iloc[:1][[*keys, "_cell"]].assign(heads=[heads.tolist()], frees=[frees.tolist()])
+        start = int(group["_cell"].iloc[0]) * length + 1
+        heads, frees = _block_map(pos, start, gap)
+        return group.iloc[:1][[*keys, "_cell"]].assign(reach=start + gap, heads=[heads.tolist()], frees=[frees.tolist()])
 
     maps = (
         blocked.select(*keys, "_cell", position)
         .groupBy(*keys, "_cell")
-        .applyInPandas(summarise, f"{key_ddl}_cell bigint, heads array<bigint>, frees array<bigint>")
+        .applyInPandas(summarise, f"{key_ddl}_cell bigint, reach bigint, heads array<bigint>, frees array<bigint>")
     )
 
     entries = _entries(materialise(maps, "maps"), keys, key_ddl)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,15 +22,26 @@ from driftline.operators import eddm as ed
 from driftline.operators import kswin as kw
 from driftline.operators import labels as lb
 from driftline.operators import quality, retrain, sampling, scoring
-from driftline.operators.decode import decode_json, split_rejects
+from driftline.operators.decode import decode_json, reject_records, split_rejects
 from driftline.operators.scan import ordered_index
 from driftline.plans import views
 from driftline.schemas import FEATURE_EVENT, FEATURES, KEY, KS_CURRENT
-from driftline.session import scratch_path
-from driftline.sources.files import append_idempotent, batches_of, read_batch, read_csv, read_table, write_csv
+from driftline.session import materialise, scratch_path
+from driftline.sources.files import read_csv, read_table, write_batch, write_csv
+from driftline.sources.keyed import KeyedTable, append_idempotent
 from driftline.sources.logs import feature_events, read_log
 from driftline.streaming import labels as stream_labels
-from driftline.streaming.monitors import LabelTables, follow_labels, monitor_errors, monitor_features
+from driftline.streaming.batches import for_each_batch
+from driftline.streaming.latest import keep_latest, kept_latest
+from driftline.streaming.monitors import (
+    LabelTables,
+    finish_errors,
+    finish_features,
+    follow_labels,
+    monitor_errors,
+    monitor_features,
+)
+from driftline.streaming.reorder import ReorderBuffer
 from driftline.streaming.scoring import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +131,12 @@ def reject_rows(spark, sf_dir):
     return bad.select("event_id", KEY, "reason")
 
 
+@query
+def reject_reasons(spark, sf_dir):
+    """Why records cannot be scored, malformed ones told from incomplete ones."""
+    return reject_records(views.json_log(spark, sf_dir)).select("event_id", "reason")
+
+
 @query
 def constraint_violations(spark, sf_dir):
     rows = views.table(spark, sf_dir, "lineitem").select(
@@ -394,6 +413,7 @@ def current_model(spark, sf_dir):
 def retrain_requests(spark, sf_dir):
     """Drifts of each model; a retraining is taken to finish at every 2,000th labelled row."""
     rows = ed.eddm(_verdicts(spark, sf_dir), ["model_version"], ARRIVAL, "is_correct").select("model_version", "pos", "drift")
+    rows = materialise(rows.filter("drift or pos % 2000 = 0"), "marks")  # used for drifts and for finishes
     finishes = rows.filter("pos % 2000 = 0").select("model_version", "pos")
     return retrain.retrain_requests(rows.filter("drift"), finishes, ["model_version"], cooldown=100, timeout=300)
 
@@ -402,6 +422,7 @@ def retrain_requests(spark, sf_dir):
 def retrain_requests_open(spark, sf_dir):
     """As above without cooldown and timeout: one request between two finishes."""
     rows = ed.eddm(_verdicts(spark, sf_dir), ["model_version"], ARRIVAL, "is_correct").select("model_version", "pos", "drift")
+    rows = materialise(rows.filter("drift or pos % 2000 = 0"), "marks")  # used for drifts and for finishes
     finishes = rows.filter("pos % 2000 = 0").select("model_version", "pos")
     return retrain.retrain_requests(rows.filter("drift"), finishes, ["model_version"])
 
@@ -494,7 +515,7 @@ def stream_labelled_once(spark, sf_dir):
 def stream_orphans(spark, sf_dir):
     """Labels that still wait for a prediction when the stream ends."""
     tables = _follow_labels(spark, sf_dir)
-    return read_batch(spark, tables.orphans, batches_of(spark, tables.orphans)[-1]).select(KEY, "label")
+    return KeyedTable(tables.orphans, [KEY]).everything(spark).select(KEY, "label")
 
 
 @query
@@ -509,6 +530,47 @@ def ks_equal_sizes(spark, sf_dir):
     return rounded(kw.ks_two_sample(both, [], "price", F.col("first")), 9, "ks_statistic", "p_value")
 
 
+@query
+def ks_unequal_exact(spark, sf_dir):
+    """Prices of returned against other lines, per supplier and line number: small samples of unequal sizes, exact p-values."""
+    rows = views.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    found = kw.ks_two_sample(rows, ["l_suppkey", "l_linenumber"], "l_extendedprice", F.col("l_returnflag") == "R", exact_up_to=10_000)
+    return rounded(found, 9, "ks_statistic", "p_value")
+
+
+@query
+def registry_race(spark, sf_dir):
+    """Versions after writers registered a model each at the same time, one for each model seen."""
+    root = scratch_path(spark, "race")
+    seen = views.predictions(spark, sf_dir).groupBy("model_version").count().collect()  # a row per model
+
+    def write(row):
+        version = retrain.next_version(spark, root)
+        retrain.register(spark, root, version, f"lr_v{version}", f"models/{row['model_version']}", row["count"])
+
+    with ThreadPoolExecutor(len(seen)) as writers:
+        list(writers.map(write, seen))
+    registry = retrain.read_registry(spark, root)
+    return registry.select("version", "name").join(registry.agg(F.sum("rows").alias("all_rows")))
+
+
+@query
+def retrain_moments(spark, sf_dir):
+    """As `lr_first_order`, for a model retrained on the latest 2,000 labelled rows and read back through the registry."""
+    root = scratch_path(spark, "retrain")
+    table = materialise(views.labelled(spark, sf_dir), "labelled")
+    early = table.filter("label_arrival_time < timestamp_ntz'2024-01-10 00:00:00'")
+    retrain.train_version(early.withColumn("label", encode_label(F.col("true_label"))), f"{root}/registry", f"{root}/models")
+    retrain.retrain(table, f"{root}/registry", f"{root}/models", 2000)
+    name, model = retrain.ModelCache(spark, f"{root}/registry").current()
+    rows = sampling.retrain_rows(table, 2000)
+    chance = 1 / (1 + F.exp(-scoring.margin(model.weights, model.intercept)))
+    moments = [("intercept", F.lit(1.0)), *[(f, F.col(f)) for f in FEATURES]]
+    sums = rows.agg(F.count(F.lit(1)).alias("rows"), *[(F.avg(chance * x) / F.avg(x)).alias(f) for f, x in moments])
+    long = sums.unpivot(["rows"], [f for f, _ in moments], "feature", "share")
+    return rounded(long.withColumn("name", F.lit(name)), 3, "share")
+
+
 @query
 def registry_advance(spark, sf_dir):
     """The current model after one version was registered for each model seen, in order."""
@@ -565,6 +627,138 @@ def stream_kswin(spark, sf_dir):
     return read_table(spark, f"{root}/rows", columns).drop("batch_id")
 
 
+def _out_of_order(rows: DataFrame, time: str, path: str, run: Callable[[DataFrame], object]) -> None:
+    """As `_in_parts`, but a quarter of each part arrives with the part after it."""
+    spark = rows.sparkSession
+    cuts = [F.lit(cut).cast(rows.schema[time].dataType) for cut in PARTS[1:-1]]
+    part = reduce(lambda a, b: a + b, [(F.col(time) >= cut).cast("int") for cut in cuts])
+    late = (F.pmod(F.xxhash64(*rows.columns), F.lit(4)) == 0).cast("int")
+    dealt = rows.withColumn("_part", F.least(part + late, F.lit(len(cuts))))
+    for n in range(len(cuts) + 1):
+        dealt.filter(F.col("_part") == n).drop("_part").write.mode("append").parquet(path)
+        run(read_log(spark, "parquet", rows.schema, path)).awaitTermination()
+
+
+@query
+def stream_eddm_late(spark, sf_dir):
+    """Labelled rows that arrive up to twelve days out of order, counted in order."""
+    root = scratch_path(spark, "late-errors")
+    place = (["model_version"], ARRIVAL, "is_correct", f"{root}/rows", f"{root}/state")
+    reorder = ReorderBuffer(f"{root}/buffer", "label_arrival_time", timedelta(days=12), f"{root}/late")
+    _out_of_order(
+        _verdicts(spark, sf_dir), "label_arrival_time", f"{root}/log",
+        lambda log: monitor_errors(log, *place, f"{root}/checkpoint", reorder=reorder),
+    )
+    finish_errors(spark, *place, reorder)
+    return _eddm_columns(read_table(spark, f"{root}/rows"))
+
+
+@query
+def stream_kswin_late(spark, sf_dir):
+    root = scratch_path(spark, "late-features")
+    rows = views.shifted(spark, sf_dir).select("segment", *TIME, *FEATURES)
+    place = (["segment"], TIME, f"{root}/rows", f"{root}/state")
+    reorder = ReorderBuffer(f"{root}/buffer", "ts", timedelta(days=12), f"{root}/late")
+    _out_of_order(rows, "ts", f"{root}/log", lambda log: monitor_features(log, *place, f"{root}/checkpoint", reorder=reorder))
+    finish_features(spark, *place, reorder)
+    columns = "segment string, feature string, event_id bigint, pos bigint, h int"
+    return read_table(spark, f"{root}/rows", columns).drop("batch_id")
+
+
+@query
+def stream_pending(spark, sf_dir):
+    """Predictions that still wait for a label when the stream ends."""
+    tables = _follow_labels(spark, sf_dir)
+    return KeyedTable(tables.pending, [KEY]).everything(spark).select(KEY, "predicted_label", "model_version")
+
+
+@query
+def stream_expired(spark, sf_dir):
+    """Predictions and labels that waited longer than three days for the other one, both logs read in three parts by time."""
+    root = scratch_path(spark, "expire")
+    tables = LabelTables(*[f"{root}/{name}" for name in LabelTables._fields])
+    logs = {
+        "prediction_time": views.predictions(spark, sf_dir).drop("true_label", "label_arrival_time"),
+        "label_arrival_time": views.label_log(spark, sf_dir),
+    }
+    logs = {time: rows.withColumn(time, F.col(time).cast("timestamp")) for time, rows in logs.items()}
+    for low, high in zip(PARTS, PARTS[1:]):
+        for time, rows in logs.items():
+            inside = (F.col(time) >= F.lit(low or "1970-01-01").cast("timestamp")) & (F.col(time) < F.lit(high or "2970-01-01").cast("timestamp"))
+            rows.filter(inside).write.mode("append").parquet(f"{root}/{time}")
+        streams = [read_log(spark, "parquet", rows.schema, f"{root}/{time}") for time, rows in logs.items()]
+        follow_labels(
+            *streams, ["model_version"], ARRIVAL, tables, f"{root}/checkpoint", max_wait=timedelta(days=3)
+        ).awaitTermination()
+    return read_table(spark, tables.expired).select(KEY, "kind")
+
+
+@query
+def stream_latest_n(spark, sf_dir):
+    """The latest 2,000 labelled rows, merged batch by batch, corrections included."""
+    root = scratch_path(spark, "latest")
+    predictions = views.predictions(spark, sf_dir).drop("true_label", "label_arrival_time")
+    log = views.label_log(spark, sf_dir).withColumnRenamed("label", "true_label")
+    labelled = predictions.join(log, KEY).select(KEY, "true_label", "label_arrival_time", *FEATURES)
+    keep = lambda batch, batch_id: keep_latest(batch, batch_id, f"{root}/latest", 2000)
+    _in_parts(labelled, "label_arrival_time", f"{root}/log", lambda rows: for_each_batch(rows, keep, f"{root}/checkpoint"))
+    return kept_latest(spark, f"{root}/latest").select(KEY, "true_label", *FEATURES)
+
+
+@query
+def stream_requests(spark, sf_dir):
+    """Retraining requests that a stream of drifts puts on the request log: one open request per model."""
+    root = scratch_path(spark, "requests")
+    empty = spark.createDataFrame([], "model_version string, pos bigint")
+
+    def ask(rows, batch_id):
+        earlier = read_table(spark, f"{root}/requests", "model_version string, pos bigint, batch_id bigint").filter(F.col("batch_id") < batch_id)
+        write_batch(retrain.new_requests(rows.filter("drift"), earlier, empty, ["model_version"]), f"{root}/requests", batch_id)
+
+    def run(log):
+        tables = (f"{root}/rows", f"{root}/state", f"{root}/checkpoint")
+        return monitor_errors(log, ["model_version"], ARRIVAL, "is_correct", *tables, then=ask, errors_only=True)
+
+    _in_parts(_verdicts(spark, sf_dir), "label_arrival_time", f"{root}/log", run)
+    return read_table(spark, f"{root}/requests", "model_version string, pos bigint").select("model_version", "pos")
+
+
+@query
+def stream_rate_limited(spark, sf_dir):
+    """Batches of a log of six files of which a batch may take two, with a restart after the first four files."""
+    root = scratch_path(spark, "rate")
+    rows = views.features(spark, sf_dir).select("event_id", "ts")
+    count = lambda batch, batch_id: write_batch(batch.agg(F.count(F.lit(1)).alias("rows")), f"{root}/counts", batch_id)
+    for part in range(6):
+        rows.filter(F.col("event_id") % 6 == part).coalesce(1).write.mode("append").parquet(f"{root}/log")
+        if part in (3, 5):
+            log = read_log(spark, "parquet", rows.schema, f"{root}/log", maxFilesPerTrigger=2)
+            for_each_batch(log, count, f"{root}/checkpoint").awaitTermination()
+    return read_table(spark, f"{root}/counts").select(F.col("batch_id").cast("int").alias("batch_id"), "rows")
+
+
+@query
+def stream_score_registry(spark, sf_dir):
+    """As `stream_score_swap`, with the second model put into the registry after the first batch."""
+    root = scratch_path(spark, "score-registry")
+    versions = iter([(1, views.MODEL_1), (2, views.MODEL_2)])
+
+    def advance():
+        version, model = next(versions, (None, None))
+        if version:
+            scoring.save_model(spark, model, f"{root}/models/{version}")
+            retrain.register(spark, f"{root}/registry", version, f"lr_v{version}", f"{root}/models/{version}", 0)
+
+    models = retrain.ModelCache(spark, f"{root}/registry")
+
+    def run(log):
+        advance()
+        return score_stream(feature_events(log), models, f"{root}/table", f"{root}/checkpoint")
+
+    _in_parts(views.json_log(spark, sf_dir), "ts", f"{root}/log", run)
+    return read_table(spark, f"{root}/table").select(KEY, "predicted_label", "model_version")
+
+
 @query
 def stream_once_per_key(spark, sf_dir):
     """Keys of the label log after repeats were dropped within the watermark."""

@@ -154,7 +154,7 @@ def watch_errors(
         decoded.dropna(subset=[KEY]),
         ["model_version"],
         ["label_arrival_time", KEY],
-        LabelTables(at.labelled, at.label_log, at.pending, at.orphans, at.error_state),
+        LabelTables(at.labelled, at.label_log, at.pending, at.orphans, at.error_state, at.labelled_keys, at.expired, at.aging),
         at.error_checkpoint,
         interval=interval,
         then=ask,

@@ -384,4 +384,58 @@ SELECT segment, feature, event_id, pos, h FROM kept JOIN pos USING (segment, pos
     "stream_once_per_key": f'WITH {LABELS} SELECT DISTINCT "eventID" FROM label_log',
     "correctness_flag": f"""WITH {PREDICTIONS} SELECT p."eventID", coalesce(p.predicted_label = l.label, false) AS is_correct
 FROM pred p LEFT JOIN latest l ON p."eventID" = l."eventID" """,
+    "reject_reasons": """SELECT event_id, CASE event_id % 50 WHEN 0 THEN 'not json' WHEN 1 THEN 'bad type nswprice'
+  WHEN 2 THEN 'missing transfer' ELSE 'no key' END AS reason FROM events WHERE event_id % 50 <= 3""",
+    "ks_unequal_exact": """WITH RECURSIVE lines AS (
+  SELECT l_suppkey, l_linenumber, l_extendedprice AS v, l_returnflag = 'R' AS old FROM lineitem),
+sizes AS (SELECT l_suppkey, l_linenumber, count(*) FILTER (old) AS n, count(*) FILTER (NOT old) AS m FROM lines GROUP BY ALL),
+running AS (
+  SELECT l_suppkey, l_linenumber, count(*) FILTER (old) OVER w AS a, count(*) FILTER (NOT old) OVER w AS b
+  FROM lines WINDOW w AS (PARTITION BY l_suppkey, l_linenumber ORDER BY v)),
+gaps AS (
+  SELECT l_suppkey, l_linenumber, n, m, CAST(max(abs(a * m - b * n)) AS BIGINT) AS gap
+  FROM running JOIN sizes USING (l_suppkey, l_linenumber) GROUP BY ALL),
+kinds AS (SELECT DISTINCT n, m, gap FROM gaps WHERE n > 0 AND m > 0 AND gap > 0),
+walk AS (
+  SELECT n, m, gap, 0 AS k, 0 AS i, 1.0::DOUBLE AS p FROM kinds
+  UNION ALL
+  SELECT n, m, gap, k + 1, i + d, sum(p * (CASE d WHEN 1 THEN n - i ELSE m - (k - i) END) / (n + m - k))
+  FROM walk, (VALUES (0), (1)) step(d)
+  WHERE abs(i * m - (k - i) * n) < gap AND k < n + m AND (CASE d WHEN 1 THEN n - i ELSE m - (k - i) END) > 0
+  GROUP BY n, m, gap, k, i + d),
+outside AS (SELECT n, m, gap, sum(p) AS p FROM walk WHERE abs(i * m - (k - i) * n) >= gap GROUP BY ALL)
+SELECT l_suppkey, l_linenumber, n AS n_reference, m AS n_current, round(gap / CASE WHEN n * m > 0 THEN n * m END::DOUBLE, 9) AS ks_statistic,
+  round(CASE WHEN n = 0 OR m = 0 THEN 'nan'::DOUBLE WHEN gap = 0 THEN 1.0 ELSE least(1.0, p) END, 9) AS p_value,
+  CASE WHEN n > 0 AND m > 0 THEN 'exact' ELSE 'limit' END AS method
+FROM gaps LEFT JOIN outside USING (n, m, gap)""",
+    "registry_race": f"""WITH {PREDICTIONS}, seen AS (SELECT model_version, count(*) AS rows FROM pred GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY model_version) AS INTEGER) AS version,
+  'lr_v' || row_number() OVER (ORDER BY model_version) AS name, CAST((SELECT sum(rows) FROM seen) AS BIGINT) AS all_rows FROM seen""",
+    "retrain_moments": f"""WITH {PREDICTIONS}, last AS (
+  SELECT * FROM labelled ORDER BY label_arrival_time DESC, "eventID" LIMIT 2000),
+m AS (
+  SELECT count(*) AS rows, avg(CASE true_label WHEN 'UP' THEN 1.0::DOUBLE ELSE 0 END) AS intercept,
+    {", ".join(f"sum(CASE true_label WHEN 'UP' THEN {c} ELSE 0 END) / sum({c}) AS {c}" for c in F5)}
+  FROM last)
+SELECT rows, feature, round(share, 3) AS share, 'lr_v2' AS name FROM m UNPIVOT (share FOR feature IN (intercept, {_COLS}))""",
+    "stream_eddm_late": f"WITH {eddm('model_version')} SELECT {_SHOWN}",
+    "stream_kswin_late": f"""WITH RECURSIVE {kswin_thinned("segment")}
+SELECT segment, feature, event_id, pos, h FROM kept JOIN pos USING (segment, pos)""",
+    "stream_pending": f"""WITH {PREDICTIONS} SELECT "eventID", predicted_label, model_version FROM pred
+WHERE "eventID" NOT IN (SELECT "eventID" FROM label_log)""",
+    "stream_expired": f"""WITH {PREDICTIONS}, clock AS (
+  SELECT greatest((SELECT max(prediction_time) FROM pred), (SELECT max(label_arrival_time) FROM label_log)) - INTERVAL 3 DAY AS mark)
+SELECT "eventID", 'prediction' AS kind FROM pred, clock
+WHERE "eventID" NOT IN (SELECT "eventID" FROM label_log) AND prediction_time < mark
+UNION ALL SELECT "eventID", 'label' FROM label_log, clock
+WHERE "eventID" NOT IN (SELECT "eventID" FROM fx) AND label_arrival_time < mark""",
+    "stream_latest_n": f"""WITH {PREDICTIONS} SELECT "eventID", true_label, {_COLS} FROM labelled
+ORDER BY label_arrival_time DESC, "eventID" LIMIT 2000""",
+    "stream_requests": f"WITH {eddm('model_version')} SELECT model_version, min(pos) AS pos FROM shown WHERE drift GROUP BY 1",
+    "stream_rate_limited": """SELECT CAST((event_id % 6) // 2 AS INTEGER) AS batch_id, count(*) AS rows FROM events GROUP BY 1""",
+    "stream_score_registry": f"""WITH {_DECODED} SELECT d."eventID",
+  CASE WHEN (ts < TIMESTAMP '2024-01-09' AND d.nswprice * 0.08 + d.nswdemand * -0.03 > 0)
+    OR (ts >= TIMESTAMP '2024-01-09' AND d.nswprice * 0.01 + d.nswdemand * -0.03 + 1.0 > 0) THEN 'UP' ELSE 'DOWN' END AS predicted_label,
+  CASE WHEN ts < TIMESTAMP '2024-01-09' THEN 'lr_v1' ELSE 'lr_v2' END AS model_version
+FROM decoded d JOIN fx USING (event_id) WHERE event_id % 50 > 3""",
 }

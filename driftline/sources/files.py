@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pathlib
+import uuid
+from collections.abc import Sequence
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.operators.labels import first_per_key
@@ -37,8 +41,8 @@ def _folder(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Store `df` as partition `batch_id` of a table, once and for all.
+def write_batch(df: DataFrame, path: str, batch_id: int, by: Sequence[str] = ()) -> None:
+    """Store `df` as partition `batch_id` of a table, once and for all; `by` names columns that divide it further.
 
     The rows are written aside and appear by one rename. A batch that is there already stays as it is: a replay
     computes the same rows, and a stream may be reading the files.
@@ -48,11 +52,78 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     if fs.exists(final):
         return
     aside, _ = _folder(spark, f"{path}/_writing-{batch_id}")
-    df.write.mode("overwrite").parquet(aside.toString())
+    df.write.mode("overwrite").partitionBy(*by).parquet(aside.toString())
+    if not fs.rename(aside, final) and not fs.exists(final):
+        raise OSError(f"cannot move {aside.toString()} to {final.toString()}")
+
+
+def append_file(df: DataFrame, path: str) -> None:
+    """Add the rows of a small frame to a table as one file, by one rename.
+
+    Several writers may do so at once, which Spark's own append does not allow: who ends first removes what the others are writing.
+    """
+    spark = df.sparkSession
+    aside, fs = _folder(spark, f"{path}/_writing-{uuid.uuid4().hex}")
+    df.coalesce(1).write.parquet(aside.toString())
+    for entry in fs.listStatus(aside):
+        if entry.getPath().getName().startswith("part-"):
+            final, _ = _folder(spark, f"{path}/{entry.getPath().getName()}")  # a name no other writer has
+            if not fs.rename(entry.getPath(), final):
+                raise OSError(f"cannot move {entry.getPath().toString()} to {final.toString()}")
+    fs.delete(aside, True)
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """Store a small text under a final name, by one rename; one that is there already stays."""
+    final, fs = _folder(spark, path)
+    if fs.exists(final):
+        return
+    aside, _ = _folder(spark, f"{path.rpartition('/')[0]}/_writing-{path.rpartition('/')[2]}")
+    out = fs.create(aside, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
     if not fs.rename(aside, final) and not fs.exists(final):
         raise OSError(f"cannot move {aside.toString()} to {final.toString()}")
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless there is one; of any number of callers exactly one gets True.
+
+    Stores with an exclusive create decide that themselves. A local file system, as in tests, has one outside of Hadoop's interface only.
+    """
+    target, fs = _folder(spark, path)
+    if fs.getScheme() == "file":
+        local = pathlib.Path(target.toUri().getPath())
+        local.parent.mkdir(parents=True, exist_ok=True)
+        try:
+            local.touch(exist_ok=False)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(target, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
+def read_note(spark: SparkSession, path: str) -> str:
+    target, fs = _folder(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def note_before(spark: SparkSession, path: str, batch_id: int, results: str | None = None) -> str | None:
+    """The last note `batch_id=...` under `path` before `batch_id`; as for tables, a missing one may be an error."""
+    earlier = _earlier(spark, path, batch_id, results)
+    return read_note(spark, f"{path}/batch_id={earlier}") if earlier is not None else None
+
+
 def batches_of(spark: SparkSession, path: str) -> list[int]:
     """Batches of a table in ascending order, from the names of their folders."""
     root, fs = _folder(spark, path)
@@ -84,14 +155,26 @@ def read_before(
 
     Where the table `results` holds earlier batches, a missing state is an error: going on would start afresh in silence.
     """
+    earlier = _earlier(spark, path, batch_id, results)
+    return read_batch(spark, path, earlier, schema) if earlier is not None else None
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int, results: str | None) -> int | None:
     earlier = [b for b in batches_of(spark, path) if b < batch_id]
     if earlier:
-        return read_batch(spark, path, earlier[-1], schema)
+        return earlier[-1]
     if results and any(b < batch_id for b in batches_of(spark, results)):
         raise FileNotFoundError(f"no state before batch {batch_id} in {path}, but results of earlier batches in {results}")
     return None
 
 
+def folders_of(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of a partition column, from the folders of a table or of one of its batches."""
+    root, fs = _folder(spark, path)
+    names = [entry.getPath().getName() for entry in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(name.split("=", 1)[1] for name in names if name.startswith(f"{column}="))
+
+
 def ensure_folder(spark: SparkSession, path: str) -> None:
     """Make the folder of a table that a stream will read before anything is written to it."""
     target, fs = _folder(spark, path)
@@ -110,24 +193,3 @@ def new_keys(df: DataFrame, existing: DataFrame | None, key: str, order: list[st
     """First row in `order` of every key of `df` that `existing` does not hold. Null keys are dropped."""
     fresh = first_per_key(df, [key], order or [c for c in df.columns if c != key])
     return fresh if existing is None else fresh.join(existing.select(key), key, "left_anti")
-
-
-def append_idempotent(
-    df: DataFrame,
-    path: str,
-    key: str,
-    batch_id: int,
-    order: list[str] | None = None,
-    lookback: int | None = None,
-) -> None:
-    """Append the rows of a batch whose key is new to the table; a replayed batch changes nothing.
-
-    The whole table is searched for the keys, or the last `lookback` batches of it if the caller knows
-    that a key comes back no later (a stream deduplicated upstream, say); only those are then read.
-    """
-    existing = read_table(df.sparkSession, path)
-    if existing is not None:
-        existing = existing.filter(F.col("batch_id") != batch_id)
-        if lookback is not None:
-            existing = existing.filter(F.col("batch_id") >= batch_id - lookback)
-    write_batch(new_keys(df, existing, key, order), path, batch_id)

@@ -12,7 +12,8 @@ from driftline.operators.decode import split_rejects
 from driftline.operators.retrain import ModelCache
 from driftline.operators.scoring import LinearModel, prediction_rows, score
 from driftline.schemas import KEY
-from driftline.sources.files import append_idempotent, write_batch
+from driftline.sources.files import write_batch
+from driftline.sources.keyed import append_idempotent
 from driftline.streaming.batches import for_each_batch
 
 
@@ -22,14 +23,13 @@ def score_batch(
     model: tuple[str, LinearModel],
     table: str,
     rejects: str | None = None,
-    lookback: int | None = None,
     clock: str | None = None,
 ) -> None:
     """Score one batch and store its predictions, once per key, and its rejected rows."""
     name, fitted = model
     good, bad = split_rejects(batch)
     rows = prediction_rows(score(good, fitted), name, F.col(clock) if clock else None)
-    append_idempotent(rows, table, KEY, batch_id, lookback=lookback)
+    append_idempotent(rows, table, KEY, batch_id)
     if rejects:
         write_batch(bad, rejects, batch_id)
 
@@ -40,18 +40,16 @@ def score_stream(
     table: str,
     checkpoint: str,
     rejects: str | None = None,
-    lookback: int | None = None,
     clock: str | None = None,
     interval: str | None = None,
 ) -> StreamingQuery:
     """Score events with the model that is current when their batch starts.
 
-    Predictions are stamped with the column `clock`, or with the current time. For `lookback` see
-    `append_idempotent`.
+    Predictions are stamped with the column `clock`, or with the current time.
     """
     current = models.current if isinstance(models, ModelCache) else models
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        score_batch(batch, batch_id, current(), table, rejects, lookback, clock)
+        score_batch(batch, batch_id, current(), table, rejects, clock)
 
     return for_each_batch(events, process, checkpoint, "score", interval)

@@ -280,3 +280,25 @@ def test_ks_two_sample(spark):
     want = max(abs(sum(x <= v for x in a) / 50 - sum(x <= v for x in b) / 30) for v in {*a, *b})
     assert got["uneq"].ks_statistic == pytest.approx(want)
     assert got["empty"].ks_statistic is None
+
+
+def test_exact_p_value_of_unequal_samples():
+    from itertools import combinations
+    from math import comb
+
+    from driftline.functions.ks import asymptotic_p_value, exact_p_value, exact_p_value_unequal
+
+    for n, m in ((1, 1), (2, 5), (4, 3), (5, 6)):
+        gaps = []
+        for first in combinations(range(n + m), n):
+            i = widest = 0
+            for k in range(n + m):
+                i += k in first
+                widest = max(widest, abs(i * m - (k + 1 - i) * n))
+            gaps.append(widest)
+        for gap in set(gaps):
+            assert abs(exact_p_value_unequal(gap, n, m) - sum(g >= gap for g in gaps) / comb(n + m, n)) < 1e-12
+    assert abs(exact_p_value_unequal(45 * 336, 336, 336) - exact_p_value(45, 336)) < 1e-12
+    small = exact_p_value_unequal(300 * 200, 300, 200)  # no overlap at all
+    assert abs(small * comb(500, 200) / 2 - 1) < 1e-6
+    assert abs(exact_p_value_unequal(90_000, 2000, 1500) - float(asymptotic_p_value(0.03, 2000, 1500))) < 0.02

@@ -6,6 +6,7 @@ from driftline.operators import retrain as rt
 from driftline.plans import jobs, views
 from driftline.schemas import FEATURES, KEY
 from driftline.sources import files, logs
+from driftline.sources.keyed import KeyedTable
 from tests.conftest import SF001, SF01
 
 
@@ -50,7 +51,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert predictions.count() == 2500 and predictions.filter("model_version <> 'lr_v1'").isEmpty()
 
     jobs.watch_features(root, stream("features"), reference=200, current=100).awaitTermination()
-    assert files.read_table(spark, f"{at.feature_state}/totals").first().n == 2500
+    assert KeyedTable(f"{at.feature_state}/totals", [], replaces=True).everything(spark).first().n == 2500
 
     jobs.watch_errors(spark, root, stream("labels")).awaitTermination()
     labelled = files.read_table(spark, at.labelled)

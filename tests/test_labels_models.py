@@ -115,3 +115,20 @@ def test_timeout_is_thinning_within_an_open_span(spark):
     drifts = spark.createDataFrame([("v", p) for p in range(1, 500, 7)], "k string, pos bigint")
     got = rt.retrain_requests(drifts, drifts.limit(0), ["k"], timeout=50)
     assert sorted(r.pos for r in got.collect()) == thinned(range(1, 500, 7), 50)
+
+
+def test_writers_never_share_a_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "registry")
+
+    def write(n):
+        version = rt.next_version(spark, root)
+        rt.register(spark, root, version, f"lr_v{version}", f"m{n}", n)
+        return version
+
+    with ThreadPoolExecutor(6) as writers:
+        versions = list(writers.map(write, range(6)))
+    stored = rt.read_registry(spark, root).collect()
+    assert sorted(versions) == sorted(r.version for r in stored) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r.path for r in stored) == [f"m{n}" for n in range(6)] and rt.next_version(spark, root) == 7

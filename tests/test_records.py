@@ -7,6 +7,7 @@ from driftline.functions import columns as c
 from driftline.operators import quality, sampling
 from driftline.operators.decode import decode_json, split_rejects
 from driftline.schemas import FEATURE_EVENT, FEATURES, KEY, RAW_CSV
+from driftline.sources.keyed import append_idempotent
 from driftline.sources import database, files, logs
 
 
@@ -107,11 +108,11 @@ def test_source_options():
 def test_batches_are_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
     batch = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], f"{KEY} string, v int")
-    files.append_idempotent(batch, path, KEY, 0)
-    files.append_idempotent(batch, path, KEY, 0)  # replay
-    files.append_idempotent(batch.filter("v < 3").union(spark.createDataFrame([("c", 9)], batch.schema)), path, KEY, 1)
-    files.append_idempotent(batch.limit(0), path, KEY, 2)
-    files.append_idempotent(batch, path, KEY, 9, lookback=9)
+    append_idempotent(batch, path, KEY, 0)
+    append_idempotent(batch, path, KEY, 0)  # replay
+    append_idempotent(batch.filter("v < 3").union(spark.createDataFrame([("c", 9)], batch.schema)), path, KEY, 1)
+    append_idempotent(batch.limit(0), path, KEY, 2)
+    append_idempotent(batch, path, KEY, 9)
     got = sorted(map(tuple, files.read_table(spark, path).select(KEY, "v", "batch_id").collect()))
     assert got == [("a", 1, 0), ("b", 3, 0), ("c", 9, 1)]
     assert files.read_table(spark, str(tmp_path / "none")) is None
@@ -119,3 +120,16 @@ def test_batches_are_idempotent(spark, tmp_path):
     assert files.read_before(spark, path, 1).count() == 2
     files.drop_before(spark, path, 11, keep=10)
     assert files.read_table(spark, path).select("batch_id").distinct().count() == 1
+
+
+def test_reasons_tell_malformed_from_missing(spark):
+    from driftline.operators.decode import reject_records
+
+    good = '"a":1,"b":2.5'
+    texts = ["", "{", "[1]", "7", "null", f'{{{good}}}', f'{{"k":null,{good}}}', f'{{"k":{{}},{good}}}', f'{{"k":"x",{good}}}', f'{{"k":5,{good}}}']
+    texts += ['{"k":"x","a":1}', '{"k":"x","a":null,"b":"2"}', '{"k":"x","a":true,"b":"2"}', '{"k":"x","a":1,"b":1e400}', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")
+    got = {r.i: r.reason for r in reject_records(df, key="k", features=["a", "b"]).collect()}
+    assert got[0] == got[1] == got[14] == "not json"
+    assert {got[i] for i in (2, 3, 4, 5, 6, 7)} == {"no key"} and 8 not in got and 9 not in got
+    assert (got[10], got[11], got[12]) == ("missing b", "missing a", "bad type a,b")
