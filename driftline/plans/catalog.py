@@ -492,7 +492,7 @@ def _follow_labels(spark, sf_dir) -> LabelTables:
             share = F.pmod(F.xxhash64(*rows.columns), F.lit(3)) if name == "l" else F.pmod(F.xxhash64(KEY), F.lit(3))
             rows.filter(share == part).write.mode("append").parquet(f"{root}/{name}")
         streams = [read_log(spark, "parquet", rows.schema, f"{root}/{name}") for name, rows in logs.items()]
-        follow_labels(*streams, ["model_version"], ARRIVAL, tables, f"{root}/checkpoint").awaitTermination()
+        follow_labels(*streams, ["model_version"], ARRIVAL, tables, f"{root}/checkpoint", buckets=4).awaitTermination()
     return tables
 
 
@@ -688,7 +688,7 @@ def stream_expired(spark, sf_dir):
             rows.filter(inside).write.mode("append").parquet(f"{root}/{time}")
         streams = [read_log(spark, "parquet", rows.schema, f"{root}/{time}") for time, rows in logs.items()]
         follow_labels(
-            *streams, ["model_version"], ARRIVAL, tables, f"{root}/checkpoint", max_wait=timedelta(days=3)
+            *streams, ["model_version"], ARRIVAL, tables, f"{root}/checkpoint", max_wait=timedelta(days=3), buckets=4
         ).awaitTermination()
     return read_table(spark, tables.expired).select(KEY, "kind")
 
