@@ -14,10 +14,12 @@ a null id is kept; no rows give no rows. Columns other than id and text are igno
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +32,72 @@ from driftline.session import materialise
 CAPACITY = 2048
 GROUP_ROWS = 50_000
 CACHED_CHUNKS = 400_000
+LONG_WORD = 64  # bytes; longer runs of letters need too many rounds
+
+# The visible characters that stand for bytes in byte-level vocabularies.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: b for b in _VISIBLE} | {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in set(_VISIBLE))}
+
+
+class WordPairs:
+    """Ids of many words at once by the merges of a word-level byte-pair model.
+
+    In every round each word contracts all places of its pair of least rank, from the left. That is what one contraction after the
+    other gives, because no merge makes a token that an earlier merge needs (checked when the model is read).
+    """
+
+    def __init__(self, model: dict):
+        vocabulary, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        made_at = {left + right: rank for rank, (left, right) in enumerate(merges)}
+        if any(made_at.get(part, -1) > rank for rank, pair in enumerate(merges) for part in pair) or len(made_at) < len(merges):
+            raise ValueError("merges are not in the order in which their tokens are made")
+        characters = [chr(BYTE_CHARS[b]) for b in range(256)]
+        self.inner = np.array([vocabulary.get(c, -1) for c in characters], np.int64)
+        self.last = np.array([vocabulary.get(c + suffix, -1) for c in characters], np.int64)
+        keys = np.array([vocabulary[left] << 20 | vocabulary[right] for left, right in merges], np.int64)
+        self.rank = np.argsort(keys)
+        self.keys = keys[self.rank]
+        self.made = np.array([vocabulary[left + right] for left, right in merges], np.int64)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each word has. Words must not be empty."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        token, ends = self.inner[raw], np.cumsum(lengths) - 1
+        token[ends] = self.last[raw[ends]]
+        word = np.repeat(np.arange(len(words)), lengths)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        none = len(self.keys)
+        while len(token):
+            key = token[:-1] << 20 | token[1:]
+            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
+            rank = np.full(len(token), none)
+            known = (self.keys[at] == key) & (word[:-1] == word[1:])
+            rank[:-1][known] = self.rank[at[known]]
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            size = np.diff(np.append(first, len(word)))
+            least = np.repeat(np.minimum.reduceat(rank, first), size)
+            still = least < none
+            done.append((word[~still], token[~still]))
+            token, word, rank, least = token[still], word[still], rank[still], least[still]
+            place = np.flatnonzero(rank == least)
+            run = np.flatnonzero(np.concatenate([[True], np.diff(place) > 1]))[: len(place)]
+            place = place[(place - np.repeat(place[run], np.diff(np.append(run, len(place))))) % 2 == 0]
+            token[place] = self.made[rank[place]]
+            stays = np.ones(len(token), bool)
+            stays[place + 1] = False
+            token, word = token[stays], word[stays]
+        word, token = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64),) * 2
+        return token[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
 
 class ChunkEncoder:
     """Ids of white-space separated chunks, each chunk encoded once while it is cached.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks
-    in turn. Chunks of Latin letters are lower-cased and split here and handed to the model directly, which
-    spares the tokenizer's bookkeeping of offsets; all others go through the whole tokenizer.
+    in turn. Chunks that are one run of letters, perhaps with a closing mark, are lower-cased here and encoded many at a time; all
+    others, and very long ones, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -45,38 +105,31 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            self.pairs = WordPairs(json.load(file)["model"])
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.words: dict[bytes, list[int]] = {}
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.starts = np.zeros(1, np.int64)
-
-    def _word(self, word: bytes) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = [t.id for t in self.model.tokenize(word.decode())]
-        return ids
-
-    def _chunk(self, chunk: bytes) -> list[int]:
+        self.index: dict[bytes, int] = {}  # chunks; each is a word and a mark (-1: none)
+        self.word_of, self.mark_of = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words: dict[bytes, int] = {}
+        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _parts(self, chunk: bytes) -> tuple[bytes, int] | None:
+        """A chunk as a lower-case run of letters and a closing mark, if it is one."""
+        mark = -1
+        if chunk[-1] in b".,":
+            chunk, mark = chunk[:-1], int(self.pairs.last[chunk[-1]])
         if chunk.isalpha():  # ASCII letters
-            return self._word(chunk.lower())
-        if chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():
-            return self._word(chunk[:-1].lower()) + self._word(chunk[-1:])
+            return chunk.lower(), mark
+        if not chunk or chunk.isascii() or len(chunk) > LONG_WORD:
+            return None
         text = chunk.decode()
-        body, mark = (text[:-1], chunk[-1:]) if text[-1] in ".," else (text, b"")
         if max(text) < "ɐ":
-            word = unicodedata.normalize("NFC", body).lower()
+            word = unicodedata.normalize("NFC", text).lower()
             if word.isalpha():  # still one run of letters
-                return self._word(self._bytes(word)) + (self._word(mark) if mark else [])
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    @staticmethod
-    def _bytes(text: str) -> bytes:
-        return text.encode().decode("latin-1").translate(BYTE_CHARS).encode()
+                return word.encode(), mark
+        return None
 
     def learn(self, chunks: set[bytes]) -> None:
         fresh = chunks.difference(self.index)
@@ -85,32 +138,55 @@ class ChunkEncoder:
         if len(self.index) + len(fresh) > CACHED_CHUNKS:
             self.clear()
             fresh = chunks
-        known = len(self.index)
-        ids = [self._chunk(c) for c in fresh]
-        self.index.update(zip(fresh, range(known, known + len(fresh))))
-        ends = self.starts[-1] + np.cumsum([len(x) for x in ids])
-        self.starts = np.concatenate([self.starts, ends])
-        if ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), int(ends[-1])), np.uint32)])
-        self.flat[self.starts[known] : ends[-1]] = np.fromiter((i for x in ids for i in x), np.uint32)
+        words, marks, bulk, other = [], [], [], []
+        known = len(self.words)
+        for chunk in fresh:
+            parts = self._parts(chunk)
+            if parts is None or len(parts[0]) > LONG_WORD:
+                parts = b"\0" + chunk, -1  # as a whole; no run of letters starts like that
+            word, mark = parts
+            if word not in self.words:
+                self.words[word] = len(self.words)
+                (other if word[0] == 0 else bulk).append(word)
+            words.append(self.words[word])
+            marks.append(mark)
+        places = np.array([self.words[w] for w in (*bulk, *other)], np.int64) - known
+        ids, counts = self.pairs.encode(bulk) if bulk else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        whole = [self.tokenizer.encode(w[1:].decode(), add_special_tokens=False).ids for w in other]
+        ids = np.concatenate([ids, np.fromiter((i for x in whole for i in x), np.int64)])
+        counts = np.concatenate([counts, np.array([len(x) for x in whole], np.int64)])
+        # Bring the new words into the order of their numbers.
+        order = np.argsort(places)
+        begin = (np.cumsum(counts) - counts)[order]
+        sizes = counts[order]
+        ends = np.cumsum(sizes)
+        ids = ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(len(ids))]
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+        self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
+        self.word_of = np.concatenate([self.word_of, words])
+        self.mark_of = np.concatenate([self.mark_of, marks])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text ends."""
-        words = [t.split() for t in texts]
-        self.learn(set().union(*words))
-        at = np.fromiter(map(self.index.__getitem__, (w for ws in words for w in ws)), np.int64)
-        starts = self.starts[at]
-        lengths = self.starts[at + 1] - starts
-        ends = np.cumsum(lengths)
+        chunks = [t.split() for t in texts]
+        self.learn(set().union(*chunks))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(chunks)), np.int64)
+        word, mark = self.word_of[at], self.mark_of[at]
+        starts = self.starts[word]
+        sizes = self.starts[word + 1] - starts
+        ends = np.cumsum(sizes + (mark >= 0))
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
-        last_word = np.cumsum([len(ws) for ws in words])
-        return ids, np.concatenate([[0], ends])[last_word]
-
+        marked = mark >= 0
+        ids = np.empty(total, np.uint32)
+        inside = np.ones(total, bool)
+        inside[ends[marked] - 1] = False
+        ids[~inside] = mark[marked]
+        before = np.cumsum(sizes) - sizes
+        ids[inside] = self.flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+        last_chunk = np.cumsum([len(c) for c in chunks])
+        return ids, np.concatenate([[0], ends])[last_chunk]
 
-# The visible characters that stand for bytes in byte-level vocabularies.
-_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BYTE_CHARS = {b: b for b in _VISIBLE} | {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in set(_VISIBLE))}
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -194,7 +270,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add `sequence_id` and `offset` to stored pieces. Groups of about `group_rows` pieces are packed apart."""
     groups = max(1, -(-pieces.count() // group_rows))
-    rows = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit("pack"), id_col, "piece", "ids_crc32"), F.lit(groups)))
+    # The place in the stored table parts rows that are alike in all else.
+    place = F.xxhash64(F.lit("pack"), F.monotonically_increasing_id())
+    rows = pieces.withColumn("_group", F.pmod(place, F.lit(groups)))
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), (id_col, "ascending"), ("piece", "ascending")])
