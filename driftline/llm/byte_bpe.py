@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries inside Spark tasks.
 
 Spark cuts the work: each task takes its documents in slices, splits every text by the pattern, and hands the
-distinct matches it has not met yet to a DuckDB database of its own. There a match is one row per token and position.
+distinct matches it has not met lately to a DuckDB database of its own. There a match is one row per token and position.
 A recursive query joins neighbouring tokens with the merge table and contracts each word's leftmost pair of minimum
-rank, until no pair is left; an ordered aggregation gives the ids, a second one the bytes that they decode to. A match
-that is a token itself takes its id at once, as the rank file's library does.
+rank, until no pair is left. The tokens left come back ordered by word and position; in that order ids are listed and
+the bytes that they decode to joined. A match that is a token itself takes its id at once, as the rank file's library does.
 
-For long words one contraction a round is slow. There all places of the minimum pair are contracted at once where
-that is the same: when the new token forms no pair of a lower rank with any neighbour in the whole vocabulary.
+A long match (Chinese text without blanks, say) is first cut wherever no token of the vocabulary that occurs in it lies across:
+no contraction ever joins the two sides there. What is still long after that has one contraction a round only where it must: all places of
+the minimum pair are contracted at once unless the new token forms a pair of a lower rank with some neighbour in the vocabulary.
+
+Queries are cut by bytes, so the database stays small and needs no folder to spill to.
 
 Defined cases: null text is empty and has no tokens; text in any script and of any length is encoded whole; null ids and
 repeated rows are kept; no rows give no rows. Columns other than id and text are ignored.
@@ -17,9 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,28 +28,21 @@ from pyspark.sql import DataFrame
 
 from driftline.llm.common import text_slices
 
-LONG_WORD = 64
-CACHED_WORDS = 300_000
-_RUN_OF_SPACE = re.compile(r"^\s| \s")
-WORDS_PER_QUERY = 150_000
+LONG_WORD = 64  # bytes
+CACHED_WORDS = 250_000  # of each of two generations
+QUERY_BYTES = 1_000_000
 
 _STEP = """
     WITH RECURSIVE step(i, w, p, t, nxt) AS (
         SELECT 0, w, p, t, nxt FROM bytes
         UNION ALL
-        SELECT * FROM (
-            WITH best AS (
-                SELECT w, min(rank::BIGINT << 32 | p) AS b FROM step JOIN merges ON pair = (t::BIGINT << 20 | nxt) GROUP BY w
-            ),
-            cut AS (
-                SELECT best.w, (b & 4294967295)::INT AS place, (b >> 32)::INT AS made, s.nxt AS after
-                FROM best JOIN step s ON s.w = best.w AND s.p = (b & 4294967295) + 1
-            )
-            SELECT i + 1, w, CASE WHEN p > place THEN p - 1 ELSE p END,
-                   CASE WHEN p = place THEN made ELSE t END,
-                   CASE WHEN p = place - 1 THEN made WHEN p = place THEN after ELSE nxt END
-            FROM step JOIN cut USING (w) WHERE p <> place + 1
-        )
+        SELECT i + 1, w, CASE WHEN p > place THEN p - 1 ELSE p END, CASE WHEN p = place + 1 THEN made ELSE t END,
+               CASE WHEN p = place - 1 THEN made ELSE nxt END
+        FROM step JOIN (
+            SELECT w, (min(rank::BIGINT << 32 | p) & 4294967295)::INT AS place, (min(rank::BIGINT << 32 | p) >> 32)::INT AS made
+            FROM step JOIN merges ON pair = (t::BIGINT << 20 | nxt) GROUP BY w
+        ) USING (w)
+        WHERE p <> place
     )
 """
 
@@ -82,10 +76,8 @@ _LONG_STEP = """
 """
 
 _RESULT = """
-    , last AS (SELECT w, max(i) AS i FROM step GROUP BY w),
-    tokens AS (SELECT w, p, t FROM step JOIN last USING (w, i))
-    SELECT w, string_agg(t, ' ' ORDER BY p) AS ids, count(*) AS n, string_agg(hex, '' ORDER BY p) AS bytes
-    FROM tokens JOIN vocabulary USING (t) GROUP BY w
+    , last AS (SELECT w, max(i) AS i FROM step WHERE p = 0 GROUP BY w)
+    SELECT w, t FROM step JOIN last USING (w, i) ORDER BY w, p
 """
 
 
@@ -112,66 +104,84 @@ class DuckEncoder:
             if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None
         ]
         lowered = {part for _, rank, left, right in rows for part in (left, right) if rank < part}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.starts = {token[:k] for token in self.ranks for k in range(1, len(token))}  # proper beginnings of tokens
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merges = pa.table({"pair": [r[0] for r in rows], "rank": [r[1] for r in rows], "alone": [r[1] in lowered for r in rows]})
-        tokens = pa.table({"t": list(self.bytes_of), "hex": [t.hex() for t in self.bytes_of.values()]})
         self.db.register("given_merges", merges)
-        self.db.register("given_tokens", tokens)
         self.db.execute("CREATE TABLE merges AS SELECT pair, rank::INT AS rank, alone FROM given_merges")
-        self.db.execute("CREATE TABLE vocabulary AS SELECT t::INT AS t, hex FROM given_tokens")
         self.db.execute("SET preserve_insertion_order = false")
-        self.clear()
-
-    def clear(self) -> None:
-        self.chunks: dict[str, list[str]] = {}
-        self.ids: dict[str, str] = {}
-        self.counts: dict[str, int] = {}
-        self.decoded: dict[str, bytes] = {}
-
-    def split(self, text: str) -> list[str]:
-        """Matches of the pattern. Between words parted by single spaces they do not depend on each other, so a word's
-        matches are remembered; any other text is split as a whole."""
-        if _RUN_OF_SPACE.search(text):
-            return self.pattern.findall(text)
-        first, *rest = text.split(" ")
-        words = [first, *[" " + w for w in rest]]
-        for word in set(words).difference(self.chunks):
-            self.chunks[word] = self.pattern.findall(word)
-        return list(chain.from_iterable(map(self.chunks.__getitem__, words)))
+        self.known: dict[str | bytes, tuple[str, bytes]] = {}
+        self.older: dict[str | bytes, tuple[str, bytes]] = {}
+
+    def cut(self, raw: bytes) -> list[bytes]:
+        """A word in parts that no contraction joins: cut wherever no token that occurs in it lies across."""
+        parts, begin, reach = [], 0, 0  # tokens found so far lie before `reach`
+        for at in range(len(raw)):
+            if at >= reach and at > begin:
+                parts.append(raw[begin:at])
+                begin = at
+            end = at + 1
+            while end <= len(raw) and raw[at:end] in self.starts:
+                end += 1
+                if raw[at:end] in self.ranks:
+                    reach = max(reach, min(end, len(raw)))
+        return [*parts, raw[begin:]]
 
     def learn(self, matches: set[str]) -> None:
-        fresh = matches.difference(self.ids)
-        if len(self.ids) + len(fresh) > CACHED_WORDS or len(self.chunks) > 2 * CACHED_WORDS:
-            self.clear()
+        """Make ids and bytes of these matches known; those met lately need no query."""
+        fresh = matches.difference(self.known)
+        if len(self.known) + len(fresh) > CACHED_WORDS:
+            self.older, self.known = self.known, {}
             fresh = matches
-        search: list[tuple[str, bytes]] = []
+        words: dict[bytes, str] = {}
         for match in fresh:
+            if (old := self.older.get(match)) is not None:
+                self.known[match] = old
+                continue
             raw = match.encode()
             rank = self.ranks.get(raw)
-            if rank is None:
-                search.append((match, raw))
+            if rank is not None:
+                self.known[match] = str(rank), self.bytes_of[rank]
+            else:
+                words[raw] = match
+        parts = {raw: self.cut(raw) for raw in words if len(raw) > LONG_WORD}
+        search = {raw for raw in words if raw not in parts} | {p for cut in parts.values() for p in cut if p not in self.ranks}
+        found: dict[bytes, tuple[str, bytes]] = {}
+        for long, step in ((False, _STEP), (True, _LONG_STEP)):
+            batch, size = [], 0
+            for raw in search:
+                if (len(raw) > LONG_WORD) == long:
+                    if batch and size + len(raw) > QUERY_BYTES:
+                        self._contract(batch, step, found)
+                        batch, size = [], 0
+                    batch.append(raw)
+                    size += len(raw)
+            if batch:
+                self._contract(batch, step, found)
+        for raw, match in words.items():
+            if raw in parts:
+                each = [found[p] if p in found else (str(self.ranks[p]), p) for p in parts[raw]]
+                self.known[match] = " ".join(ids for ids, _ in each), b"".join(x for _, x in each)
             else:
-                self.ids[match], self.counts[match], self.decoded[match] = str(rank), 1, self.bytes_of[rank]
-        short = [x for x in search if len(x[1]) <= LONG_WORD]
-        for start in range(0, len(short), WORDS_PER_QUERY):
-            self._contract(short[start : start + WORDS_PER_QUERY], _STEP)
-        for word in (x for x in search if len(x[1]) > LONG_WORD):
-            self._contract([word], _LONG_STEP)
-
-    def _contract(self, words: list[tuple[str, bytes]], step: str) -> None:
-        lengths = np.array([len(raw) for _, raw in words])
+                self.known[match] = found[raw]
+
+    def _contract(self, words: list[bytes], step: str, found: dict[bytes, tuple[str, bytes]]) -> None:
+        lengths = np.array([len(raw) for raw in words])
         ends = np.cumsum(lengths)
-        tokens = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in words), np.uint8)]
+        tokens = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         following = np.append(tokens[1:], -1).astype(np.int32)
         following[ends - 1] = -1
         place = np.arange(len(tokens)) - np.repeat(ends - lengths, lengths)
         word = np.repeat(np.arange(len(words)), lengths)
         rows = pa.table({"w": word.astype(np.int32), "p": place.astype(np.int32), "t": tokens, "nxt": following})
         self.db.register("bytes", rows)
-        for w, ids, n, raw in self.db.execute(step + _RESULT).fetchall():
-            match = words[w][0]
-            self.ids[match], self.counts[match], self.decoded[match] = ids, n, bytes.fromhex(raw)
+        result = self.db.execute(step + _RESULT).fetchnumpy()
         self.db.unregister("bytes")
+        ids = result["t"].tolist()
+        texts, pieces = list(map(str, ids)), list(map(self.bytes_of.__getitem__, ids))
+        bounds = np.searchsorted(result["w"], np.arange(len(words) + 1)).tolist()
+        for raw, a, b in zip(words, bounds, bounds[1:]):
+            found[raw] = " ".join(texts[a:b]), b"".join(pieces[a:b])
 
 
 _encoders: dict[tuple[str, str], DuckEncoder] = {}
@@ -190,11 +200,12 @@ def encode_documents(
         encoder = _encoders[key]
         for batch in text_slices(batches, text_col, 4_000_000):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            split = [encoder.split(t or "") for t in texts]
+            split = [encoder.pattern.findall(t or "") for t in texts]
             encoder.learn(set().union(*split))
-            counts = [sum(map(encoder.counts.__getitem__, s)) for s in split]
-            ids = [" ".join(map(encoder.ids.__getitem__, s)) for s in split]
-            decoded = [b"".join(map(encoder.decoded.__getitem__, s)) for s in split]
+            known = [list(map(encoder.known.__getitem__, s)) for s in split]
+            ids = [" ".join([x for x, _ in k]) for k in known]
+            decoded = [b"".join([x for _, x in k]) for k in known]
+            counts = [x.count(" ") + 1 if x else 0 for x in ids]
             columns = {id_col: batch.column(batch.schema.get_field_index(id_col)), "n_tokens": pa.array(counts, pa.int64())}
             if digests:
                 columns["ids_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids])
