@@ -19,19 +19,19 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import as_bytes, text_slices
+from driftline.llm.common import text_slices
 from driftline.session import materialise
 
 CAPACITY = 2048
 GROUP_ROWS = 50_000
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 800_000
 LONG_WORD = 64  # bytes; longer runs of letters need too many rounds
 
 # The visible characters that stand for bytes in byte-level vocabularies.
@@ -55,7 +55,8 @@ class WordPairs:
         characters = [chr(BYTE_CHARS[b]) for b in range(256)]
         self.inner = np.array([vocabulary.get(c, -1) for c in characters], np.int64)
         self.last = np.array([vocabulary.get(c + suffix, -1) for c in characters], np.int64)
-        keys = np.array([vocabulary[left] << 20 | vocabulary[right] for left, right in merges], np.int64)
+        self.shift, self.kind = (16, np.uint32) if max(vocabulary.values()) < 1 << 16 else (32, np.int64)
+        keys = np.array([vocabulary[left] << self.shift | vocabulary[right] for left, right in merges], self.kind)
         self.rank = np.argsort(keys)
         self.keys = keys[self.rank]
         self.made = np.array([vocabulary[left + right] for left, right in merges], np.int64)
@@ -70,7 +71,7 @@ class WordPairs:
         done: list[tuple[np.ndarray, np.ndarray]] = []
         none = len(self.keys)
         while len(token):
-            key = token[:-1] << 20 | token[1:]
+            key = (token[:-1] << self.shift | token[1:]).astype(self.kind)
             at = np.minimum(np.searchsorted(self.keys, key), none - 1)
             rank = np.full(len(token), none)
             known = (self.keys[at] == key) & (word[:-1] == word[1:])
@@ -110,7 +111,7 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}  # chunks; each is a word and a mark (-1: none)
+        self.index: dict[bytes, int] = {b"": -1}  # chunks; each is a word and a mark (-1: none). Nothing is no chunk.
         self.word_of, self.mark_of = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.words: dict[bytes, int] = {}
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -131,13 +132,14 @@ class ChunkEncoder:
                 return word.encode(), mark
         return None
 
-    def learn(self, chunks: set[bytes]) -> None:
-        fresh = chunks.difference(self.index)
+    def learn(self, chunks: list[bytes]) -> None:
+        """Make the ids of these distinct chunks known."""
+        fresh = [c for c in chunks if c not in self.index]
         if not fresh:
             return
         if len(self.index) + len(fresh) > CACHED_CHUNKS:
             self.clear()
-            fresh = chunks
+            fresh = [c for c in chunks if c]
         words, marks, bulk, other = [], [], [], []
         known = len(self.words)
         for chunk in fresh:
@@ -152,7 +154,7 @@ class ChunkEncoder:
             marks.append(mark)
         places = np.array([self.words[w] for w in (*bulk, *other)], np.int64) - known
         ids, counts = self.pairs.encode(bulk) if bulk else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        whole = [self.tokenizer.encode(w[1:].decode(), add_special_tokens=False).ids for w in other]
+        whole = [x.ids for x in self.tokenizer.encode_batch_fast([w[1:].decode() for w in other], add_special_tokens=False)]
         ids = np.concatenate([ids, np.fromiter((i for x in whole for i in x), np.int64)])
         counts = np.concatenate([counts, np.array([len(x) for x in whole], np.int64)])
         # Bring the new words into the order of their numbers.
@@ -163,15 +165,20 @@ class ChunkEncoder:
         ids = ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(len(ids))]
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
-        self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
+        self.index.update(zip(fresh, range(len(self.word_of), len(self.word_of) + len(fresh))))
         self.word_of = np.concatenate([self.word_of, words])
         self.mark_of = np.concatenate([self.mark_of, marks])
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and where each text ends."""
-        chunks = [t.split() for t in texts]
-        self.learn(set().union(*chunks))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(chunks)), np.int64)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (strings, null for empty) in a row, and where each text ends."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        chunks = split.flatten().cast(pa.binary()).dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(distinct)
+        number = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        at = number[chunks.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
+        counts = np.concatenate([[0], np.cumsum(at >= 0)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        at = at[at >= 0]
         word, mark = self.word_of[at], self.mark_of[at]
         starts = self.starts[word]
         sizes = self.starts[word + 1] - starts
@@ -184,8 +191,7 @@ class ChunkEncoder:
         ids[~inside] = mark[marked]
         before = np.cumsum(sizes) - sizes
         ids[inside] = self.flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
-        last_chunk = np.cumsum([len(c) for c in chunks])
-        return ids, np.concatenate([[0], ends])[last_chunk]
+        return ids, np.concatenate([[0], ends])[counts[1:]]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -207,7 +213,7 @@ def pieces_of(
             _encoders[tokenizer_path] = ChunkEncoder(tokenizer_path)
         encoder = _encoders[tokenizer_path]
         for batch in text_slices(batches, text_col):
-            ids, ends = encoder.encode(as_bytes(batch, text_col))
+            ids, ends = encoder.encode(batch.column(batch.schema.get_field_index(text_col)))
             ids, begin = ids.astype("<u4"), 0
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for k, end in enumerate(ends.tolist()):
