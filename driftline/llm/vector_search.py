@@ -38,6 +38,7 @@ BOUNDARY = 1.1  # a centroid this much farther than the nearest still takes the
 RATIO = 1.25  # and this much farther a query still searches the list
 ENOUGH = REPLICAS  # entries for each neighbour asked for that set the reach; a vector has `REPLICAS` at most, so the answers are full
 DEGREE = 16
+BEAM = 16
 BLOCK = 2000
 
 
@@ -74,8 +75,14 @@ class CentroidGraph:
         # A ring through all nodes keeps the graph in one piece.
         ring = np.stack([(np.arange(lists) + 1) % lists, (np.arange(lists) - 1) % lists], axis=1)
         self.neighbours = np.concatenate([nearest, ring], axis=1)
-        # Entry points far apart from each other.
-        self.entries = np.unique(np.linspace(0, lists - 1, min(lists, 32)).astype(int))
+        # Entry points far apart from each other, so that no cluster of centroids is left without one.
+        entries, near_entry = [0], near[0].copy()
+        near_entry[0] = np.inf
+        for _ in range(min(lists, max(32, 4 * int(np.sqrt(lists)))) - 1):
+            entries.append(int(np.argmin(near_entry)))
+            near_entry = np.maximum(near_entry, near[entries[-1]])
+            near_entry[entries[-1]] = np.inf
+        self.entries = np.array(entries)
 
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each query up to `width` centroids found, nearest first, and their squared distances; -1 pads."""
@@ -93,21 +100,46 @@ class CentroidGraph:
             open_[rows, nodes] |= fresh
 
         visit(np.broadcast_to(self.entries, (len(queries), len(self.entries))))
+        step = min(max(1, width // 8), 8, lists)
         while True:
-            # Expand the nearest open node while it is among the `width` nearest seen.
-            best = np.where(open_, close, -np.inf).argmax(axis=1)
-            bound = -np.partition(-close, width - 1, axis=1)[:, width - 1]
-            value = close[rows[:, 0], best]
-            go = open_[rows[:, 0], best] & (value >= bound)
+            # Expand the nearest open nodes while they are among the `width` nearest seen.
+            value = np.where(open_, close, -np.inf)
+            best = np.argpartition(-value, step - 1, axis=1)[:, :step]
+            value = np.take_along_axis(value, best, 1)
+            bound = -np.partition(-close, width - 1, axis=1)[:, width - 1 : width]
+            go = np.isfinite(value) & (value >= bound)
             if not go.any():
                 break
-            open_[rows[:, 0], best] = False
-            visit(np.where(go[:, None], self.neighbours[best], best[:, None]))
+            open_[rows, best] &= ~go
+            visit(np.where(go[:, :, None], self.neighbours[best], best[:, :, None]).reshape(len(queries), -1))
         order = np.argsort(-close, axis=1, kind="stable")[:, :width]
         value = close[rows, order]
         return np.where(np.isfinite(value), order, -1), 2 - 2 * np.where(np.isfinite(value), value, -1.0)
 
 
+def reached_lists(
+    graph: CentroidGraph, queries: np.ndarray, length: np.ndarray, enough: int, ratio: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a query's place and a list that it searches.
+
+    The beam starts narrow. It is doubled for those queries whose lists found hold too few entries, or whose last list
+    found still lies within reach.
+    """
+    left, width = np.arange(len(queries)), BEAM
+    while len(left):
+        list_, distance = graph.search(queries[left], width)
+        distance = np.sqrt(np.maximum(distance, 0))
+        held = np.cumsum(np.where(list_ >= 0, length[list_], 0), axis=1)
+        last = np.minimum((held < enough).sum(axis=1, keepdims=True), list_.shape[1] - 1)  # the list that completes them
+        limit = ratio * np.maximum(np.take_along_axis(distance, last, 1), 1e-6)
+        done = (held[:, -1] >= enough) & (distance[:, -1] > limit[:, 0]) & (list_[:, -1] >= 0)
+        if width >= len(length):
+            done[:] = True
+        q, k = np.nonzero(done[:, None] & (list_ >= 0) & (distance <= limit))
+        yield left[q], list_[q, k]
+        left, width = left[~done], 2 * width
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): vectors of finite doubles that are not zero."""
     v = F.col(vector_col).cast("array<double>")
@@ -182,12 +214,8 @@ def search(
         for f in frames:
             for start in range(0, len(f), 256):
                 part = f.iloc[start : start + 256]
-                list_, distance = graph.search(_units(part["v"]), lists)
-                before = np.cumsum(np.where(list_ >= 0, length[list_], 0), axis=1)
-                last = np.minimum((before < enough).sum(axis=1, keepdims=True), lists - 1)  # the list that completes them
-                limit = ratio * np.sqrt(np.maximum(np.take_along_axis(distance, last, 1), 1e-12))
-                q, k = np.nonzero((list_ >= 0) & (np.sqrt(np.maximum(distance, 0)) <= limit))
-                yield part.iloc[q][["id", "v"]].assign(list=list_[q, k])
+                for places, list_ in reached_lists(graph, _units(part["v"]), length, enough, ratio):
+                    yield part.iloc[places][["id", "v"]].assign(list=list_)
 
     asks = materialise(distinct.filter("asks").select("id", "v").mapInPandas(route, schema), "asks")
     blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
