@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -246,9 +247,9 @@ def test_byte_bpe_splits_like_the_library():
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab thein \n\t'1.é\x1c\xa0") for _ in range(80)) for _ in range(200)]
     texts += ["ab" * 300, "".join(rng.choice("abcdefghij") for _ in range(400)), "  x", "x  ", " \n a"]
-    encoder.learn({m for t in texts for m in encoder.split(t)})
+    encoder.learn({m for t in texts for m in encoder.pattern.findall(t)})
     for t in texts:
-        assert [int(i) for m in encoder.split(t) for i in encoder.ids[m].split()] == library.encode_ordinary(t)
+        assert [int(i) for m in encoder.pattern.findall(t) for i in encoder.known[m][0].split()] == library.encode_ordinary(t)
 
 
 def test_language_model(spark, docs):
@@ -337,3 +338,75 @@ def test_empty_tables(docs):
         byte_bpe.encode_documents(none, RANKS, public_tokenizers.PATTERN),
     ):
         assert result.count() == 0
+
+
+def test_byte_bpe_on_long_matches():
+    encoder = byte_bpe.DuckEncoder(RANKS, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
+    rng = random.Random(8)
+    kanji = [chr(c) for c in range(0x3041, 0x3097)] + [chr(c) for c in range(0x4E00, 0x9FA0)]
+    texts = ["".join(rng.choice(kanji) for _ in range(300_000)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))]
+    texts += ["".join(rng.choice("etaoin") for _ in range(3000)), "a" * 20_000, "=-" * 5000, "\n" * 5000]
+    start = time.perf_counter()
+    encoder.learn({m for t in texts for m in encoder.pattern.findall(t)})
+    assert time.perf_counter() - start < 60
+    for t in texts:
+        known = [encoder.known[m] for m in encoder.pattern.findall(t)]
+        assert [int(i) for ids, _ in known for i in ids.split()] == library.encode_ordinary(t)
+        assert b"".join(raw for _, raw in known) == t.encode()
+
+
+def test_byte_bpe_forgets_in_two_generations(monkeypatch):
+    encoder = byte_bpe.DuckEncoder(RANKS, public_tokenizers.PATTERN)
+    monkeypatch.setattr(byte_bpe, "CACHED_WORDS", 50)
+    for i in range(0, 400, 20):
+        matches = {f" wordy{j}x" for j in range(i, i + 40)}
+        encoder.learn(matches)
+        assert matches <= set(encoder.known) and len(encoder.known) <= 90 and len(encoder.older) <= 90
+        assert all(encoder.known[m][1] == m.encode() for m in matches)
+
+
+def test_packing_parts_equal_rows_and_fills_sequences(spark):
+    """Rows alike in all but their place do not fall into one group; sequences are nearly full."""
+    docs = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three four five").alias("text"))
+    rows = pack_documents(docs, BPE, group_rows=500).collect()
+    tokens = sum(r["length"] for r in rows)
+    used = {}
+    for r in rows:
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+    assert len(rows) == 6000 and max(used.values()) <= 2048
+    assert len({s % 12 for s in used}) == 12  # all twelve groups
+    assert len(used) <= -(-tokens // 2048) + 12  # one sequence a group that is not full
+
+
+def test_near_dedup_pools_the_texts_of_one_id(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("aeinorst") for _ in range(6)) for _ in range(200))
+    a, b, c = text(), text(), text()
+    near = " ".join([*a.split()[:-3], "x", "y", "z"])
+    rows = [(10, a), (10, b), (3, b), (4, near), (20, c), (21, c), (30, text()), (None, a), (40, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted({(r["doc_id"] or -1, r["component_id"], r["kept"]) for r in near_duplicates(docs, words=2).collect()})
+    assert [x for x in got if x[0] >= 0] == [(3, 3, True), (4, 3, False), (10, 3, False), (20, 20, True), (21, 20, False), (30, 30, True), (40, 40, True)]
+    assert (-1, None, True) in got and near_duplicates(docs, words=2).count() == len(rows)
+
+
+def test_vector_search_walks_few_centroids():
+    rng = np.random.default_rng(5)
+    centres = vector_search.unit(rng.normal(size=(40, 16)))
+    centroids = vector_search.unit(np.repeat(centres, 25, axis=0) + 0.05 * rng.normal(size=(1000, 16)))
+    graph = vector_search.CentroidGraph(centroids)
+    queries = vector_search.unit(centres[rng.integers(0, 40, 100)] + 0.02 * rng.normal(size=(100, 16)))
+    length = np.full(1000, 50)
+    widths = []
+    search = graph.search
+    graph.search = lambda q, w: widths.extend([w] * len(q)) or search(q, w)
+    near = {}
+    for place, list_ in vector_search.reached_lists(graph, queries, length, 24, 1.25):
+        for p, x in zip(place.tolist(), list_.tolist()):
+            near.setdefault(p, set()).add(x)
+    assert set(near) == set(range(100)) and sum(widths) < 0.1 * 1000 * 100
+    exact = np.argmax(queries @ centroids.T, axis=1)
+    assert sum(int(exact[q]) in near[q] for q in range(100)) >= 95
+    wide = list(vector_search.reached_lists(graph, queries[:3], np.zeros(1000, int), 24, 1.25))  # nothing held: all lists
+    assert sum(len(x) for _, x in wide) >= 3

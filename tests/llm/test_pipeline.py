@@ -90,3 +90,16 @@ def test_language_id_rejects_what_was_not_learned(spark):
         assert not kept & {i for i, _ in words}
         if left_out != "en":
             assert kept >= {i for i, _ in short}
+
+
+def test_near_dedup_loses_no_text_of_a_repeated_id(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("aeinorst") for _ in range(6)) for _ in range(200))
+    a, b = text(), text()
+    near = " ".join([*a.split()[:-3], "x", "y", "z"])
+    rows = [(3, b, 1), (10, a, 2), (10, b, 3), (20, near, 4), (None, text(), 5), (30, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert out.columns == docs.columns
+    kept = {r["row"] for r in out.collect()}
+    assert len(kept & {1, 3}) == len(kept & {2, 4}) == 1 and {5, 6} <= kept
