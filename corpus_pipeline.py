@@ -43,10 +43,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; rows with the same id stay or go together."""
-    groups = near_duplicates(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
-    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies stays, that with the smallest id.
+
+    Where an id stands for several rows, each row is a document of its own, so that no text goes without a copy that stays.
+    """
+    ids = docs.filter(F.col("doc_id").isNotNull())
+    if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        gone = near_duplicates(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).filter(~F.col("kept")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    row = unused("row", docs.columns)
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    kept = near_duplicates(numbered, row, words=NEAR_WORDS, percent=NEAR_PERCENT).filter("kept").select(row)
+    return numbered.join(kept, row, "left_semi").select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
