@@ -60,6 +60,7 @@ CONTEXT = {
     "ssn": "ssn|social security|tax id",
 }
 _CONTEXT_LENGTH = 40
+_BLOCK = 64
 # Between the numbers of a list stands nothing else; the words before its first number announce all.
 _LIST = r"^[^\p{L}]*+(?:(?:and|or|und|oder|et|ou|y|o)(?!\p{L})[^\p{L}]*+)?$"
 
@@ -114,20 +115,42 @@ def _score(kind: str, context: str) -> str:
 
 
 def _context(gap: str, before: str) -> str:
-    """The end of the text before a match; between the matches of a list it goes on from `before`, that of the match before."""
-    return f"right(case when {gap} rlike {_literal(_LIST)} then concat({before}, {gap}) else {gap} end, {_CONTEXT_LENGTH})"
+    """The end of the text before a match; the matches of a list, however long it is, keep `before`, that of its first one."""
+    return f"case when {gap} rlike {_literal(_LIST)} then {before} else right({gap}, {_CONTEXT_LENGTH}) end"
+
+
+def _collected(pieces: str, out: str, row: str) -> str:
+    """Rows of type `out` built by `row` from each match `p` and the state `acc` before it (`at`, `context`), in the order of the text.
+
+    An aggregate copies its whole state at every step. So the pieces are taken in blocks: first only the state at the start
+    of every block is carried along, then each block collects its own rows.
+    """
+    context = _context("p.gap", "acc.context")
+    state = f"acc.at + length(p.gap) + length(p.match) as at, {context} as context"
+    block = lambda start: f"transform(sequence({start}, least({start} + {_BLOCK}, size(all)) - 1), i -> get(all, i))"
+    later = f"case when size(all) > {_BLOCK} then sequence({_BLOCK}, size(all) - 1, {_BLOCK}) else cast(array() as array<int>) end"
+    carried = (
+        f"aggregate({later}, struct(0 as at, '' as context, array(struct(0 as start, 0 as at, '' as context)) as out), (last, start) ->"
+        f" aggregate({block(f'start - {_BLOCK}')}, struct(last.at as at, last.context as context), (acc, p) -> struct({state}),"
+        " acc -> struct(acc.at as at, acc.context as context, concat(last.out, array(struct(start as start, acc.at as at, acc.context as context)))"
+        " as out)), last -> last.out)"
+    )
+    rows = (
+        f"transform({carried}, s -> aggregate({block('s.start')}, struct(s.at as at, s.context as context, cast(array() as {out}) as out),"
+        f" (acc, p) -> case when p.match is null then acc else struct({state}, concat(acc.out, array({row.format(context=context)})) as out) end,"
+        " acc -> acc.out))"
+    )
+    # The array of one is a name for the pieces, which are thus found once. One piece is a text without a match.
+    return f"transform(array({pieces}), all -> case when size(all) < 2 then cast(array() as {out}) else flatten({rows}) end)[0]"
 
 
 def spans_of(text: str, kind: str) -> Column:
     """Confirmed spans of one kind in the column `text`, which must not be null, by start."""
-    span = "array<struct<start:int,end:int,text:string,context:string>>"
-    context = _context("p.gap", "acc.context")
-    found = (
-        f"aggregate({_pieces(text, kind)}, struct(0 as at, '' as context, cast(array() as {span}) as out), (acc, p) ->"
-        f" case when p.match is null then acc else struct(acc.at + length(p.gap) + length(p.match) as at, {context} as context,"
-        " concat(acc.out, array(struct(acc.at + length(p.gap) as start, acc.at + length(p.gap) + length(p.match) as end,"
-        f" p.match as text, {context} as context))) as out) end, acc -> acc.out)"
+    row = (
+        "struct(acc.at + length(p.gap) as start, acc.at + length(p.gap) + length(p.match) as end,"
+        " p.match as text, {context} as context)"
     )
+    found = _collected(_pieces(text, kind), "array<struct<start:int,end:int,text:string,context:string>>", row)
     confirmed = f"filter({found}, s -> {VALID[kind]})"
     scored = (
         f"transform({confirmed}, s -> struct('{kind}' as kind, s.start as start, s.end as end,"
@@ -162,11 +185,10 @@ def mask_pii(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCO
         if kind not in BASE:
             keep = f"({keep}) and {_score(kind, 'lower(p.context)')} >= {min_score}"
             told = "array<struct<gap:string,match:string,context:string>>"
-            pieces = (
-                f"aggregate({pieces}, struct('' as context, cast(array() as {told}) as out), (acc, p) -> struct("
-                f"{_context('p.gap', 'acc.context')} as context, concat(acc.out, array(struct(p.gap as gap, p.match as match,"
-                f" {_context('p.gap', 'acc.context')} as context))) as out), acc -> acc.out)"
-            )
+            found = _collected("all", told, "struct(p.gap as gap, p.match as match, {context} as context)")
+            # What follows the last match stands alone in the last piece.
+            rest = "struct(element_at(all, -1).gap as gap, cast(null as string) as match, '' as context)"
+            pieces = f"transform(array({pieces}), all -> concat({found}, array({rest})))[0]"
         masked = (
             f"array_join(transform({pieces}, p -> case when p.match is null then p.gap"
             f" when {keep} then concat(p.gap, '[{kind.upper()}]') else concat(p.gap, p.match) end), '')"

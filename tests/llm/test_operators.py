@@ -154,6 +154,24 @@ def test_pii_context_of_lists(spark):
     assert masked == {0: "SSN: [SSN], [SSN]; [SSN] and [SSN]\n[SSN]", 1: "ssn [SSN], order 234-56-7890, 345-67-8901", 2: "123-45-6789, ssn [SSN]"}
 
 
+def test_pii_in_texts_of_many_matches(spark):
+    emails = ", ".join(f"user{i}@example.com" for i in range(200_000))
+    numbers = "ssn " + ", ".join(f"{100 + i % 500}-45-{1000 + i % 9000}" for i in range(20_000))  # one list, announced once
+    counts = [0, 1, 2, 63, 64, 65, 127, 128, 129, 300]  # around the ends of blocks
+    small = [(10 + n, "".join(f"tél a{i}@b.c " for i in range(n)) + "end") for n in counts]
+    table = spark.createDataFrame([(0, emails), (1, numbers), *small], "doc_id long, text string").repartition(4)
+    begun = time.time()
+    found = {r["doc_id"]: r["spans"] for r in find_pii(table).collect()}
+    masked = {r["doc_id"]: r["text"] for r in mask_pii(table).collect()}
+    assert time.time() - begun < 60
+    places = lambda i: [(s["start"], s["end"]) for s in found[i]]
+    assert places(0) == [m.span() for m in re.finditer("user[0-9]+@example.com", emails)]
+    assert places(1) == [m.span() for m in re.finditer("[0-9]{3}-45-[0-9]{4}", numbers)]
+    assert masked[0] == ", ".join(["[EMAIL]"] * 200_000) and masked[1] == "ssn " + ", ".join(["[SSN]"] * 20_000)
+    for i, text in small:
+        assert places(i) == [m.span() for m in re.finditer("a[0-9]+@b.c", text)] and masked[i] == re.sub("a[0-9]+@b.c", "[EMAIL]", text)
+
+
 def test_quality(docs):
     got = quality.judge(docs.withColumn("source", F.lit(None).cast("string"))).collect()
     for r in got:
