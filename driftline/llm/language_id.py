@@ -34,7 +34,6 @@ from driftline.session import materialise
 
 SIZE = 300
 ORDERS = 3
-MAX_LANGUAGES = 10_000
 LENGTHS = 32  # classes of texts, each of twice as many letters as the one before
 LOW_PERCENT = 10  # the labelled rows of a class below this quantile do not move its bound, so junk among them does not either
 FRACTION = 0.65  # of that quantile; texts in other languages and random letters stay below it, clean texts above
@@ -96,7 +95,7 @@ def _profile(codes: np.ndarray, times: np.ndarray, size: int) -> np.ndarray:
 
 
 def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE) -> pd.DataFrame:
-    """Columns lang, code, place: the first `size` n-grams of every language. At most `MAX_LANGUAGES` languages."""
+    """Columns lang, code, place: the first `size` n-grams of every language. `size` rows a language reach the driver."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -126,22 +125,20 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     sums = labelled.mapInArrow(count, "lang string, code bigint, times bigint").groupBy("lang", "code").agg(F.sum("times").alias("times"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("times").desc(), "code"))
     first = materialise(sums.withColumn("place", place - 1).filter(F.col("place") < size).drop("times"), "profiles")
-    languages = first.select("lang").distinct().count()
-    if languages > MAX_LANGUAGES:
-        raise ValueError(f"{languages} languages; profiles are made for {MAX_LANGUAGES} at most")
     return first.toPandas().sort_values(["lang", "place"], ignore_index=True)
 
 
 class RankModel:
-    """Ranks of all profile n-grams by language as one dense matrix."""
+    """The profile n-grams in order of their codes, each with the languages that list it and its ranks there."""
 
     def __init__(self, profiles: pd.DataFrame, size: int):
         self.size = size
         self.langs = sorted(profiles["lang"].unique())
-        self.codes = np.unique(profiles["code"].to_numpy(np.int64))
-        self.ranks = np.full((len(self.codes) + 1, len(self.langs)), -1, np.int32)
-        row = np.searchsorted(self.codes, profiles["code"].to_numpy(np.int64))
-        self.ranks[row, pd.Categorical(profiles["lang"], self.langs).codes] = profiles["place"]
+        codes = profiles["code"].to_numpy(np.int64)
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.first, self.listed = np.unique(codes[order], return_index=True, return_counts=True)
+        self.lang = pd.Categorical(profiles["lang"], self.langs).codes[order]
+        self.place = profiles["place"].to_numpy(np.int64)[order]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language, and 1 less its distance as a share of the largest possible."""
@@ -151,10 +148,12 @@ class RankModel:
         own = _profile(codes, times, self.size)
         row = np.searchsorted(self.codes, own)
         row[row == len(self.codes)] = 0
-        row = np.where(self.codes[row] == own, row, len(self.codes))
-        ranks = self.ranks[row]
-        apart = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own))[:, None]))
-        distance = apart.sum(axis=0)
+        known = np.flatnonzero(self.codes[row] == own)
+        first, listed = self.first[row[known]], self.listed[row[known]]
+        at = np.repeat(first - (np.cumsum(listed) - listed), listed) + np.arange(listed.sum())
+        # An n-gram that a language does not list is `size` places apart; any other one is nearer by `gain`.
+        gain = self.size - np.abs(self.place[at] - np.repeat(known, listed))
+        distance = len(own) * self.size - np.bincount(self.lang[at], gain, len(self.langs)).astype(np.int64)
         best = int(distance.argmin())
         return self.langs[best], float(1 - distance[best] / (len(own) * self.size))
 
