@@ -236,17 +236,17 @@ ORACLE: dict[str, str] = {
         ),
         own AS (
             SELECT lang, source, count(*) AS docs,
-                   quantile_disc(v1, [0.5, 0.9]) AS a, quantile_disc(v2, [0.5, 0.9]) AS b,
-                   quantile_disc(v3, [0.5, 0.9]) AS c, quantile_disc(v4, [0.5, 0.9]) AS d FROM v GROUP BY ALL
+                   quantile_disc(v1, [0.5, 0.55, 0.75, 0.9]) AS a, quantile_disc(v2, [0.5, 0.55, 0.75, 0.9]) AS b,
+                   quantile_disc(v3, [0.5, 0.55, 0.75, 0.9]) AS c, quantile_disc(v4, [0.5, 0.55, 0.75, 0.9]) AS d FROM v GROUP BY ALL
         ),
         by_lang AS (
             SELECT lang, count(*) AS docs,
-                   quantile_disc(v1, [0.5, 0.9]) AS a, quantile_disc(v2, [0.5, 0.9]) AS b,
-                   quantile_disc(v3, [0.5, 0.9]) AS c, quantile_disc(v4, [0.5, 0.9]) AS d FROM v GROUP BY ALL
+                   quantile_disc(v1, [0.5, 0.55, 0.75, 0.9]) AS a, quantile_disc(v2, [0.5, 0.55, 0.75, 0.9]) AS b,
+                   quantile_disc(v3, [0.5, 0.55, 0.75, 0.9]) AS c, quantile_disc(v4, [0.5, 0.55, 0.75, 0.9]) AS d FROM v GROUP BY ALL
         ),
         overall AS (
-            SELECT quantile_disc(v1, [0.5, 0.9]) AS a, quantile_disc(v2, [0.5, 0.9]) AS b,
-                   quantile_disc(v3, [0.5, 0.9]) AS c, quantile_disc(v4, [0.5, 0.9]) AS d FROM v
+            SELECT quantile_disc(v1, [0.5, 0.55, 0.75, 0.9]) AS a, quantile_disc(v2, [0.5, 0.55, 0.75, 0.9]) AS b,
+                   quantile_disc(v3, [0.5, 0.55, 0.75, 0.9]) AS c, quantile_disc(v4, [0.5, 0.55, 0.75, 0.9]) AS d FROM v
         ),
         picked AS (
             SELECT own.lang, own.source, CASE WHEN own.docs >= 200 THEN [own.a, own.b, own.c, own.d]
@@ -254,11 +254,20 @@ ORACLE: dict[str, str] = {
                 ELSE [overall.a, overall.b, overall.c, overall.d] END AS q
             FROM own JOIN by_lang ON own.lang IS NOT DISTINCT FROM by_lang.lang, overall
         ),
+        fenced AS (
+            SELECT lang, source, list_transform([1, 2, 3, 4], lambda i: [
+                q[i][2] + 3 * (q[i][2] - q[i][1]) + margins[i], q[i][3] + 3 * (q[i][3] - q[i][1]) + margins[i],
+                q[i][4] + 3 * (q[i][4] - q[i][1]) + margins[i], q[i][3], q[i][4]]) AS f
+            FROM picked, (SELECT [50, 100, 100, 50] AS margins)
+        ),
+        limits AS (
+            SELECT lang, source, list_transform(f, lambda x:
+                CASE WHEN x[4] > x[1] THEN x[1] WHEN x[5] > x[2] THEN x[2] ELSE x[3] END) AS top FROM fenced
+        ),
         judged AS (
             SELECT v.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-                   v1 > q[1][2] + 3 * (q[1][2] - q[1][1]) + 50 OR v2 > q[2][2] + 3 * (q[2][2] - q[2][1]) + 100
-                   OR v3 > q[3][2] + 3 * (q[3][2] - q[3][1]) + 100 OR v4 > q[4][2] + 3 * (q[4][2] - q[4][1]) + 50 AS above
-            FROM v JOIN picked p ON v.lang IS NOT DISTINCT FROM p.lang AND v.source IS NOT DISTINCT FROM p.source
+                   v1 > top[1] OR v2 > top[2] OR v3 > top[3] OR v4 > top[4] AS above
+            FROM v JOIN limits p ON v.lang IS NOT DISTINCT FROM p.lang AND v.source IS NOT DISTINCT FROM p.source
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT above AS kept FROM judged

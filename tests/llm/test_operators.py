@@ -8,16 +8,18 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftline.llm import byte_bpe, quality, vector_search
+from driftline.llm import byte_bpe, quality, queries, vector_search
 from driftline.llm.common import bucket_of
-from driftline.llm.language_id import identify_languages
+from driftline.llm.language_id import RankModel, identify_languages
 from driftline.llm.language_model import START, LogBilinear, score_documents
 from driftline.llm.line_dedup import dedup_lines
 from driftline.llm.near_dedup import near_duplicates
@@ -73,6 +75,49 @@ def test_language_id(spark):
     assert {(r["lang_pred"], r["score"]) for r in nothing} == {("und", 0.0)}
 
 
+def plain_grams(text):
+    """n-grams of up to three symbols, most frequent first, ties by their letters; words are parted by one space."""
+    line = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    line = re.sub(" +", " ", line)
+    times = Counter(line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1))
+    del times[" "]
+    # Shorter n-grams have smaller codes; the space comes before all letters.
+    return sorted(times, key=lambda g: (-times[g], len(g), g))
+
+
+def test_language_id_equals_plain_distances(spark):
+    rng = random.Random(8)
+    alphabets = {f"l{k:02}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyzéß", 12)) for k in range(25)}
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    learned = [(i, text(alphabets[k], 30), k) for i, k in enumerate(list(alphabets) * 3)]
+    asked = [(1000 + i, text(rng.choice(list(alphabets.values())), rng.randint(1, 40)), None) for i in range(80)]
+    asked += [(2000, "ж", None), (2001, "a", None), (2002, "Same Same", None), (2003, "z" * 3000, None)]
+    table = spark.createDataFrame(learned + asked, "doc_id long, text string, lang string")
+    size = 40
+    profiles = {k: {g: i for i, g in enumerate(plain_grams(" ".join(t for _, t, own in learned if own == k))[:size])} for k in alphabets}
+    got = {r["doc_id"]: r for r in identify_languages(table, F.col("lang").isNotNull(), size=size).collect()}
+    for i, t, _ in learned + asked:
+        own = plain_grams(t)[:size]
+        apart = {k: sum(abs(p[g] - j) if g in p else size for j, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(1 - apart[best] / (len(own) * size)), t
+
+
+def test_language_id_of_many_languages():
+    size, langs = 300, 20_000
+    rng = np.random.default_rng(3)
+    profiles = pd.DataFrame(
+        {
+            "lang": np.repeat([f"l{i:05}" for i in range(langs)], size),
+            "code": (rng.integers(0, 50_000, (langs, 1)) * 400 + np.arange(size)).ravel() + (1 << 41),
+            "place": np.tile(np.arange(size), langs),
+        }
+    )
+    model = RankModel(profiles, size)
+    kept = sum(a.nbytes for a in (model.codes, model.first, model.listed, model.lang, model.place))
+    assert kept <= 40 * len(profiles) and model.predict("some words") == ("l00000", 0.0)
+
+
 def test_line_dedup(spark):
     long_line = "x" * 39 + "É"
     texts = [(i, f"own line {i}\n \t{long_line.swapcase() if i % 2 else long_line} \nend") for i in range(7)]
@@ -187,7 +232,8 @@ def test_quality(docs):
     assert len(got) == len(odd_texts())
 
 
-def test_quality_fences_of_dirty_groups(spark):
+def dirty_groups():
+    """Rows of groups of which 5 to 40 % are junk, and what each row is."""
     rng = random.Random(6)
     word = lambda low, high: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(low, high)))
     clean = lambda: " ".join(word(2, 8) for _ in range(60))
@@ -199,10 +245,29 @@ def test_quality_fences_of_dirty_groups(spark):
                 bad = 100 * k < percent * 300
                 dirty[len(rows)] = [kind] if bad else []
                 rows.append((len(rows), text() if bad else clean(), "en", f"{kind}{percent}"))
+    return rows, dirty
+
+
+def test_quality_fences_of_dirty_groups(spark):
+    rows, dirty = dirty_groups()
     for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect():
         assert r["failed"] == dirty[r["doc_id"]] and r["kept"] == (not r["failed"]), rows[r["doc_id"]][3]
 
 
+def test_quality_equals_its_sql_on_dirty_groups(spark, tmp_path):
+    rows, dirty = dirty_groups()
+    columns = ["doc_id", "text", "lang", "source"]
+    few = [(len(rows) + i, t, None, "few") for i, t in enumerate([None, "", "a b", rows[0][1], "x " * 60])]  # a group below the least size
+    pd.DataFrame(rows + few, columns=columns).to_parquet(tmp_path / "documents.parquet")
+    got = queries.op6_quality_rules(spark, str(tmp_path)).toPandas().sort_values("doc_id", ignore_index=True)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    expected = con.execute(queries.ORACLE["op6_quality_rules"]).df().sort_values("doc_id", ignore_index=True)
+    for column in expected:
+        assert got[column].tolist() == expected[column].tolist(), column
+    assert got["kept"].tolist()[: len(rows)] == [not dirty[i] for i in range(len(rows))]
+
+
 def test_packing(docs):
     tokenizer = Tokenizer.from_file(BPE)
     got = pack_documents(docs, BPE, group_rows=40).collect()
@@ -245,10 +310,29 @@ def test_sharding(docs, spark):
             assert home.setdefault(text, r["shard"]) == r["shard"] and r["law"] == "bytes" and r["grown_shard"] is None
             slots.setdefault(r["shard"], []).append(r["slot"])
         assert len(got) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        # No shard is above the mean by more than the largest group, which nothing could part.
+        loads, whole = Counter(), Counter()
+        for r in got:
+            loads[r["shard"]] += r["size"]
+            whole[dict(texts)[r["doc_id"]] or ""] += r["size"]
+        assert max(loads.values()) <= sum(loads.values()) / 4 + max(whole.values())
     assert longest_first(np.array([5, 4, 3, 3, 3]), 2).tolist() == [0, 1, 1, 0, 1]
     assert shard_documents(docs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("heap_rows, bundles", [(50_000, 1024), (500, 64)])
+def test_shards_are_near_equal(spark, heap_rows, bundles):
+    rng = random.Random(4)
+    texts = [(i, f"{i % 1500} " + "x" * int(1.01 ** (i % 500) * 5)) for i in range(3000)]
+    rng.shuffle(texts)
+    got = shard_documents(spark.createDataFrame(texts, "doc_id long, text string"), heap_rows=heap_rows, bundles=bundles).collect()
+    loads = Counter()
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    mean = sum(loads.values()) / 8
+    assert len(loads) == 8 and max(loads.values()) <= 1.02 * mean and min(loads.values()) >= 0.98 * mean
+
+
 def test_byte_bpe(docs):
     ranks = byte_bpe.read_ranks(RANKS)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
