@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftline.llm import byte_bpe, quality, queries, vector_search
+from driftline.llm import byte_bpe, near_dedup, quality, queries, vector_search
 from driftline.llm.common import bucket_of
 from driftline.llm.language_id import RankModel, identify_languages
 from driftline.llm.language_model import START, LogBilinear, score_documents
@@ -144,6 +144,28 @@ def test_near_dedup(docs):
         assert r["component_id"] == label.get(i) and (i is None or r["kept"] == (label[i] == i))
 
 
+@pytest.mark.parametrize("block, short", [(2000, 64), (15, 6)])
+def test_near_dedup_of_large_groups_beside_others(spark, monkeypatch, block, short):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SHORT", short)
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("aeinorst") for _ in range(6)) for _ in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    texts = []
+    for i in range(150):  # one large group, members at the edge of it, and documents that share a part of it at other sizes
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 5, 9, 14, 20])):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        cut = rng.choice([120, 120, 110, 100, 97, 60])
+        texts.append((i, " ".join(own[:cut] + [rng.choice(vocabulary) for _ in range(rng.choice([0, 0, 20, 200]))])))
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    for size in (1, 2):
+        got = near_duplicates(table, words=size, percent=80).collect()
+        sets = {i: shingles(t, size) for i, t in texts}
+        component = groups(sets, find_links(sets))
+        assert {r["doc_id"]: r["component_id"] for r in got} == component and len(set(component.values())) > 5
+
+
 def test_pii(docs, spark):
     for r in find_pii(docs).collect():
         text = dict(odd_texts())[r["doc_id"]]
