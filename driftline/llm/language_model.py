@@ -1,18 +1,25 @@
 """Scoring by a log-bilinear language model, trained by noise-contrastive estimation.
 
-Vocabulary and counts come from all training documents. The model predicts a word from the two before it:
-    s(v | w1, w2) = b[v] + Q[v] . (C1 * R[w1] + C2 * R[w2])
-over the most frequent words and a class for all others; a word of that class takes its add-one share of the class, so
-that the probabilities of all words, one unseen word included, sum to one. C1 and C2 are diagonal.
-
-Normalising is two matrix products. With L1 = Q (C1 R)' and L2 = Q (C2 R)', exp(s) is exp(b + L1) times exp(L2), so the
-normalisers of all pairs of contexts are exp(b + L1) . exp(L2)', and a token costs three look-ups.
+Vocabulary and counts come from all training documents. The context of a word is the two words before it:
+    h = C1 * R[w1] + C2 * R[w2]          (C1 and C2 are diagonal)
+    p(v | h) = p(class of v | h) * p(v | class, h)
+    p(class | h) ~ exp(Qc[class] . h + bc[class])        p(v | class, h) ~ exp(Q[v] . h + b[v]) within the class
+The modelled words are the most frequent ones; their number grows with the cube root of the training tokens
+(`words_modelled`). They stand in order of frequency and are cut into about as many classes as a class has words, each
+with the same share of the square roots of the counts, so that the most frequent words are classes of their own. All other
+words are one class, in which a word takes its add-one share: the probabilities of all words, one unseen word included,
+sum to one. Both sets of scores learn by noise-contrastive estimation, the noise being the unigrams of words and of classes.
+
+Normalising takes two matrix products per block of tokens: contexts by classes, and for every class the contexts of its
+tokens by its words. The work per token grows with the square root of the vocabulary.
 
 How the work is spread. Documents are tokenised once, in blocks: each task writes token numbers local to its block, and the
 block's own word list. Counts are summed over those lists, joined back to them, and each block is resolved beside its
-list; no row per token is ever shuffled. Training runs in rounds over disjoint shares of all blocks: every
-task makes its steps from the same start, and the tasks' parameters are averaged by weight, added up
-within Spark. Model size is a parameter, so what the driver sees is bounded; counts and steps grow with the input.
+list; no row per token is ever shuffled. Training runs in rounds over disjoint shares of all documents: every
+learner makes its steps from the same start, and each word's parameters are averaged by the number of steps that touched the
+word, so that a rare word's lesson is not thinned out by learners that never met it; words nobody met stay as they were.
+The number of learners follows from the tokens and the size of the model, not from the partitions of the table.
+The driver sees the model: (2 * words + classes) * (width + 1) numbers.
 
 Defined cases: null text is empty and is one end token; without training tokens the model is the uniform one over its
 classes; null ids are kept and count as empty text in the split; repeated rows are scored and, if in training,
@@ -33,13 +40,15 @@ from pyspark.sql import functions as F
 from driftline.llm.common import as_bytes, text_slices
 from driftline.session import materialise
 
-VOCABULARY = 1024
+VOCABULARY_RATE = 48  # words modelled per cube root of the training tokens
 WIDTH = 32
 NOISE = 64
 ROUNDS = 3
 BATCH = 4096
 RATE = 0.1
 BLOCK_TOKENS = 3_000_000
+LEARNER_TOKENS = 256  # tokens of all rounds that a learner takes, per word of the vocabulary
+SCORED_TOGETHER = 32_768
 START, REST = 0, 1  # ids before the first word, and of all words outside the vocabulary
 _END = b""  # the end of a text; no word is empty
 
@@ -109,12 +118,17 @@ def tokenised(docs: DataFrame, training: Column, id_col: str, text_col: str) ->
     return given.mapInArrow(run, schema)
 
 
+def words_modelled(tokens: int, rate: float = VOCABULARY_RATE) -> int:
+    """Size of the vocabulary, START and REST included."""
+    return 2 + int(rate * tokens ** (1 / 3))
+
+
 def word_counts(stored: DataFrame) -> DataFrame:
     """word, c: occurrences in training documents, over all blocks; words seen elsewhere only have 0."""
     return stored.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def resolved(stored: DataFrame, counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def resolved(stored: DataFrame, counts: DataFrame, vocabulary: DataFrame, kind_of_word: type) -> DataFrame:
     """Per document: id, train, n_tokens, n_known, log_counts (sum of log10(c + 1)), rest, rest_logs, model (ids).
 
     `rest` counts the tokens outside the vocabulary, `rest_logs` is their part of log_counts.
@@ -125,7 +139,7 @@ def resolved(stored: DataFrame, counts: DataFrame, vocabulary: DataFrame) -> Dat
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         order = np.argsort(words["number"].to_numpy())
-        c, model = words["c"].to_numpy()[order], words["model"].to_numpy()[order].astype(np.uint16)
+        c, model = words["c"].to_numpy()[order], words["model"].to_numpy()[order].astype(kind_of_word)
         logs = np.log10(c + 1.0)
         out = []
         for tokens in docs["tokens"].to_pylist():
@@ -144,66 +158,107 @@ def resolved(stored: DataFrame, counts: DataFrame, vocabulary: DataFrame) -> Dat
 
 
 class LogBilinear:
-    """Parameters as one flat array: R and Q (vocabulary x width), C1 and C2 (width), b (vocabulary)."""
-
-    def __init__(self, size: int, width: int, flat: np.ndarray):
-        self.size, self.width, self.flat = size, width, flat
-        cut = np.cumsum([size * width, size * width, width, width])
-        r, q, c1, c2, self.b = np.split(flat, cut)
-        self.r, self.q, self.c1, self.c2 = r.reshape(size, width), q.reshape(size, width), c1, c2
-
-    @classmethod
-    def start(cls, unigram: np.ndarray, width: int, seed: int = 0) -> LogBilinear:
-        rng = np.random.default_rng(seed)
-        size = len(unigram)
-        vectors = rng.normal(0, 0.1, 2 * size * width)
-        return cls(size, width, np.concatenate([vectors, np.ones(width), np.ones(width) / 2, np.log(unigram)]))
-
-    def train(self, near: np.ndarray, far: np.ndarray, target: np.ndarray, noise: np.ndarray, rate: float, samples: int, seed: int) -> None:
-        """One pass of noise-contrastive steps; the noise words of a batch are shared by its tokens.
+    """Parameters as one table of width + 1 columns: R (the last column is unused) and Q with b of the words, Qc with bc
+    of the classes, C1 and C2. `counts` are those of the words by id, from REST on in falling order; START has none."""
+
+    def __init__(self, counts: np.ndarray, width: int, table: np.ndarray | None = None, seed: int = 0):
+        self.size, self.width = len(counts), width
+        share = np.sqrt(counts[1:])
+        turns = np.floor(np.cumsum(share) / share.sum() * np.sqrt(self.size)).astype(np.int64)
+        # REST is a class by itself, then equal shares; a word that spans several shares is one class.
+        new = np.concatenate([[True, True], np.diff(turns)[1:] > 0])[: self.size - 1]
+        self.class_of = np.concatenate([[0], np.cumsum(new) - 1])
+        self.cuts = np.concatenate([np.flatnonzero(new) + 1, [self.size]])  # the words of a class are neighbours
+        self.classes = len(self.cuts) - 1
+        self.words_noise = counts / counts.sum()
+        self.class_noise = np.add.reduceat(self.words_noise, self.cuts[:-1])
+        self.length = 2 * self.size + self.classes + 2
+        if table is None:
+            table = np.random.default_rng(seed).normal(0, 0.1, (self.length, width + 1)).astype(np.float32)
+            table[: self.size, -1] = 0
+            with np.errstate(divide="ignore"):
+                table[self.size : 2 * self.size, -1] = np.maximum(np.log(self.words_noise), -80)
+                table[2 * self.size : -2, -1] = np.log(self.class_noise)
+            table[-2], table[-1] = 1, 0.5
+        self.table = table
+
+    def hidden(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Contexts, and a one for the bias."""
+        h = self.table[-2] * self.table[near] + self.table[-1] * self.table[far]
+        h[:, -1] = 1
+        return h
+
+    def train(self, near: np.ndarray, far: np.ndarray, target: np.ndarray, rate: float, samples: int, seed: int) -> None:
+        """One pass of noise-contrastive steps; the noise of a batch is shared by its tokens.
 
         Steps shrink with the squared gradients that a parameter has seen (AdaGrad), which start at 1.
+        `touched` counts the batches in which a row of the table had a gradient.
         """
         rng = np.random.default_rng(seed)
-        log_noise = np.log(noise * samples)
-        cumulative = np.cumsum(noise)
         if not hasattr(self, "seen"):
-            self.seen = LogBilinear(self.size, self.width, np.ones(len(self.flat)))
+            self.seen, self.touched = np.ones_like(self.table), np.zeros(self.length, np.int64)
+        heads = []
+        for base, noise in ((self.size, self.words_noise), (2 * self.size, self.class_noise)):
+            with np.errstate(divide="ignore"):
+                heads.append((base, np.cumsum(noise), np.log(noise * samples).astype(np.float32)))
         for start in range(0, len(target), BATCH):
             w1, w2, v = (x[start : start + BATCH].astype(np.int64) for x in (near, far, target))
-            drawn = np.minimum(np.searchsorted(cumulative, rng.random(samples) * cumulative[-1]), self.size - 1)
-            r1, r2, qv, qn = self.r[w1], self.r[w2], self.q[v], self.q[drawn]
-            hidden = self.c1 * r1 + self.c2 * r2
-            true = 1 - _sigmoid((hidden * qv).sum(axis=1) + self.b[v] - log_noise[v])
-            false = -_sigmoid(hidden @ qn.T + self.b[drawn] - log_noise[drawn])
-            toward = true[:, None] * qv + false @ qn
-            moves = [
-                ("q", np.concatenate([v, drawn]), np.concatenate([true[:, None] * hidden, false.T @ hidden])),
-                ("b", np.concatenate([v, drawn]), np.concatenate([true, false.sum(axis=0)])),
-                ("r", np.concatenate([w1, w2]), np.concatenate([toward * self.c1, toward * self.c2])),
-                ("c1", None, (toward * r1).sum(axis=0)),
-                ("c2", None, (toward * r2).sum(axis=0)),
-            ]
-            for name, at, gradient in moves:
-                if at is None:
-                    at = slice(None)
-                else:
-                    at, gradient = _summed(at, gradient)
-                seen = getattr(self.seen, name)
-                seen[at] += gradient**2
-                getattr(self, name)[at] += rate * gradient / np.sqrt(seen[at])
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Natural logarithms: b + L1 and L2 by (context, word), and the normalisers by (near, far)."""
-        one = (self.c1 * self.r) @ self.q.T + self.b
-        two = (self.c2 * self.r) @ self.q.T
-        top1, top2 = one.max(axis=1, keepdims=True), two.max(axis=1, keepdims=True)
-        norm = np.log(np.exp(one - top1) @ np.exp(two - top2).T) + top1 + top2.T
-        return one, two, norm
+            r1, r2 = self.table[w1], self.table[w2]
+            hidden = self.table[-2] * r1 + self.table[-1] * r2
+            hidden[:, -1] = 1
+            toward, moves = np.zeros_like(hidden), []
+            for (base, cumulative, log_noise), wanted in zip(heads, (v, self.class_of[v])):
+                drawn = np.searchsorted(cumulative, rng.random(samples) * cumulative[-1], side="right")
+                drawn = np.minimum(drawn, len(cumulative) - 1)
+                q, noise = self.table[base + wanted], self.table[base + drawn]
+                true = 1 - _sigmoid(np.einsum("ij,ij->i", hidden, q) - log_noise[wanted])
+                false = -_sigmoid(hidden @ noise.T - log_noise[drawn])
+                toward += true[:, None] * q + false @ noise
+                moves.append((np.concatenate([base + wanted, base + drawn]), np.concatenate([true[:, None] * hidden, false.T @ hidden])))
+            toward[:, -1] = 0
+            moves.append((np.concatenate([w1, w2]), np.concatenate([toward * self.table[-2], toward * self.table[-1]])))
+            both = np.stack([np.einsum("ij,ij->j", toward, r1), np.einsum("ij,ij->j", toward, r2)])
+            moves.append((np.array([self.length - 2, self.length - 1]), both))
+            for at, gradient in moves:
+                at, gradient = _summed(at, gradient)
+                self.touched[at] += 1
+                seen = self.seen[at] + gradient**2
+                self.seen[at] = seen
+                self.table[at] += np.float32(rate) * gradient / np.sqrt(seen)
+
+    def log_probabilities(self, near: np.ndarray, far: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural logarithm of p(target | far, near) for every token; over all targets but START they sum to one."""
+        out = np.empty(len(target))
+        q, qc = self.table[self.size : 2 * self.size], self.table[2 * self.size : -2]
+        for start in range(0, len(target), SCORED_TOGETHER):
+            w1, w2, v = (x[start : start + SCORED_TOGETHER].astype(np.int64) for x in (near, far, target))
+            hidden, wanted = self.hidden(w1, w2), self.class_of[v]
+            logs = _log_softmax(hidden @ qc.T, wanted)
+            order = np.argsort(wanted, kind="stable")
+            ends = np.searchsorted(wanted[order], np.arange(self.classes + 1))
+            for c in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.cuts) > 1)):
+                own = order[ends[c] : ends[c + 1]]
+                first, last = self.cuts[c], self.cuts[c + 1]
+                logs[own] += _log_softmax(hidden[own] @ q[first:last].T, v[own] - first)
+            out[start : start + len(v)] = logs
+        return out
+
+
+def _log_softmax(scores: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Of each row, the normalised logarithm of one column."""
+    top = scores.max(axis=1)
+    own = scores[np.arange(len(scores)), wanted] - top
+    scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return own.astype(np.float64) - np.log(scores.sum(axis=1, dtype=np.float64))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,55 +269,66 @@ def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[first], np.add.reduceat(values[order], first, axis=0)
 
 
-def contexts(model: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The word before, the one before that, and the word, for every token of a text."""
-    v = np.frombuffer(model, np.uint16)
-    padded = np.concatenate([[START, START], v]).astype(np.uint16)
-    return padded[1:-1], padded[:-2], v
+def contexts(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word before, the one before that, and the word, for every token of texts that begin at `starts`."""
+    near = np.concatenate([[START], tokens[:-1]]).astype(tokens.dtype)
+    far = np.concatenate([[START, START], tokens[:-2]]).astype(tokens.dtype)[: len(tokens)]
+    near[starts] = far[starts] = START
+    second = starts + 1
+    far[second[second < len(tokens)]] = START
+    return near, far, tokens
+
+
+def joined(texts: Iterable[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of several texts in a row, and where each begins. Every text has its end at least."""
+    texts = list(texts)
+    ends = np.cumsum([len(t) for t in texts]) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(texts), kind), np.concatenate([[0], ends[:-1]]).astype(np.int64)
 
 
-def fit(rows: DataFrame, unigram: np.ndarray, width: int = WIDTH, rounds: int = ROUNDS, rate: float = RATE, samples: int = NOISE) -> LogBilinear:
+def fit(
+    rows: DataFrame, counts: np.ndarray, kind: type, width: int = WIDTH, rounds: int = ROUNDS, rate: float = RATE, samples: int = NOISE
+) -> LogBilinear:
     """Rounds over disjoint shares of the training rows, together all of them."""
-    model = LogBilinear.start(unigram, width)
-    size, length = model.size, len(model.flat)
+    model = LogBilinear(counts, width)
+    learners = 1 + int(counts.sum()) // (LEARNER_TOKENS * model.size)
+    cells = [f"x{i}" for i in range(width + 1)]
     for turn in range(rounds):
-        start, step = model.flat.copy(), rate / (1 + turn)
+        start, step = model.table.copy(), rate / (1 + turn)
 
         def run(batches: Iterable[pa.RecordBatch], start=start, step=step, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, tokens, held, waiting = LogBilinear(size, width, start.copy()), 0, [], 0
+            own, tokens, held, waiting = LogBilinear(counts, width, start.copy()), 0, [], 0
 
             def learn() -> int:
-                near, far, target = (np.concatenate(x) for x in zip(*map(contexts, held)))
+                near, far, target = contexts(*joined(held, kind))
                 order = np.random.default_rng(tokens).permutation(len(target))
-                own.train(near[order], far[order], target[order], unigram, step, samples, tokens + turn)
+                own.train(near[order], far[order], target[order], step, samples, tokens + turn)
                 return len(target)
 
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     held.append(text)
-                    waiting += len(text) // 2
+                    waiting += len(text) // np.dtype(kind).itemsize
                     if waiting > 1_000_000:
                         tokens += learn()
                         held, waiting = [], 0
             if held:
                 tokens += learn()
             if tokens:
-                places = np.arange(0, length, 1024)
-                parts = [(own.flat[p : p + 1024] * tokens) for p in places]
-                yield pa.RecordBatch.from_pydict(
-                    {"place": pa.array(places), "weight": pa.array([tokens] * len(places), pa.int64()), "part": pa.array(parts, pa.list_(pa.float64()))}
-                )
+                met = np.flatnonzero(own.touched)
+                found = {"row": pa.array(met, pa.int32()), "weight": pa.array(own.touched[met])}
+                moved = (own.table[met] - start[met]) * own.touched[met, None]
+                yield pa.RecordBatch.from_pydict(found | {x: pa.array(moved[:, i], pa.float32()) for i, x in enumerate(cells)})
 
         share = rows.filter(F.col("train") & (F.pmod(F.xxhash64("n_tokens", "log_counts"), F.lit(rounds)) == turn)).select("model")
-        parts = share.mapInArrow(run, "place bigint, weight bigint, part array<double>")
-        # Sums of arrays: one row per place in the array, added up before and after the shuffle.
-        cells = parts.select("weight", F.posexplode("part").alias("at", "x"), "place")
-        sums = cells.groupBy((F.col("place") + F.col("at")).alias("at")).agg((F.sum("x") / F.sum("weight")).alias("x"))
-        merged = sums.toPandas()  # as many rows as the model has parameters
+        schema = "row int, weight bigint, " + ", ".join(f"{x} float" for x in cells)
+        parts = share.coalesce(learners).mapInArrow(run, schema)
+        means = [(F.sum(x) / F.sum("weight")).cast("float").alias(x) for x in cells]
+        merged = parts.groupBy("row").agg(*means).toPandas()  # at most the model
         if len(merged):
-            flat = start.copy()
-            flat[merged["at"].to_numpy()] = merged["x"].to_numpy()
-            model = LogBilinear(size, width, flat)
+            table = start.copy()
+            table[merged["row"].to_numpy()] += merged[cells].to_numpy(np.float32)
+            model = LogBilinear(counts, width, table)
     return model
 
 
@@ -271,44 +337,44 @@ def score_documents(
     training: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    vocabulary_size: int = VOCABULARY,
+    vocabulary_size: int | None = None,
     width: int = WIDTH,
     rounds: int = ROUNDS,
 ) -> DataFrame:
-    """id, train, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, both log10 of the text."""
+    """id, train, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, both log10 of the text.
+
+    `vocabulary_size` fixes the number of words modelled; None lets it grow with the training tokens.
+    """
     stored = materialise(tokenised(docs, training, id_col, text_col), "tokens")
     counts = materialise(word_counts(stored), "counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = int(totals["n"] or 0), int(totals["v"])
-    first = counts.filter("c > 0").orderBy(F.col("c").desc(), "word").limit(vocabulary_size - 2).toPandas()
+    modelled = (vocabulary_size or words_modelled(n)) - 2
+    first = counts.filter("c > 0").orderBy(F.col("c").desc(), "word").limit(modelled).toPandas()
+    kind = np.uint16 if len(first) + 2 <= 1 << 16 else np.uint32
     vocabulary = first[["word"]].assign(model=np.arange(2, len(first) + 2, dtype=np.int32))
     spark = docs.sparkSession
     vocabulary = spark.createDataFrame([(bytes(w), int(m)) for w, m in vocabulary.itertuples(index=False)], "word binary, model int")
-    rows = materialise(resolved(stored, counts, vocabulary), "resolved")
+    rows = materialise(resolved(stored, counts, vocabulary, kind), "resolved")
 
     inside = first["c"].to_numpy(np.float64)
     rest_tokens, rest_words = n - int(inside.sum()), v - len(first)
-    unigram = np.concatenate([[1.0], [rest_tokens + rest_words + 1.0], inside + 1.0])  # START never follows anything
-    unigram /= unigram.sum()
-    model = fit(rows, unigram, width, rounds)
-    # START takes no probability: it is never a target, and its bias goes down to nothing.
-    model.b[START] = -700.0
+    smoothed = np.concatenate([[0.0], [rest_tokens + rest_words + 1.0], inside + 1.0])  # START never follows anything
+    model = fit(rows, smoothed, kind, width, rounds)
     base_norm, rest_norm = np.log10(n + v + 1.0), np.log10(rest_tokens + rest_words + 1.0)
-    flat, size = model.flat, model.size
+    table = model.table
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, norm = LogBilinear(size, width, flat).tables()
-        for batch in batches:
+        own = LogBilinear(smoothed, width, table)
+        for batch in text_slices(batches, "model"):
             column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            scores = []
-            for text, rest, rest_logs in zip(column["model"].to_pylist(), column["rest"].to_pylist(), column["rest_logs"].to_pylist()):
-                near, far, target = contexts(text)
-                logs = one[near, target] + two[far, target] - norm[near, far]
-                scores.append(logs.sum() / np.log(10) + rest_logs - rest * rest_norm)
+            tokens, starts = joined(column["model"].to_pylist(), kind)
+            logs = np.add.reduceat(own.log_probabilities(*contexts(tokens, starts)), starts) / np.log(10)
+            scores = logs + column["rest_logs"].to_numpy() - column["rest"].to_numpy() * rest_norm
             base = column["log_counts"].to_numpy() - column["n_tokens"].to_numpy() * base_norm
-            new = {"train_tokens": np.full(len(scores), n), "base_score": base, "score": np.array(scores, np.float64)}
+            new = {"train_tokens": np.full(len(scores), n), "base_score": base, "score": scores}
             yield pa.RecordBatch.from_pydict({name: column[name] for name in ("id", "train", "n_tokens", "n_known")} | new)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {id_kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

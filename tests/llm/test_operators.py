@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftline.llm import byte_bpe, near_dedup, quality, queries, vector_search
+from driftline.llm import byte_bpe, language_model, near_dedup, quality, queries, vector_search
 from driftline.llm.common import bucket_of
 from driftline.llm.language_id import RankModel, identify_languages
 from driftline.llm.language_model import START, LogBilinear, score_documents
@@ -396,11 +396,83 @@ def test_language_model(spark, docs):
 
 
 def test_language_model_is_normalised():
-    model = LogBilinear.start(np.full(20, 0.05), 4)
-    model.b[START] = -700.0
-    one, two, norm = model.tables()
-    total = np.exp(one[:, None, :] + two[None, :, :] - norm[:, :, None]).sum(axis=2)
-    assert np.allclose(total, 1)
+    for size in (2, 3, 60):
+        counts = np.concatenate([[0.0], [50.0], np.sort(np.random.default_rng(1).pareto(1, size - 2) + 1)[::-1]])
+        model = LogBilinear(counts, 4)
+        model.table[:, -1] += np.random.default_rng(2).normal(size=model.length).astype(np.float32)
+        assert model.cuts[0] == 1 and model.cuts[-1] == size and (np.diff(model.cuts) > 0).all()
+        assert math.isclose(model.class_noise.sum(), 1)
+        target = np.arange(1, size)
+        for near, far in ((START, START), (1, START), (size - 1, 1)):
+            logs = model.log_probabilities(np.full(size - 1, near), np.full(size - 1, far), target)
+            assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-5)
+
+
+def test_language_model_scores_are_those_of_its_parameters(spark, monkeypatch):
+    """Every score again, word by word and with plain loops, from the fitted parameters; held-out texts gain over unigrams."""
+    rng = random.Random(5)
+    topics = [[f"{t}{i}" for i in range(30)] for t in "abc"]
+    texts = []
+    for i in range(900):
+        own = topics[i % 3]
+        texts.append((i, " ".join(own[min(int(rng.expovariate(0.15)), 29)] for _ in range(rng.randint(1, 60)))))
+    texts += [(900, None), (901, ""), (902, "unseen words \x1c a1\na2"), (None, texts[0][1]), (904, "a1 " * 70_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    models = []
+    fitted = language_model.fit
+    monkeypatch.setattr(language_model, "fit", lambda *args, **more: models.append(fitted(*args, **more)) or models[-1])
+    training = F.col("doc_id") % 4 != 1
+    got = {r["doc_id"]: r for r in score_documents(docs, F.coalesce(training, F.lit(True)), vocabulary_size=60, width=8).collect()}
+    (model,) = models
+    assert model.size == 60 and 3 < model.classes < 30
+    split = {i: [*words(t), b""] for i, t in texts}
+    counts = Counter(w for i, t in split.items() if i is None or i % 4 != 1 for w in t)
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    ids = {w: k for k, w in enumerate(ranked[:58], start=2)}
+    rest = {w: counts[w] for w in ranked[58:]}
+    rest_total = sum(rest.values()) + len(rest) + 1
+    table, size = model.table.astype(float), model.size
+
+    def plain(tokens):
+        near = far = START
+        total = 0.0
+        for w in tokens:
+            v = ids.get(w, 1)
+            h = [table[-2][i] * table[near][i] + table[-1][i] * table[far][i] for i in range(8)] + [1.0]
+            score = lambda row: math.exp(sum(x * y for x, y in zip(h, table[row])))  # noqa: B023, E731
+            c = next(k for k in range(model.classes) if model.cuts[k] <= v < model.cuts[k + 1])
+            total += math.log10(score(2 * size + c) / sum(score(2 * size + k) for k in range(model.classes)))
+            total += math.log10(score(size + v) / sum(score(size + u) for u in range(model.cuts[c], model.cuts[c + 1])))
+            if v == 1:
+                total += math.log10((rest.get(w, 0) + 1) / rest_total)
+            near, far = v, near
+        return total
+
+    for i, t in split.items():
+        if i is None or i % 9 == 0 or 900 <= i < 904:
+            assert math.isclose(got[i]["score"], plain(t), rel_tol=1e-4), i
+    assert got[904]["n_tokens"] == 70_001 and math.isfinite(got[904]["score"])
+    held_out = [r for i, r in got.items() if i is not None and i < 900 and i % 4 == 1]
+    gain = sum(r["score"] - r["base_score"] for r in held_out) / sum(r["n_tokens"] for r in held_out)
+    assert gain > 0.15  # the topic of a text is worth up to log10(3)
+
+
+def test_language_model_grows_with_its_tokens_and_averages_by_word(spark):
+    sizes = [language_model.words_modelled(n) for n in (0, 10**6, 8 * 10**6, 10**9)]
+    assert all(abs(a - b) <= 1 for a, b in zip(sizes, [2, 4802, 9602, 48002]))
+    # A word that one text alone holds moves as far with many learners as with one.
+    counts = np.concatenate([[0.0], [10.0], np.full(8, 500.0), [40.0]])
+    common = np.random.default_rng(3).integers(2, 10, 4000).astype(np.uint16)
+    rare = np.tile(np.array([2, 10], np.uint16), 20)
+    rows = [(True, 4000, float(i), common.tobytes()) for i in range(12)] + [(True, 40, 0.5, rare.tobytes())]
+    schema = "train boolean, n_tokens bigint, log_counts double, model binary"
+    moved = []
+    for parts in (1, 6):
+        table = spark.createDataFrame(rows, schema).repartition(parts)
+        start = LogBilinear(counts, 4)
+        model = language_model.fit(table, counts * (1 if parts == 1 else 100), np.uint16, width=4, rounds=1)
+        moved.append(np.abs(model.table[10, :4] - start.table[10, :4]).sum())
+    assert moved[0] > 0 and 0.5 < moved[1] / moved[0] < 2
 
 
 def test_vector_search(spark):
