@@ -48,7 +48,7 @@ BATCH = 4096
 RATE = 0.1
 BLOCK_TOKENS = 3_000_000
 LEARNER_TOKENS = 256  # tokens of all rounds that a learner takes, per word of the vocabulary
-SCORED_TOGETHER = 32_768
+SCORED_TOGETHER = 65_536
 START, REST = 0, 1  # ids before the first word, and of all words outside the vocabulary
 _END = b""  # the end of a text; no word is empty
 
@@ -202,71 +202,112 @@ class LogBilinear:
             with np.errstate(divide="ignore"):
                 heads.append((base, np.cumsum(noise), np.log(noise * samples).astype(np.float32)))
         for start in range(0, len(target), BATCH):
-            w1, w2, v = (x[start : start + BATCH].astype(np.int64) for x in (near, far, target))
-            r1, r2 = self.table[w1], self.table[w2]
-            hidden = self.table[-2] * r1 + self.table[-1] * r2
+            v = target[start : start + BATCH]
+            order = np.argsort(v, kind="stable")  # tokens of a word, and of a class, side by side
+            w1, w2, v = (x[start : start + BATCH][order] for x in (near, far, target))
+            r1, r2 = self.table.take(w1, axis=0), self.table.take(w2, axis=0)
+            hidden = self.table[-2] * r1
+            hidden += self.table[-1] * r2
             hidden[:, -1] = 1
             toward, moves = np.zeros_like(hidden), []
             for (base, cumulative, log_noise), wanted in zip(heads, (v, self.class_of[v])):
                 drawn = np.searchsorted(cumulative, rng.random(samples) * cumulative[-1], side="right")
-                drawn = np.minimum(drawn, len(cumulative) - 1)
-                q, noise = self.table[base + wanted], self.table[base + drawn]
-                true = 1 - _sigmoid(np.einsum("ij,ij->i", hidden, q) - log_noise[wanted])
-                false = -_sigmoid(hidden @ noise.T - log_noise[drawn])
-                toward += true[:, None] * q + false @ noise
-                moves.append((np.concatenate([base + wanted, base + drawn]), np.concatenate([true[:, None] * hidden, false.T @ hidden])))
+                drawn = np.sort(np.minimum(drawn, len(cumulative) - 1))
+                first = _firsts(wanted)
+                at = wanted[first].astype(np.int64)
+                # The logarithm of the noise goes into the bias: the last column meets a one.
+                q, noise = self.table.take(base + wanted.astype(np.int64), axis=0), self.table[base + drawn]
+                q[:, -1] -= log_noise[wanted]
+                noise[:, -1] -= log_noise[drawn]
+                true = _sigmoid(np.einsum("ij,ij->i", hidden, q))  # 1 - sigmoid of the score
+                false = _sigmoid(hidden @ -noise.T)
+                q *= true[:, None]
+                toward += q
+                toward -= false @ noise
+                away = _firsts(drawn)
+                moves.append((base + at, _run_sums(true[:, None] * hidden, first)))
+                moves.append((base + drawn[away], -_run_sums(false.T @ hidden, away)))
             toward[:, -1] = 0
-            moves.append((np.concatenate([w1, w2]), np.concatenate([toward * self.table[-2], toward * self.table[-1]])))
             both = np.stack([np.einsum("ij,ij->j", toward, r1), np.einsum("ij,ij->j", toward, r2)])
+            words, at = np.concatenate([w1, w2]), np.empty((2 * len(v), self.width + 1), np.float32)
+            np.multiply(toward, self.table[-2], out=at[: len(v)])
+            np.multiply(toward, self.table[-1], out=at[len(v) :])
+            order = np.argsort(words, kind="stable")
+            first = _firsts(words[order])
+            moves.append((words[order[first]].astype(np.int64), _run_sums(at.take(order, axis=0), first)))
             moves.append((np.array([self.length - 2, self.length - 1]), both))
             for at, gradient in moves:
-                at, gradient = _summed(at, gradient)
                 self.touched[at] += 1
-                seen = self.seen[at] + gradient**2
+                seen = self.seen.take(at, axis=0)
+                seen += gradient * gradient
                 self.seen[at] = seen
-                self.table[at] += np.float32(rate) * gradient / np.sqrt(seen)
+                np.sqrt(seen, out=seen)
+                gradient /= seen
+                gradient *= np.float32(rate)
+                gradient += self.table.take(at, axis=0)
+                self.table[at] = gradient
 
     def log_probabilities(self, near: np.ndarray, far: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm of p(target | far, near) for every token; over all targets but START they sum to one."""
         out = np.empty(len(target))
         q, qc = self.table[self.size : 2 * self.size], self.table[2 * self.size : -2]
         for start in range(0, len(target), SCORED_TOGETHER):
-            w1, w2, v = (x[start : start + SCORED_TOGETHER].astype(np.int64) for x in (near, far, target))
+            v = target[start : start + SCORED_TOGETHER]
+            order = np.argsort(v, kind="stable")
+            w1, w2, v = (x[start : start + SCORED_TOGETHER][order] for x in (near, far, target))
             hidden, wanted = self.hidden(w1, w2), self.class_of[v]
-            logs = _log_softmax(hidden @ qc.T, wanted)
-            order = np.argsort(wanted, kind="stable")
-            ends = np.searchsorted(wanted[order], np.arange(self.classes + 1))
+            logs = np.empty(len(v))
+            for first in range(0, len(v), BATCH):  # as many scores as the cache holds
+                some = slice(first, first + BATCH)
+                logs[some] = _log_softmax(hidden[some] @ qc.T, wanted[some])
+            ends = np.searchsorted(wanted, np.arange(self.classes + 1))
             for c in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.cuts) > 1)):
-                own = order[ends[c] : ends[c + 1]]
                 first, last = self.cuts[c], self.cuts[c + 1]
-                logs[own] += _log_softmax(hidden[own] @ q[first:last].T, v[own] - first)
-            out[start : start + len(v)] = logs
+                for at in range(ends[c], ends[c + 1], BATCH):
+                    own = slice(at, min(at + BATCH, ends[c + 1]))
+                    logs[own] += _log_softmax(hidden[own] @ q[first:last].T, v[own].astype(np.int64) - first)
+            out[start + order] = logs
         return out
 
 
 def _log_softmax(scores: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Of each row, the normalised logarithm of one column."""
-    top = scores.max(axis=1)
-    own = scores[np.arange(len(scores)), wanted] - top
-    scores -= top[:, None]
+    """Of each row, the normalised logarithm of one column. Overwrites the scores."""
+    own = scores[np.arange(len(scores)), wanted].astype(np.float64)
+    limit = np.abs(scores).max() if scores.size else 0
+    top = 0.0
+    if not limit < 60:  # exp of 32-bit numbers overflows at 88, and their sums earlier
+        top = scores.max(axis=1)
+        scores -= top[:, None]
     np.exp(scores, out=scores)
-    return own.astype(np.float64) - np.log(scores.sum(axis=1, dtype=np.float64))
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
-def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct places and the sum of their values."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[first], np.add.reduceat(values[order], first, axis=0)
+    return own - top - np.log(scores @ np.ones(scores.shape[1], np.float32))
+
+
+def _sigmoid(minus_x: np.ndarray) -> np.ndarray:
+    """Of the negated argument, in place. What overflows becomes zero, as it should."""
+    with np.errstate(over="ignore"):
+        np.exp(minus_x, out=minus_x)
+    minus_x += 1
+    return np.reciprocal(minus_x, out=minus_x)
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def _run_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each run; most runs are short, and few hold many rows."""
+    runs = np.diff(np.append(first, len(rows)))
+    out = rows.take(first, axis=0)
+    for i in np.flatnonzero(runs > 16):
+        out[i] = rows[first[i] : first[i] + runs[i]].sum(axis=0)
+    left = np.flatnonzero((runs > 1) & (runs <= 16))
+    for k in range(1, 16):
+        if not len(left):
+            break
+        out[left] += rows.take(first[left] + k, axis=0)
+        left = left[runs[left] > k + 1]
+    return out
 
 
 def contexts(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
