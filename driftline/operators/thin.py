@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from driftline.session import materialise
 
-BLOCK_LENGTH = 1_000_000
+BLOCK_LENGTH = 65_536  # a block is one group of a task, so this bounds its memory
 FAN = 32  # block summaries chained in one task
 
 

@@ -236,3 +236,13 @@ def test_thinning_in_groups_of_blocks_equals_one_pass(spark):
             free = p + 90
     got = thin(df, ["k"], 90, block_length=100)  # 400 blocks, chained in two levels
     assert sorted(r.pos for r in got.collect()) == kept
+
+
+def test_thinning_hands_no_large_group_to_a_task(spark, monkeypatch):
+    from driftline.operators import thin as module
+
+    stored, kept = {}, module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, label: stored.setdefault(label, kept(df, label)))
+    got = module.thin(spark.range(1, 400_001).select(F.lit("k").alias("k"), F.col("id").alias("pos")), ["k"], 1000)
+    assert got.count() == 400  # dense rows: the first of every thousand
+    assert stored["maps"].count() >= 400_000 / 70_000  # a block is a group
