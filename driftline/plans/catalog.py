@@ -477,6 +477,16 @@ def stream_label_join(spark, sf_dir):
     return spark.read.parquet(f"{root}/joined")
 
 
+def _dealt(rows: DataFrame, part, path: str) -> DataFrame:
+    """Rows with their `_part`, made once and stored by it, so that a part is read without the others; those without one are left out."""
+    rows.withColumn("_part", part).filter("_part is not null").write.partitionBy("_part").parquet(path)
+    return rows.sparkSession.read.schema(f"{_ddl(rows)}, _part int").parquet(path)
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+
 def _follow_labels(spark, sf_dir) -> LabelTables:
     """Predictions and labels fed in three parts that ignore their times: labels before their prediction, days after it,
     corrections before or after what they correct. The query stops and restarts between the parts."""
@@ -487,10 +497,11 @@ def _follow_labels(spark, sf_dir) -> LabelTables:
         "p": stamped(views.predictions(spark, sf_dir).drop("true_label", "label_arrival_time"), "prediction_time"),
         "l": stamped(views.label_log(spark, sf_dir), "label_arrival_time"),
     }
+    share = lambda name, rows: F.pmod(F.xxhash64(*(rows.columns if name == "l" else [KEY])), F.lit(3)).cast("int")
+    dealt = {name: _dealt(rows, share(name, rows), f"{root}/dealt-{name}") for name, rows in logs.items()}
     for part in range(3):
-        for name, rows in logs.items():
-            share = F.pmod(F.xxhash64(*rows.columns), F.lit(3)) if name == "l" else F.pmod(F.xxhash64(KEY), F.lit(3))
-            rows.filter(share == part).write.mode("append").parquet(f"{root}/{name}")
+        for name, rows in dealt.items():
+            rows.filter(F.col("_part") == part).drop("_part").write.mode("append").parquet(f"{root}/{name}")
         streams = [read_log(spark, "parquet", rows.schema, f"{root}/{name}") for name, rows in logs.items()]
         follow_labels(*streams, ["model_version"], ARRIVAL, tables, f"{root}/checkpoint", buckets=4).awaitTermination()
     return tables
@@ -682,10 +693,13 @@ def stream_expired(spark, sf_dir):
         "label_arrival_time": views.label_log(spark, sf_dir),
     }
     logs = {time: rows.withColumn(time, F.col(time).cast("timestamp")) for time, rows in logs.items()}
-    for low, high in zip(PARTS, PARTS[1:]):
-        for time, rows in logs.items():
-            inside = (F.col(time) >= F.lit(low or "1970-01-01").cast("timestamp")) & (F.col(time) < F.lit(high or "2970-01-01").cast("timestamp"))
-            rows.filter(inside).write.mode("append").parquet(f"{root}/{time}")
+    cuts = [F.lit(cut).cast("timestamp") for cut in ["1970-01-01", *PARTS[1:-1], "2970-01-01"]]
+    inside = lambda time: [(F.col(time) >= low) & (F.col(time) < high) for low, high in zip(cuts, cuts[1:])]
+    which = lambda time: F.coalesce(*[F.when(here, n) for n, here in enumerate(inside(time))])
+    dealt = {time: _dealt(rows, which(time), f"{root}/dealt-{time}") for time, rows in logs.items()}
+    for part in range(len(cuts) - 1):
+        for time, rows in dealt.items():
+            rows.filter(F.col("_part") == part).drop("_part").write.mode("append").parquet(f"{root}/{time}")
         streams = [read_log(spark, "parquet", rows.schema, f"{root}/{time}") for time, rows in logs.items()]
         follow_labels(
             *streams, ["model_version"], ARRIVAL, tables, f"{root}/checkpoint", max_wait=timedelta(days=3), buckets=4

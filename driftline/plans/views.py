@@ -55,21 +55,17 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as they arrive: late, some never, some twice with another value, some for unknown keys."""
-    base = truth(spark, sf_dir).select(
-        KEY,
-        "event_id",
-        "label",
-        F.expr("ts + make_dt_interval(0, 0, int(event_id % 7), 0)").alias("label_arrival_time"),
-    )
-    sent = base.filter("event_id % 11 <> 0")
-    again = sent.filter("event_id % 13 = 0").select(
-        KEY,
-        "event_id",
-        F.when(F.col("label") == UP, DOWN).otherwise(UP).alias("label"),
-        (F.col("label_arrival_time") + F.expr("INTERVAL 60 MINUTES")).alias("label_arrival_time"),
-    )
-    orphan = base.filter("event_id % 97 = 0").withColumn(KEY, (F.col("event_id") + 1_000_000_000).cast("string"))
-    return sent.unionByName(again).unionByName(orphan).drop("event_id")
+    at = F.expr("ts + make_dt_interval(0, 0, int(event_id % 7), 0)")
+    other = F.when(F.col("label") == UP, DOWN).otherwise(UP)
+    row = lambda key, label, time: F.struct(key.alias(KEY), label.alias("label"), time.alias("label_arrival_time"))
+    sent = F.col("event_id") % 11 != 0
+    rows = [
+        F.when(sent, row(F.col(KEY), F.col("label"), at)),
+        F.when(sent & (F.col("event_id") % 13 == 0), row(F.col(KEY), other, at + F.expr("INTERVAL 60 MINUTES"))),
+        F.when(F.col("event_id") % 97 == 0, row((F.col("event_id") + 1_000_000_000).cast("string"), F.col("label"), at)),
+    ]
+    made = truth(spark, sf_dir).select(F.explode(F.array(*rows)).alias("row"))
+    return made.filter("row is not null").select("row.*")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

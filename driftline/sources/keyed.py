@@ -96,10 +96,13 @@ class KeyedTable:
             kept = kept.unionByName(gone.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
         return kept
 
-    def find(self, spark: SparkSession, batch_id: int, active: DataFrame, results: str | None = None) -> DataFrame | None:
+    def find(
+        self, spark: SparkSession, batch_id: int, active: DataFrame, results: str | None = None, unique: bool = False
+    ) -> DataFrame | None:
         """Rows of the keys in `active` as they were before `batch_id`; None if nothing was ever stored.
 
-        Only the buckets of these keys are read. Where `results` holds earlier batches, a missing index is an error.
+        Only the buckets of these keys are read. Where `results` holds earlier batches, a missing index is an error. With `unique`
+        the keys in `active` are known to differ.
         """
         versions, schema = self._index(spark, batch_id, results)
         live = [v for v in versions if v.until is None]
@@ -107,7 +110,8 @@ class KeyedTable:
             return None
         if not self.keys:
             return self._live(self._rows(spark, live, schema)).drop("_gone", "_version", "bucket")
-        keys = active.select(*self.keys).dropna().distinct()
+        keys = active.select(*self.keys).dropna()
+        keys = keys if unique else keys.distinct()
         touched = {r[0] for r in keys.select(self._bucket()).distinct().collect()}  # at most `buckets`
         rows = self._rows(spark, [v for v in live if v.bucket in touched], schema)
         found = materialise(rows.join(keys, self.keys, "left_semi"), "found")

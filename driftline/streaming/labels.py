@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.columns import is_correct
-from driftline.operators.labels import first_per_key, join_labels, orphan_labels, pending_predictions
+from driftline.operators.labels import orphan_labels
 from driftline.schemas import KEY
 from driftline.session import materialise
 
@@ -71,9 +71,37 @@ def join_late_labels(
 
 
 class Settled(NamedTuple):
+    """`added` and `gone` are what becomes of the waiting rows: new ones, and keys whose earlier ones go."""
+
     labelled: DataFrame
     pending: DataFrame
     orphans: DataFrame
+    added_pending: DataFrame
+    gone_pending: DataFrame
+    added_orphans: DataFrame
+    gone_orphans: DataFrame
+
+
+def _marked(new: DataFrame, old: DataFrame | None) -> DataFrame:
+    """Rows of a batch and rows that waited, told apart by `_new`; null keys are left to the caller."""
+    rows = new.withColumn("_new", F.lit(True))
+    return rows if old is None else old.withColumn("_new", F.lit(False)).unionByName(rows)
+
+
+def _met(waiting: DataFrame, came: DataFrame, key: str, predicted_at: str, arrived_at: str) -> DataFrame:
+    """What there is of every key, stored: its first prediction `p`, its first label `l`, how many labels (`n`), and whether
+    rows of either kind waited (`old_p`, `old_l`).
+
+    One aggregate over both sides, reduced in each task before the shuffle, so that a key sent over and over fills no task.
+    """
+    first = lambda rows, time: F.struct(time, *[c for c in rows.columns if c not in (key, time)])
+    p, l = first(waiting, predicted_at), first(came, arrived_at)  # noqa: E741
+    both = waiting.select(key, p.alias("p")).unionByName(came.select(key, l.alias("l")), allowMissingColumns=True)
+    waited = lambda side: F.coalesce(F.max(~F.col(f"{side}._new")), F.lit(False))
+    met = both.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.min("p").alias("p"), F.min("l").alias("l"), F.count("l").alias("n"), waited("p").alias("old_p"), waited("l").alias("old_l")
+    )
+    return materialise(met, "met")
 
 
 def settle(
@@ -81,7 +109,7 @@ def settle(
     labels: DataFrame,
     pending: DataFrame | None = None,
     orphans: DataFrame | None = None,
-    labelled_before: DataFrame | None = None,
+    labelled_before: DataFrame | Callable[[DataFrame], DataFrame | None] | None = None,
     key: str = KEY,
     predicted_at: str = "prediction_time",
     arrived_at: str = "label_arrival_time",
@@ -90,14 +118,33 @@ def settle(
 
     Nothing expires: a prediction waits in `pending` for any later label, a label in `orphans` for any later
     prediction. A prediction is labelled once, by the first label there is; further labels are corrections, which live on in
-    the label log. `labelled_before` has the keys labelled earlier and is read only if labels are left over.
+    the label log. `labelled_before` has the keys labelled earlier, or finds them among keys it is given.
     """
-    waiting = predictions if pending is None else pending.unionByName(predictions)
-    came = labels if orphans is None else orphans.unionByName(labels)
-    waiting = materialise(first_per_key(waiting, [key], [predicted_at]), "waiting")
-    came = materialise(came.filter(F.col(key).isNotNull()), "came")
-    first = materialise(first_per_key(came, [key], [arrived_at]), "first")
-    extra = materialise(orphan_labels(waiting, came, key), "extra")
-    if labelled_before is not None and not extra.isEmpty():
-        extra = orphan_labels(labelled_before, extra, key)
-    return Settled(join_labels(waiting, first, key), pending_predictions(waiting, first, key), extra)
+    waiting, came = _marked(predictions, pending), _marked(labels, orphans)
+    met = _met(waiting, came, key, predicted_at, arrived_at)
+    extra = met.filter("p is null").select(key, "l", "n")
+    before = labelled_before(extra) if callable(labelled_before) else labelled_before
+    if before is not None:
+        extra = materialise(orphan_labels(before, extra, key), "extra")
+    # Most keys without a prediction have one label, which is their first one.
+    several = materialise(extra.filter("n > 1").select(key), "several")
+    left = extra.filter("n = 1").select(key, "l.*").select(came.columns).unionByName(came.join(several, key, "left_semi"))
+    open_ = met.filter("p is not null and l is null").select(key, "p.*").select(waiting.columns)
+
+    labelled = met.filter("p is not null and l is not null")
+    bare = [c for c in predictions.columns if c not in ("true_label", "label_arrival_time")]
+    rest = [c for c in labels.columns if c != key]
+    labelled = labelled.select(
+        *[F.col(c) if c == key else F.col(f"p.{c}") for c in [key, *[c for c in bare if c != key]]],
+        *[F.col(f"l.{c}").alias("true_label" if c == "label" else c) for c in rest],
+    ).withColumn("is_correct", is_correct(F.col("predicted_label"), F.col("true_label")))
+    still = "p is not null and l is null and not p._new"
+    return Settled(
+        labelled,
+        open_.drop("_new"),
+        left.drop("_new"),
+        open_.filter("_new").drop("_new"),
+        met.filter(f"old_p and not ({still})").select(key),
+        left.filter("_new").drop("_new"),
+        met.filter("old_l").select(key).join(extra.select(key), key, "left_anti"),
+    )

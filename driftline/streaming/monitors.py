@@ -180,24 +180,17 @@ def follow_labels(
         came = batch.filter("_kind = 1").select(KEY, *blank)
         write_batch(came, tables.label_log, batch_id)
         active = materialise(batch.select(KEY).distinct(), "active")
-        waiting, early = pending.find(spark, batch_id, active), orphans.find(spark, batch_id, active)
-        old = lambda rows, name: None if rows is None else rows.withColumn(name, F.lit(False))
         found = settle(
-            fresh.withColumn("_new_p", F.lit(True)),
-            came.withColumn("_new_l", F.lit(True)),
-            old(waiting, "_new_p"),
-            old(early, "_new_l"),
-            known.find(spark, batch_id, active, tables.labelled),
+            fresh,
+            came,
+            pending.find(spark, batch_id, active, unique=True),
+            orphans.find(spark, batch_id, active, unique=True),
+            lambda some: known.find(spark, batch_id, some, tables.labelled, unique=True),
             predicted_at=predicted_at,
             arrived_at=arrived_at,
         )
-        labelled = materialise(found.labelled.drop("_new_p", "_new_l"), "labelled")
-        changes = []
-        for rows, mark, before in ((found.pending, "_new_p", waiting), (found.orphans, "_new_l", early)):
-            rows = materialise(rows.filter(F.col(KEY).isNotNull()), "waiting")
-            kept = rows.filter(~F.col(mark)).select(KEY)
-            gone = rows.select(KEY).filter("false") if before is None else before.select(KEY).distinct().join(kept, KEY, "left_anti")
-            changes.append((rows.filter(mark).drop(mark), gone))
+        labelled = found.labelled
+        changes = [(found.added_pending, found.gone_pending), (found.added_orphans, found.gone_orphans)]
         if max_wait is not None:
             aging = [
                 ReorderBuffer(f"{tables.aging}/{side}", time, max_wait, keep_late=True) for side, time in (("predictions", predicted_at), ("labels", arrived_at))

@@ -246,3 +246,45 @@ def test_thinning_hands_no_large_group_to_a_task(spark, monkeypatch):
     got = module.thin(spark.range(1, 400_001).select(F.lit("k").alias("k"), F.col("id").alias("pos")), ["k"], 1000)
     assert got.count() == 400  # dense rows: the first of every thousand
     assert stored["maps"].count() >= 400_000 / 70_000  # a block is a group
+
+
+def test_settle_makes_one_pass_and_tells_what_changes(spark, monkeypatch):
+    at = F.timestamp_seconds
+    make_p = lambda rows: spark.createDataFrame(rows, f"{KEY} string, predicted_label string, s long").select(
+        KEY, "predicted_label", at("s").alias("prediction_time")
+    )
+    make_l = lambda rows: spark.createDataFrame(rows, f"{KEY} string, label string, s long").select(
+        KEY, "label", at("s").alias("label_arrival_time")
+    )
+    stored, kept = [], sl.materialise
+    monkeypatch.setattr(sl, "materialise", lambda df, label: stored.append(label) or kept(df, label))
+    found = sl.settle(
+        make_p([("x", "UP", 10), ("p", "DOWN", 9), ("n", "UP", 1), (None, "UP", 1)]),
+        make_l([("b", "UP", 30), ("y", "UP", 4), ("z", "UP", 5), ("z", "UP", 5), ("a", "UP", 8), (None, "UP", 1)]),
+        make_p([("b", "DOWN", 2), ("p", "UP", 3), ("n", "UP", 7)]),
+        make_l([("x", "UP", 5), ("x", "DOWN", 4), ("y", "DOWN", 6), ("w", "UP", 1)]),
+        lambda keys: keys.filter(F.col(KEY) == "a").select(KEY),
+    )
+    assert rows(found.labelled, KEY, "predicted_label", "true_label") == [("b", "DOWN", "UP"), ("x", "UP", "DOWN")]
+    assert rows(found.pending, KEY, "predicted_label") == [("n", "UP"), ("p", "UP")]  # the first one of each
+    assert rows(found.added_pending, KEY) == [("n",)] and rows(found.gone_pending, KEY) == [("b",), ("n",)]
+    assert rows(found.orphans, KEY, "label") == [("w", "UP"), ("y", "DOWN"), ("y", "UP"), ("z", "UP"), ("z", "UP")]
+    assert rows(found.added_orphans, KEY) == [("y",), ("z",), ("z",)] and rows(found.gone_orphans, KEY) == [("x",)]
+    assert stored == ["met", "extra", "several"]  # both sides are sorted by key once
+
+
+def test_logs_are_dealt_into_parts_once(spark, tmp_path):
+    from driftline.plans.catalog import _dealt
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    table = spark.range(30).mapInArrow(seen, "id long")
+    part = F.when(F.col("id") < 27, (F.col("id") % 3).cast("int"))
+    dealt = _dealt(table, part, str(tmp_path / "dealt"))
+    assert [dealt.filter(F.col("_part") == n).count() for n in range(3)] == [9, 9, 9] and made.value == 30
+    assert dealt.drop("_part").schema == table.schema
