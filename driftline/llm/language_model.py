@@ -53,6 +53,15 @@ START, REST = 0, 1  # ids before the first word, and of all words outside the vo
 _END = b""  # the end of a text; no word is empty
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, all lowest bytes first: the higher ones are mostly zero, and zeros side by side compress well."""
+    return numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def tokenised(docs: DataFrame, training: Column, id_col: str, text_col: str) -> DataFrame:
     """Rows of two kinds per block: documents (id, train, tokens) and words (number, word, n in training)."""
 
@@ -69,7 +78,7 @@ def tokenised(docs: DataFrame, training: Column, id_col: str, text_col: str) ->
             nothing = [None] * len(ids)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([block] * len(ids), pa.string()),
+                    pa.array(np.full(len(ids), block, np.int64)),
                     ids if isinstance(ids, pa.Array) else pa.array(ids, kind_of_id),
                     pa.array(train, pa.bool_()),
                     pa.array(tokens, pa.binary()),
@@ -88,7 +97,7 @@ def tokenised(docs: DataFrame, training: Column, id_col: str, text_col: str) ->
                 if block is not None:
                     yield words()
                 # Named by its first row, so that a repeated task names it alike.
-                block = f"{batch.column(3)[0].as_py()}"
+                block = batch.column(3)[0].as_py()
                 numbers = defaultdict(itertools.count().__next__)
                 counts, size = np.zeros(0, np.int64), 0
             tokens = []
@@ -99,7 +108,7 @@ def tokenised(docs: DataFrame, training: Column, id_col: str, text_col: str) ->
                 split.append(_END)
                 own = np.fromiter(map(numbers.__getitem__, split), np.int32, len(split))
                 size += len(own)
-                tokens.append(own.tobytes())
+                tokens.append(packed(own))
                 if use:
                     learned.append(own)
             if len(counts) < len(numbers):
@@ -112,9 +121,9 @@ def tokenised(docs: DataFrame, training: Column, id_col: str, text_col: str) ->
             yield words()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    place = F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())
-    given = docs.select(F.col(id_col).alias("id"), training.alias("train"), F.col(text_col).alias("text"), place.alias("place"))
-    schema = f"block string, id {kind}, train boolean, tokens binary, number int, word binary, n bigint"
+    place = F.monotonically_increasing_id().alias("place")
+    given = docs.select(F.col(id_col).alias("id"), training.alias("train"), F.col(text_col).alias("text"), place)
+    schema = f"block bigint, id {kind}, train boolean, tokens binary, number int, word binary, n bigint"
     return given.mapInArrow(run, schema)
 
 
@@ -143,7 +152,7 @@ def resolved(stored: DataFrame, counts: DataFrame, vocabulary: DataFrame, kind_o
         logs = np.log10(c + 1.0)
         out = []
         for tokens in docs["tokens"].to_pylist():
-            at = np.frombuffer(tokens, np.int32)
+            at = unpacked(tokens)
             ids, own = model[at], logs[at]
             rest = ids == REST
             out.append((len(at), int((c[at] > 0).sum()), float(own.sum()), int(rest.sum()), float(own[rest].sum()), ids.tobytes()))
