@@ -166,6 +166,15 @@ def test_near_dedup_of_large_groups_beside_others(spark, monkeypatch, block, sho
         assert {r["doc_id"]: r["component_id"] for r in got} == component and len(set(component.values())) > 5
 
 
+def test_near_dedup_leaves_chance_meetings_to_the_lists(spark):
+    rows = [(v, rep, 100, 10, 2) for v, rep in [(1, 1), (1, 2), (2, 1), (2, 3), (3, 3), (4, 3)]]  # 1 meets 2 and 3 once each
+    rows += [(v, rep, 100, 10, 2) for v in (7, 8) for rep in (11, 12)]  # copies meet twice
+    rows += [(9, rep, 100, 10, listed) for rep, listed in ((21, 1), (22, 2))]  # 21 is in no other list
+    lists = spark.createDataFrame(rows, "v long, rep long, n long, common int, listed int")
+    pairs = near_dedup.leader_pairs(lists, 80, 1).collect()
+    assert sorted((r["a"], r["b"]) for r in pairs) == [(11, 12), (21, 22)]
+
+
 def test_pii(docs, spark):
     for r in find_pii(docs).collect():
         text = dict(odd_texts())[r["doc_id"]]
@@ -395,6 +404,17 @@ def test_language_model(spark, docs):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in untrained)
 
 
+def test_language_model_packs_tokens_and_numbers_blocks(spark):
+    numbers = np.array([0, 1, 255, 256, 70_000, 2**31 - 1, 5], np.int32)
+    assert language_model.unpacked(language_model.packed(numbers)).tolist() == numbers.tolist()
+    assert language_model.packed(np.arange(100, dtype=np.int32)) == bytes(range(100)) + bytes(300)
+    docs = spark.createDataFrame([(i, f"a b w{i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    rows = language_model.tokenised(docs, F.lit(True), "doc_id", "text")
+    assert dict(rows.dtypes)["block"] == "bigint"
+    found = rows.filter("word is not null").groupBy("block", "number").count().collect()
+    assert len({r["block"] for r in found}) == 4 and {r["count"] for r in found} == {1}
+
+
 def test_language_model_is_normalised():
     for size in (2, 3, 60):
         counts = np.concatenate([[0.0], [50.0], np.sort(np.random.default_rng(1).pareto(1, size - 2) + 1)[::-1]])
