@@ -395,7 +395,7 @@ def score_documents(
 
     `vocabulary_size` fixes the number of words modelled; None lets it grow with the training tokens.
     """
-    stored = materialise(tokenised(docs, training, id_col, text_col), "tokens")
+    stored = materialise(tokenised(docs, training, id_col, text_col), "tokens", "zstd")
     counts = materialise(word_counts(stored), "counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = int(totals["n"] or 0), int(totals["v"])
@@ -405,7 +405,7 @@ def score_documents(
     vocabulary = first[["word"]].assign(model=np.arange(2, len(first) + 2, dtype=np.int32))
     spark = docs.sparkSession
     vocabulary = spark.createDataFrame([(bytes(w), int(m)) for w, m in vocabulary.itertuples(index=False)], "word binary, model int")
-    rows = materialise(resolved(stored, counts, vocabulary, kind), "resolved")
+    rows = materialise(resolved(stored, counts, vocabulary, kind), "resolved", "zstd")
 
     inside = first["c"].to_numpy(np.float64)
     rest_tokens, rest_words = n - int(inside.sum()), v - len(first)
